@@ -1,0 +1,298 @@
+"""Removal of repeated byte strings by a sparse suffix array, sorted deep-shallow.
+
+A byte goes if a string of `LENGTH` bytes over it also starts anywhere else. Of every such string one place
+is chosen by its content alone: where its `GRAM`-byte substring of smallest hash begins. Equal strings share that
+place, so only suffixes that begin at chosen places (anchors) with equal substrings can witness a repeat, and anchors
+whose substring occurs once drop out. Anchors of equal context (all that a string of LENGTH bytes over the
+anchor can reach) are one entry with a count, however often a text was copied.
+
+The entries of a shard are sorted twice, by what follows the anchor and by what precedes it, read backwards:
+multikey quicksort over 8-byte characters to a depth of `SHALLOW` bytes, then blind tries order the groups that are
+still equal. From both orders and their longest common prefixes, a sweep over the common lengths to the right
+finds for each entry how far repeated strings reach to either side. Its cost grows with the entries, not with
+their pairs. The reaches go back to all anchors of that context, and each document merges its intervals.
+
+Defined results: null text counts as empty. Texts shorter than LENGTH keep all. Repeated rows repeat each other
+in full. Matches never cross rows. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import buffers, portions, prefix_hash, range_hash, stored
+
+LENGTH = 400
+GRAM = 32
+SHALLOW = 64
+#: Bytes of context in a shard, about.
+SHARD_BYTES = 8 << 20
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and hash of the chosen substrings of all strings of `length` bytes that lie in one row."""
+    n, wide = len(data), length - gram + 1
+    none = np.zeros(0, dtype=np.int64)
+    if n < length:
+        return none, none, none
+    bits = max(24, n.bit_length())
+    at = np.arange(n - gram + 1)
+    grams = range_hash(prefix_hash(data), at, at + gram)
+    low = np.uint64((1 << bits) - 1)
+    key = (grams & ~low) | at.astype(np.uint64)  # of equal hashes the leftmost
+    blocks = -(-len(key) // wide)
+    padded = np.full(blocks * wide, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(key)] = key
+    cells = padded.reshape(blocks, wide)
+    ahead = np.minimum.accumulate(cells, axis=1).ravel()
+    behind = np.minimum.accumulate(cells[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = np.arange(n - length + 1)
+    least = np.minimum(behind[starts], ahead[starts + wide - 1])
+    row_end = np.repeat(offsets[1:], np.diff(offsets))
+    place = np.unique((least[starts + length <= row_end[: len(starts)]] & low).astype(np.int64))
+    return np.searchsorted(offsets, place, side="right") - 1, place, grams[place].view(np.int64)
+
+
+def blind_trie(rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """members ordered by their rows. Inner nodes know a depth and a child per byte there; only leaves know strings."""
+    wide = rows.shape[1]
+    root: list = [wide, {}, int(members[0])]  # depth, children, and for a leaf its member
+    for m in members[1:].tolist():
+        s = rows[m]
+        node = root
+        while node[1]:  # blind: bytes between branching depths are not looked at
+            node = node[1].get(int(s[node[0]])) or next(iter(node[1].values()))
+        differ = s != rows[node[2]]
+        depth = int(differ.argmax()) if differ.any() else wide
+        up, node = None, root
+        while node[1] and node[0] < depth:
+            up, node = node, node[1][int(s[node[0]])]
+        leaf = [wide, {}, m]
+        if depth == wide:  # an equal string: beside the leaf
+            node[2:] = [*node[2:], m]
+        elif node[1] and node[0] == depth:
+            node[1][int(s[depth])] = leaf
+        else:
+            old = rows[_leaf(node)]
+            inner = [depth, {int(old[depth]): node, int(s[depth]): leaf}]
+            if up is None:
+                root = inner
+            else:
+                up[1][int(s[up[0]])] = inner
+    out: list[int] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node[1]:
+            stack += [node[1][b] for b in sorted(node[1], reverse=True)]
+        else:
+            out += node[2:]
+    return np.array(out, dtype=np.int64)
+
+
+def _leaf(node: list) -> int:
+    while node[1]:
+        node = next(iter(node[1].values()))
+    return node[2]
+
+
+def deep_shallow(rows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+    """Order of the rows of a byte matrix by (group, bytes). Its width is a multiple of 8."""
+    words = rows.view(">u8").astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    same = np.concatenate([[False], group[order][1:] == group[order][:-1]])
+    for d in range(min(shallow // 8, words.shape[1])):
+        begin = np.flatnonzero(~same)
+        name = np.cumsum(~same) - 1
+        size = np.diff(np.append(begin, len(order)))
+        open_ = np.flatnonzero(size[name] > 1)  # places in groups that are still equal
+        if not len(open_):
+            return order
+        own = words[order[open_], d]
+        by = np.lexsort((own, name[open_]))
+        order[open_] = order[open_[by]]
+        own, name = own[by], name[open_]
+        same[open_] = np.concatenate([[False], (own[1:] == own[:-1]) & (name[1:] == name[:-1])])
+    begin = np.flatnonzero(~same)
+    end = np.append(begin[1:], len(order))
+    for i, j in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+        order[i:j] = blind_trie(rows, order[i:j])
+    return order
+
+
+def common(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each row in order with the one before it."""
+    out = np.zeros(len(order), dtype=np.int64)
+    for at in range(1, len(order), 4096):
+        a, b = order[at - 1 : at + 4095], order[at : at + 4096]
+        a = a[: len(b)]
+        differ = rows[a] != rows[b]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        out[at : at + len(b)] = np.minimum(first, np.minimum(sizes[a], sizes[b]))
+    return out
+
+
+class RangeMin:
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            half, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Minimum of values[i:j], for i < j."""
+        k = np.frexp((j - i).astype(np.float64))[1] - 1
+        out = np.empty(len(i), dtype=np.int64)
+        for level in np.unique(k):
+            own = k == level
+            out[own] = np.minimum(self.levels[level][i[own]], self.levels[level][j[own] - (1 << int(level))])
+        return out
+
+
+def reaches(right: np.ndarray, right_lcp: np.ndarray, left: np.ndarray, left_lcp: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far repeated strings of `length` bytes reach left and right of each of n entries with one anchor substring.
+
+    right and left are the entries in both orders, with common prefixes of neighbours. Entries that have r bytes in common to
+    the right are runs of `right`; in such a run, the longest common left part of an entry is with a neighbour in `left`'s order."""
+    to_left, to_right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    least = RangeMin(left_lcp)
+    for r in np.unique(right_lcp[1:])[::-1].tolist():
+        run = np.empty(n, dtype=np.int64)
+        run[right] = np.cumsum(np.concatenate([[0], right_lcp[1:] < r]))
+        own = run[left]
+        by = np.argsort(own, kind="stable")
+        pair = np.flatnonzero(own[by][1:] == own[by][:-1])
+        i, j = by[pair], by[pair + 1]
+        shared = least.of(i + 1, j + 1)
+        ok = shared + r >= length
+        for side in (left[i[ok]], left[j[ok]]):
+            np.maximum.at(to_left, side, shared[ok])
+            np.maximum.at(to_right, side, r)
+    return to_left, to_right
+
+
+def matrix(parts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    out = np.zeros((len(parts), -(-wide // 8) * 8), dtype=np.uint8)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    return out, sizes
+
+
+def shard_reaches(key: np.ndarray, count: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reaches of the entries of a shard. left is read backwards."""
+    rows_r, size_r = matrix(right, length)
+    rows_l, size_l = matrix(left, length)
+    by_right, by_left = deep_shallow(rows_r, key), deep_shallow(rows_l, key)
+    lcp_r, lcp_l = common(rows_r, size_r, by_right), common(rows_l, size_l, by_left)
+    to_left, to_right = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+    bound = np.flatnonzero(np.concatenate([[True], key[by_right][1:] != key[by_right][:-1], [True]]))
+    place = np.empty(len(key), dtype=np.int64)
+    for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        if j - i > 1:
+            r, lf = by_right[i:j], by_left[i:j]
+            place[r] = np.arange(j - i)
+            to_left[r], to_right[r] = reaches(np.arange(j - i), lcp_r[i:j], place[lf], lcp_l[i:j], j - i, length)
+    twice = count > 1  # equal contexts repeat each other in full
+    to_left[twice], to_right[twice] = size_l[twice], size_r[twice]
+    return to_left, to_right
+
+
+def _named(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """Texts as bytes, and d and u, which name a row and its equals."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64(text).alias("u"), text.alias("text"), *more)
+
+
+def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """d, u and spans (begin, end): the repeated bytes of each text that has any, not yet merged."""
+    rows = _named(docs)
+
+    def find(batches):
+        for batch in batches:
+            data, at = buffers(batch.column(2))
+            d, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j in portions(at):
+                part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                row, place, key = anchors(part, own, length, gram)
+                begin, end = np.maximum(own[row], place - (length - gram)), np.minimum(own[row + 1], place + length)
+                whole = memoryview(part.tobytes())
+                ctx = [hashlib.blake2b(whole[s:e], digest_size=16, salt=int(p - s).to_bytes(8, "little")).digest() for s, p, e in zip(begin.tolist(), place.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(d[i:j][row]), pa.array(u[i:j][row]), pa.array(place - own[row]), pa.array(key), pa.array(ctx, pa.binary()), pa.array(place - begin), pa.array(end - place)], names=["d", "u", "m", "key", "ctx", "l", "r"])
+
+    found = stored(rows.mapInArrow(find, "d long, u long, m long, key long, ctx binary, l long, r long"))
+    entries = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "u", "m", "l", "r")).alias("at"))
+    often = entries.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
+    asked = stored(entries.join(often, "key").select("key", "ctx", "n", "at.*"))
+    shards = max(1, -(-asked.count() * 2 * length // SHARD_BYTES))
+    part = F.substring(F.col("text"), (F.col("m") - F.col("l") + 1).cast("int"), (F.col("l") + F.col("r")).cast("int"))
+    shown = rows.join(asked, ["d", "u"]).select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "ctx", "n", "l", part.alias("part"))
+
+    def sort(rows):
+        rows = rows.combine_chunks()
+        ctx = rows["ctx"].to_pylist()
+        first = list({c: i for i, c in reversed(list(enumerate(zip(rows["key"].to_pylist(), ctx, strict=True))))}.values())  # equal rows of a table show an entry again
+        key, n, cut = (rows[c].to_numpy()[first] for c in ("key", "n", "l"))
+        part = rows["part"].to_pylist()
+        to_left, to_right = shard_reaches(key, n, [part[i][:k][::-1] for i, k in zip(first, cut.tolist(), strict=True)], [part[i][k:] for i, k in zip(first, cut.tolist(), strict=True)], length)
+        hit = np.flatnonzero(to_right > 0)
+        return pa.table({"key": key[hit], "ctx": pa.array([ctx[first[i]] for i in hit], pa.binary()), "lo": to_left[hit], "hi": to_right[hit]})
+
+    reach = shown.groupBy("shard").applyInArrow(sort, "key long, ctx binary, lo long, hi long")
+    spans = found.join(reach, ["key", "ctx"]).select("d", "u", F.struct((F.col("m") - F.col("lo")).alias("s"), (F.col("m") + F.col("hi")).alias("e")).alias("span"))
+    return spans.groupBy("d", "u").agg(F.collect_set("span").alias("spans"))
+
+
+def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """What is left, bytes removed, and runs removed."""
+    if not spans:
+        return text, 0, 0
+    kept, at, gone, runs = [], 0, 0, 0
+    end = -1
+    for s, e in sorted((x["s"], x["e"]) for x in spans):
+        if s > end:  # a new run
+            kept.append(text[at:s])
+            runs += 1
+            gone += e - s
+            at = end = e
+        elif e > end:
+            gone += e - end
+            at = end = e
+    kept.append(text[at:])
+    return b"".join(kept), gone, runs
+
+
+def measure(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    rows = _named(docs, "doc_id").join(intervals(docs, length), ["d", "u"], "left").select("doc_id", "text", "spans")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            out = [cut(t, s) for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated bytes gone from text, and characters that lost a part of their bytes; n_chars follows if there is one."""
+    spans = intervals(docs, length)
+    kind = docs.schema
+    names = docs.columns
+    rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "__u": F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
+    joined = rows.join(spans.select(F.col("d").alias("__d"), F.col("u").alias("__u"), F.col("spans").alias("__spans")), ["__d", "__u"], "left").select(*names, "__spans")
+
+    def run(batches):
+        for batch in batches:
+            table = dict(zip(batch.schema.names, batch.columns, strict=True))
+            texts = [t if not s else cut(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(table["text"].to_pylist(), table.pop("__spans").to_pylist(), strict=True)]
+            table["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(table.values()), names=list(table))
+
+    out = joined.mapInArrow(run, kind)
+    return out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType)) if "n_chars" in names else out
