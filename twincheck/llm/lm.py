@@ -1,0 +1,266 @@
+"""Language-model scores by context-tree weighting over bytes.
+
+A byte is eight binary decisions; each context of 0 to `DEPTH` preceding bytes has one Krichevsky-Trofimov
+estimator per decision. A node's weighted probability is half its own estimate's and half the product of its
+children's, so after training the share that its own estimate keeps is known, and a prediction mixes the
+estimates of all depths along the context. Training counts every byte of every learning text.
+
+Texts are dealt to chunks of bounded size by a hash. A chunk asks for what it contains: its distinct words and its
+distinct (context, byte) strings, with their counts in learning texts. Counts are summed over all chunks; strings with the
+same two last context bytes form one subtree, at most 256^3 strings, whose nodes are weighted from the leaves up and
+then evaluated from the root down, given at most 256 * 255 nodes of depth 1. The answers go back to the chunks that
+asked. So nothing that grows with the corpus is broadcast or collected.
+
+Texts are lower-cased (A-Z); each is preceded by `DEPTH` zero bytes and ended by one, whose code length counts.
+Words are runs of other bytes than the contract's white space; one end token per text follows them.
+
+Defined results: null text counts as empty: its one token is the end. Repeated rows count and score each on its own.
+Without learning texts every decision costs one bit and base_score is 0 = log10(1/1). An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import remainder, stored, text_bytes, volume
+
+DEPTH = 4
+#: Bytes of text of a chunk, about.
+CHUNK_BYTES = 24 << 20
+PORTION = 1 << 20
+
+
+def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) of every place of the texts, packed into 64 bits with the byte lowest, and the texts' bounds in them."""
+    pad = b"\0" * DEPTH
+    data = np.frombuffer(b"".join([pad + t + b"\0" for t in texts]), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    key = np.zeros(max(0, len(data) - DEPTH), dtype=np.int64)
+    for i in range(DEPTH + 1):
+        key = (key << 8) | data[i : len(data) - DEPTH + i]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    keep = np.ones(len(key), dtype=bool)
+    inner = (bounds[1:-1, None] + DEPTH * np.arange(len(texts) - 1)[:, None] + np.arange(DEPTH)[None, :]).ravel()
+    keep[inner] = False  # windows that lie across two texts
+    return key[keep], bounds
+
+
+def runs(texts: list[bytes], most: int = PORTION):
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def string_counts(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of the texts and how often they occur in learning texts."""
+    names, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for i, j in runs(texts):
+        key, bounds = strings(texts[i:j])
+        own, back = np.unique(key, return_inverse=True)
+        n = np.bincount(back, weights=np.repeat(np.array(learn[i:j], dtype=np.float64), np.diff(bounds)), minlength=len(own)).astype(np.int64)
+        both, back = np.unique(np.concatenate([names, own]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+        names = both
+    return names, counts
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x > 0: Stirling's series after eight steps of the recurrence."""
+    y = x + 8
+    steps = np.prod([x + i for i in range(8)], axis=0)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+
+
+def bit_nodes(byte: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node (1 to 255) of decision i, and the decision."""
+    return (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
+
+
+def counted(context: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each (context, node)."""
+    ab = np.zeros((2, size * 256))
+    for i in range(8):
+        node, bit = bit_nodes(byte, i)
+        for value in (0, 1):
+            own = bit == value
+            ab[value] += np.bincount(context[own] * 256 + node[own], weights=n[own], minlength=size * 256)
+    return ab[0].reshape(size, 256), ab[1].reshape(size, 256)
+
+
+def weighted(own: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return np.logaddexp(own, children) - np.log(2)
+
+
+def kept_share(own: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
+
+
+def subtree(key: np.ndarray, n: np.ndarray):
+    """The nodes of depths 2 to DEPTH below one pair of last context bytes.
+
+    Per depth: context number of each string, zeros, ones, ln of own estimate, ln of the children's product (leaves: none)."""
+    byte, levels, below = key & 255, [], None
+    for d in range(DEPTH, 1, -1):
+        context = (key >> 8) & ((1 << (8 * d)) - 1)
+        names, number = np.unique(context, return_inverse=True)
+        a, b = counted(number, byte, n, len(names))
+        own, children = estimated(a, b), None
+        if below is not None:
+            parent = np.searchsorted(names, below[0] & ((1 << (8 * d)) - 1))
+            children = np.zeros_like(own)
+            np.add.at(children, parent, below[1])
+        seen = a + b > 0
+        value = np.where(seen, own if children is None else weighted(own, children), 0.0)
+        levels.append((number, a, b, own, children))
+        below = (names, value)
+    return levels[::-1], below[1][0]
+
+
+def descend(mixed: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Add a depth to a prediction. mixed: probability of a one so far; left: weight still to be given. An unseen node gives all to 1/2."""
+    seen = a + b > 0
+    share = np.where(seen, 1.0 if children is None else kept_share(own, children), 1.0)
+    kt = np.where(seen, (b + 0.5) / (a + b + 1), 0.5)
+    return mixed + left * share * kt, left * (1 - share)
+
+
+def top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From the nodes of depth 1 (c, node, a, b, value): prediction and remaining weight after depth 1 at each (c, node)."""
+    a, b, value, children = (np.zeros((256, 256)) for _ in range(4))
+    c, node = rows["c"].to_numpy(), rows["node"].to_numpy()
+    a[c, node], b[c, node], value[c, node], children[c, node] = rows["a"], rows["b"], rows["value"], rows["children"]
+    a0, b0 = a.sum(axis=0), b.sum(axis=0)
+    mixed, left = descend(np.zeros(256), np.ones(256), a0, b0, estimated(a0, b0), value.sum(axis=0))
+    return descend(np.broadcast_to(mixed, (256, 256)), np.broadcast_to(left, (256, 256)), a, b, estimated(a, b), children)
+
+
+def evaluate(key: np.ndarray, n: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of each string, given what depths 0 and 1 say at (last byte, node)."""
+    levels, _ = subtree(key, n)
+    byte, last = key & 255, (key >> 8) & 255
+    out = np.zeros(len(key))
+    for i in range(8):
+        node, bit = bit_nodes(byte, i)
+        p, rest = mixed[last, node], left[last, node]
+        for number, a, b, own, children in levels:
+            at = (number, node)
+            p, rest = descend(p, rest, a[at], b[at], own[at], None if children is None else children[at])
+        out += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-300, 1))
+    return out
+
+
+def string_scores(counts: DataFrame) -> DataFrame:
+    """gram and value, the log10 probability, of each string of counts(gram, n)."""
+    spark = counts.sparkSession
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    placed = counts.withColumn("pair", pair)
+
+    def up(rows: pd.DataFrame) -> pd.DataFrame:
+        levels, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        _, a, b, _, _ = levels[0]
+        node = np.flatnonzero(a[0] + b[0] > 0)
+        return pd.DataFrame({"c": np.full(len(node), int(rows["pair"].iloc[0]) & 255), "node": node, "a": a[0][node], "b": b[0][node], "value": value[node]})
+
+    two = placed.groupBy("pair").applyInPandas(up, "c int, node int, a double, b double, value double")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        s = rows.groupby("node", as_index=False).agg(a=("a", "sum"), b=("b", "sum"), children=("value", "sum"))
+        s["value"] = weighted(estimated(s["a"].to_numpy(), s["b"].to_numpy()), s["children"].to_numpy())
+        return s.assign(c=int(rows["c"].iloc[0]))[["c", "node", "a", "b", "value", "children"]]
+
+    head = two.groupBy("c").applyInPandas(one, "c int, node int, a double, b double, value double, children double").toPandas()  # 256 * 255 rows at most
+    known = spark.sparkContext.broadcast(top(head))  # 2 * 256 * 256 numbers
+
+    def down(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"gram": rows["gram"], "value": evaluate(rows["gram"].to_numpy(), rows["n"].to_numpy(), *known.value)})
+
+    return placed.groupBy("pair").applyInPandas(down, "gram long, value double")
+
+
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. Rows whose remainder is `held` teach nothing."""
+    rows = text_bytes(docs, "doc_id")
+    n_rows, total = volume(rows)
+    chunks = max(1, -(-(total + 64 * n_rows) // chunk_bytes))
+    out = remainder(F.col("doc_id"), modulus) == held
+    dealt = rows.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    learning = rows.where(~out).count()
+
+    def ask(key, table):
+        learn = [not x for x in table["held_out"].to_pylist()]
+        texts = [t.lower() for t in table["text"].to_pylist()]
+        words: dict[bytes, int] = Counter()
+        for t, ok in zip(texts, learn, strict=True):
+            own = t.split()
+            if ok:
+                words.update(own)
+            else:
+                for w in own:
+                    words.setdefault(w, 0)
+        names, counts = string_counts(texts, learn)
+        k, g = len(words), len(names)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * (k + g), pa.int64()), "word": pa.array([*words, *[None] * g], pa.binary()), "gram": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(names)]), "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(counts)])})
+
+    asked = stored(dealt.groupBy("chunk").applyInArrow(ask, "chunk long, word binary, gram long, n long"))
+    grams = asked.where("gram IS NOT NULL")
+    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")))
+    of_words = asked.where("word IS NOT NULL").select("chunk", "word", "n").withColumn("c", F.sum("n").over(Window.partitionBy("word")))
+    # words of one chunk only are known there
+    of_words = stored(of_words.select("chunk", "word", "n", "c").where("c > n"))
+    whole = asked.where("word IS NOT NULL AND n > 0").agg(F.sum("n").alias("n")).first()
+    shared = of_words.where("n > 0").agg(F.countDistinct("word").alias("v")).first()["v"]
+    alone = asked.where("word IS NOT NULL AND n > 0").agg(F.count(F.lit(1)).alias("v")).first()["v"] - of_words.where("n > 0").count()
+    tokens = (whole["n"] or 0) + learning
+    distinct = shared + alone + (1 if learning else 0)
+    answers = of_words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value")).unionByName(grams.join(string_scores(counts), "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def tell(key, table, known):
+        learn = [not x for x in table["held_out"].to_pylist()]
+        texts = [t.lower() for t in table["text"].to_pylist()]
+        local: dict[bytes, float] = Counter()
+        for t, ok in zip(texts, learn, strict=True):
+            if ok:
+                local.update(t.split())
+        known = known.combine_chunks()
+        word = known.filter(pc.is_valid(known["word"]))
+        local = dict(local)
+        local.update(zip(word["word"].to_pylist(), word["value"].to_pylist(), strict=True))
+        n, found, base = [], [], []
+        log_all = np.log10(tokens + distinct + 1)
+        for t in texts:
+            c = np.array([*map(local.get, t.split(), repeat(0)), learning], dtype=np.float64)
+            n.append(len(c))
+            found.append(int((c > 0).sum()))
+            base.append(float(np.log10(c + 1).sum() - len(c) * log_all))
+        gram = known.filter(pc.is_valid(known["gram"]))
+        names, value = gram["gram"].to_numpy(), gram["value"].to_numpy()
+        order = np.argsort(names)
+        names, value = names[order], value[order]
+        score = []
+        for i, j in runs(texts):
+            own, bounds = strings(texts[i:j])
+            score.append(np.add.reduceat(value[np.searchsorted(names, own)], bounds[:-1]))
+        size = len(texts)
+        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array([tokens] * size, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score) if score else np.zeros(0))})
+
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+

@@ -240,3 +240,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: i
 
     scored = texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows predicted toxic, whatever their id."""
+    model = docs.sparkSession.sparkContext.broadcast(train(text_bytes(docs, "doc_id"), labels))
+    schema, names = docs.schema, docs.columns
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(names.index("text"))
+            data, at = buffers(column.fill_null("").cast(pa.binary()))
+            keep = np.concatenate([np.zeros(0, dtype=bool), *(score_rows(model.value, data[at[i] : at[j]], at[i : j + 1] - at[i]) < 0.3 for i, j in portions(at))])
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
