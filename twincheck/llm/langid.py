@@ -161,8 +161,6 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
 
     def run(batches):
         langs = model.value.langs
-        m = Model.__new__(Model)
-        m.langs, m.tables, m.bits = langs, tables, bits
         for batch in batches:
             data, at = buffers(batch.column(1))
             pred, score = [], []
