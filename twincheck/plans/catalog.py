@@ -10,8 +10,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import checks, content, risks, tabular
+
+_MODULES = (tabular, risks, content, checks)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
 
 
 def ship(spark: SparkSession, root: str) -> None:
