@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, stored, text_bytes, volume
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text of a chunk, about.
 CHUNK_BYTES = 24 << 20
 PORTION = 1 << 20
