@@ -7,7 +7,7 @@ estimates of all depths along the context. Training counts every byte of every l
 
 Texts are dealt to chunks of bounded size by a hash. A chunk asks for what it contains: its distinct words and its
 distinct (context, byte) strings, with their counts in learning texts. Counts are summed over all chunks; strings with the
-same two last context bytes form one subtree, at most 256^3 strings, whose nodes are weighted from the leaves up and
+same two last context bytes form one subtree, one task's group: only the distinct strings that occur, but up to 256^4 in principle, whose nodes are weighted from the leaves up and
 then evaluated from the root down, given at most 256 * 255 nodes of depth 1. The answers go back to the chunks that
 asked. So nothing that grows with the corpus is broadcast or collected.
 
