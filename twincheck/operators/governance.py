@@ -71,3 +71,26 @@ def score_histogram(scores: DataFrame, bins: int = 10) -> DataFrame:
 def report_json(report: DataFrame) -> DataFrame:
     """(report): all rows of a report of one row per metric as one JSON text."""
     return report.agg(F.to_json(F.struct(F.lit("1.0").alias("version"), F.sort_array(F.collect_list(F.struct(*report.columns))).alias("rows"))).alias("report"))
+
+
+def executive_summary(report: DataFrame) -> DataFrame:
+    """From (fidelity, singling_out, linkability, inference, auc): verdict, its explanation, and each part's pass.
+
+    A missing value fails, as a missing risk counts as 1."""
+    over = [F.when(F.coalesce(F.col(c), F.lit(1.0)) > most, f"{words} risk too high") for c, most, words in (("singling_out", 0.05, "singling-out"), ("linkability", 0.10, "linkability"), ("inference", 0.15, "inference"))]
+    failing, auc = F.concat_ws(", ", *over), F.coalesce(F.col("auc"), F.lit(1.0))
+    out = report.select("*", (F.coalesce(F.col("fidelity"), F.lit(0.0)) >= 0.82).alias("fidelity_passed"), (failing == "").alias("privacy_passed"), (auc < 0.60).alias("memorization_passed"))
+    why = F.concat_ws(
+        "; ",
+        F.when(~F.col("fidelity_passed"), "Fidelity score below threshold (0.82)"),
+        F.when(~F.col("privacy_passed"), F.concat(F.lit("Privacy thresholds failed: "), failing)),
+        F.when(~F.col("memorization_passed"), F.format_string("Memorization AUC (%.3f) exceeds threshold (0.60)", auc)),
+    )
+    passed = F.col("fidelity_passed") & F.col("privacy_passed") & F.col("memorization_passed")
+    return out.select(F.when(passed, "PASS").otherwise("FAIL").alias("verdict"), F.when(passed, "All fidelity, privacy, and memorization thresholds met.").otherwise(why).alias("explanation"), "fidelity_passed", "privacy_passed", "memorization_passed")
+
+
+def dashboard(report: DataFrame) -> DataFrame:
+    """(metric, score, threshold, passed) from (fidelity, overall_risk, auc): higher is better in every row; a missing score is null and fails."""
+    rows = (("Overall Fidelity", F.col("fidelity"), 0.75), ("Privacy Safety", 1 - F.col("overall_risk"), 0.80), ("Memorization Resistance", 1 - F.col("auc"), 0.40))
+    return report.select(F.explode(F.array(*(F.struct(F.lit(name).alias("metric"), score.alias("score"), F.lit(least).alias("threshold"), F.coalesce(F.round(score, 12) >= least, F.lit(False)).alias("passed")) for name, score, least in rows))).alias("x")).select("x.*")

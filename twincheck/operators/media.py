@@ -124,3 +124,58 @@ def listening_score(waves: DataFrame, rate: int = 16_000) -> DataFrame:
         return v.map(lambda x: one(np.asarray(x, dtype=np.float64)))
 
     return waves.where(F.size("v") >= rate // 2).select("pos", mos("v").alias("mos"))
+
+
+def inception_score(probabilities: DataFrame, splits: int = 10) -> DataFrame:
+    """(mean, std, n_splits) over class probabilities (pos, v): exp of the mean divergence of rows from their split's mean.
+
+    Splits are equal runs of positions; rows past the last whole one are left out. 1 and 0 without any split."""
+    size = F.floor(F.col("n") / splits)
+    counted = probabilities.join(F.broadcast(probabilities.agg(F.count(F.lit(1)).alias("n")))).where(F.col("pos") <= size * splits)
+    cells = counted.select(F.floor(F.try_divide(F.col("pos") - 1, size)).alias("split"), F.posexplode("v").alias("k", "p"))
+    shares = cells.groupBy("split", "k").agg(F.avg("p").alias("m"), F.avg(F.col("p") * F.ln(F.col("p") + 1e-8)).alias("own"))
+    each = shares.groupBy("split").agg(F.exp(F.sum(F.col("own") - F.col("m") * F.ln(F.col("m") + 1e-8))).alias("s"))
+    return each.agg(F.coalesce(F.avg("s"), F.lit(1.0)).alias("mean"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("std"), F.count("s").alias("n_splits"))
+
+
+def prosody(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int = 50) -> DataFrame:
+    """(energy_correlation, rate_similarity, score) of the first `most` paired (pos, v) waveforms: 0.6 of the correlation of
+    their energy envelopes (25 ms each 10 ms) and 0.4 of the ratio of their zero-crossing rates. A part without any pair is 0.5."""
+    frame, hop = int(0.025 * rate), int(0.010 * rate)
+    both = frame_pairs(real, synth, most).withColumn("n", F.least(F.size("r"), F.size("s"))).where((F.col("n") >= 2 * frame) & (F.col("n") >= frame + 9 * hop))
+
+    def envelope(v: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.col("n") - frame + 1, F.lit(hop)), lambda i: F.sqrt(mean_of(F.transform(F.slice(v, i, F.lit(frame)), lambda x: x.cast("double") * x.cast("double")))))
+
+    def crossings(v: str) -> Column:
+        return mean_of(F.zip_with(F.slice(v, F.lit(2), F.col("n") - 1), F.slice(v, F.lit(1), F.col("n") - 1), lambda x, y: F.abs(F.signum(x.cast("double")) - F.signum(y.cast("double"))))) / 2
+
+    zr, zs = crossings("r"), crossings("s")
+    cells = both.select("pos", (F.least(zr, zs) / (F.greatest(zr, zs) + 1e-8)).alias("rate"), F.explode(F.arrays_zip(envelope("r").alias("r"), envelope("s").alias("s"))).alias("x"))
+    each = cells.groupBy("pos").agg(F.corr("x.r", "x.s").alias("c"), F.first("rate").alias("rate"))
+    found = each.agg(F.coalesce(F.avg(F.when(~F.isnan("c"), F.greatest("c", F.lit(0.0)))), F.lit(0.5)).alias("energy_correlation"), F.coalesce(F.avg("rate"), F.lit(0.5)).alias("rate_similarity"))
+    return found.withColumn("score", 0.6 * F.col("energy_correlation") + 0.4 * F.col("rate_similarity"))
+
+
+def structural_similarity(real: DataFrame, synth: DataFrame, shape: tuple[int, int, int], most: int = 200, window: int = 7, span: float = 255.0) -> DataFrame:
+    """(mean, std, pairs) of the SSIM (Wang et al., 2004) of the first `most` paired images (pos, v), v flat by height, width and
+    channel as `shape` says: uniform windows, sample covariances. Images of another size, or smaller than a window, are left out."""
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+
+    def box(x: np.ndarray) -> np.ndarray:
+        total = np.pad(x, ((1, 0), (1, 0), (0, 0))).cumsum(axis=0).cumsum(axis=1)
+        return (total[window:, window:] - total[:-window, window:] - total[window:, :-window] + total[:-window, :-window]) / window**2
+
+    def one(a, b) -> float:
+        x, y = (np.asarray(v, dtype=np.float64).reshape(shape) for v in (a, b))
+        mx, my, unbiased = box(x), box(y), window**2 / (window**2 - 1)
+        vx, vy, vxy = (unbiased * (box(p * q) - mp * mq) for p, q, mp, mq in ((x, x, mx, mx), (y, y, my, my), (x, y, mx, my)))
+        return float(((2 * mx * my + c1) * (2 * vxy + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    pixels = shape[0] * shape[1] * shape[2]
+    both = frame_pairs(real, synth, most).where((F.size("r") == pixels) & (F.size("s") == pixels) & F.lit(min(shape[:2]) >= window))
+    return both.select(similarity("r", "s").alias("s")).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("std"), F.count("s").alias("pairs"))

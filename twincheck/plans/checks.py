@@ -61,6 +61,20 @@ def full_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fidelity.select("fidelity", *governance.full_score(F.col("fidelity"), F.lit(True), F.lit(False))), 5)
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fidelity is measured; the other values are those of an earlier run, of which the inference attack is missing."""
+    fidelity = fq.categorical_scores(*lineitems(spark, sf_dir), ["l_returnflag", "l_linestatus"]).agg(F.avg("tv_score").alias("fidelity"))
+    return fidelity.select("fidelity", F.lit(0.02).alias("singling_out"), F.lit(0.12).alias("linkability"), F.lit(None).cast("double").alias("inference"), F.lit(0.62).alias("auc"), F.lit(0.16).alias("overall_risk"))
+
+
+def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.executive_summary(_reported(spark, sf_dir))
+
+
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(governance.dashboard(_reported(spark, sf_dir)), 5)
+
+
 def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.score_histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") / 50).alias("score")))
 
@@ -83,7 +97,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "tv_distance"))
 
 
-QUERIES = {f.__name__: f for f in (value_ranges, greater_than, code_format, prefix_distance, pair_safety, contract, regression, full_verdict, score_bins, row_cap, latest_rows, drift)}
+QUERIES = {f.__name__: f for f in (executive_summary, dashboard, value_ranges, greater_than, code_format, prefix_distance, pair_safety, contract, regression, full_verdict, score_bins, row_cap, latest_rows, drift)}
 
 _CONTRACT = {
     "price_not_null": "SELECT count_if(o_totalprice IS NULL) FROM orders",
@@ -109,4 +123,9 @@ ORACLES = {
     "latest_rows": "SELECT user_id AS job_id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
     "drift": """WITH d AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT day, sum(n) AS total FROM d GROUP BY day), g AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS share FROM events GROUP BY event_type)
         SELECT t.day, round(0.5 * sum(abs(coalesce(n, 0) / total - share)), 6) AS tv_distance FROM t CROSS JOIN g LEFT JOIN d ON d.day = t.day AND d.event_type = g.event_type GROUP BY t.day""",
+    "executive_summary": f"""WITH f AS (SELECT avg(1 - tv) >= 0.82 AS ok FROM (({_TV.format(c='l_returnflag')}) UNION ALL ({_TV.format(c='l_linestatus')})))
+        SELECT 'FAIL' AS verdict, concat_ws('; ', CASE WHEN NOT ok THEN 'Fidelity score below threshold (0.82)' END, 'Privacy thresholds failed: linkability risk too high, inference risk too high', 'Memorization AUC (0.620) exceeds threshold (0.60)') AS explanation,
+            ok AS fidelity_passed, false AS privacy_passed, false AS memorization_passed FROM f""",
+    "dashboard": f"""WITH f AS (SELECT avg(1 - tv) AS f FROM (({_TV.format(c='l_returnflag')}) UNION ALL ({_TV.format(c='l_linestatus')})))
+        SELECT 'Overall Fidelity' AS metric, round(f, 5) AS score, 0.75::DOUBLE AS threshold, f >= 0.75 AS passed FROM f UNION ALL SELECT 'Privacy Safety', 0.84, 0.80, true UNION ALL SELECT 'Memorization Resistance', 0.38, 0.40, false""",
 }

@@ -76,7 +76,23 @@ def snr_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(media.snr_similarity(*vectors(spark, sf_dir), least=32), 5)
 
 
-QUERIES = {f.__name__: f for f in (bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
+def inception_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax of each vector stands in for a classifier's probabilities."""
+    odds = vectors(spark, sf_dir)[1].withColumn("e", F.transform("v", lambda x: F.exp(x)))
+    return rounded(media.inception_score(odds.select("pos", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("v"))))
+
+
+def prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At 400 samples a second, 64 samples are 14 frames of 10."""
+    return rounded(media.prosody(*vectors(spark, sf_dir), rate=400))
+
+
+def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is an image of 8 by 8."""
+    return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1)))
+
+
+QUERIES = {f.__name__: f for f in (inception_score, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
 
 _TEXTS = r"""corpus AS (SELECT doc_id % 2 AS side, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS pos, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)"""
 
@@ -116,4 +132,16 @@ ORACLES = {
     "waveform_correlation": f"WITH {_VEC.format(scale='1.0')} SELECT count(*) AS pairs, round(avg({_COS.format(a='r.v', b='s.v')}), 6) AS correlation FROM r JOIN s USING (pos)",
     "snr_similarity": f"""WITH {_VEC.format(scale="1.0")}, q AS (SELECT side, pos, sqrt(list_avg(list_transform(v, lambda x: x * x))) AS rms, sqrt(list_avg(list_transform(list_sort(list_transform(v, lambda x: abs(x)))[1:6], lambda x: x * x))) AS fl FROM vec), d AS (SELECT side, pos, CASE WHEN fl < 1e-8 THEN 60 ELSE 20 * log10(rms / fl + 1e-8) END AS db FROM q)
         SELECT round(avg(abs(a.db - b.db)), 5) AS mean_difference, round(greatest(0, 1 - avg(abs(a.db - b.db)) / 30), 5) AS score FROM d a JOIN d b ON a.pos = b.pos AND a.side = 0 AND b.side = 1""",
+    "inception_score": f"""WITH {_VEC.format(scale="1.0")}, e AS (SELECT pos, list_transform(v, lambda x: exp(x)) AS e FROM s), n AS (SELECT count(*) // 10 AS size FROM s),
+        p AS (SELECT (pos - 1) // size AS split, k, e[k] / list_sum(e) AS p FROM e, n, range(1, 65) t(k) WHERE pos <= size * 10),
+        m AS (SELECT split, k, avg(p) AS m FROM p GROUP BY ALL), d AS (SELECT split, exp(sum(p * (ln(p + 1e-8) - ln(m + 1e-8))) / any_value(size)) AS s FROM p JOIN m USING (split, k), n GROUP BY split)
+        SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, count(*) AS n_splits FROM d""",
+    "prosody": f"""WITH {_VEC.format(scale="1.0")}, b AS (SELECT pos, r.v AS r, s.v AS s FROM r JOIN s USING (pos) WHERE pos <= 50),
+        f AS (SELECT pos, sqrt(list_avg(list_transform(r[i:i + 9], lambda x: x * x))) AS x, sqrt(list_avg(list_transform(s[i:i + 9], lambda x: x * x))) AS y FROM b, range(1, 56, 4) t(i)),
+        c AS (SELECT pos, corr(x, y) AS c FROM f GROUP BY pos), z AS (SELECT pos, avg(abs(sign(r[k + 1]) - sign(r[k]))) / 2 AS a, avg(abs(sign(s[k + 1]) - sign(s[k]))) / 2 AS b FROM b, range(1, 64) t(k) GROUP BY pos),
+        g AS (SELECT avg(greatest(c, 0)) AS e, avg(least(a, b) / (greatest(a, b) + 1e-8)) AS q FROM c JOIN z USING (pos))
+        SELECT round(e, 6) AS energy_correlation, round(q, 6) AS rate_similarity, round(0.6 * e + 0.4 * q, 6) AS score FROM g""",
+    "structural_similarity": f"""WITH {_VEC.format(scale=SCALE)}, px AS (SELECT pos, k - 1 AS k, r.v[k] AS x, s.v[k] AS y FROM r JOIN s USING (pos), range(1, 65) t(k) WHERE pos <= 200),
+        w AS (SELECT pos, i, j, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM px, range(2) a(i), range(2) b(j) WHERE k // 8 BETWEEN i AND i + 6 AND k % 8 BETWEEN j AND j + 6 GROUP BY ALL),
+        q AS (SELECT pos, avg((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) AS s FROM w GROUP BY pos) SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, count(*) AS pairs FROM q""",
 }
