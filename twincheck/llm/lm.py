@@ -89,20 +89,17 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def bit_nodes(byte: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The node (1 to 255) of decision i, and the decision."""
-    return (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
+def cells_of(number: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The visited (context number * 256 + node), each decision's place among them (8 rows), and zeros and ones there.
 
-
-def counted(context: np.ndarray, byte: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each (context, node)."""
-    ab = np.zeros((2, size * 256))
-    for i in range(8):
-        node, bit = bit_nodes(byte, i)
-        for value in (0, 1):
-            own = bit == value
-            ab[value] += np.bincount(context[own] * 256 + node[own], weights=n[own], minlength=size * 256)
-    return ab[0].reshape(size, 256), ab[1].reshape(size, 256)
+    Decision i of a byte stands at node (1 << i) | (its first i bits), 1 to 255. Only nodes that a string visits are kept."""
+    i = np.arange(8)[:, None]
+    cells, at = np.unique(number[None, :] * 256 + ((1 << i) | (byte[None, :] >> (8 - i))), return_inverse=True)
+    at = at.reshape(8, len(byte))
+    bit = (byte[None, :] >> (7 - i)) & 1
+    both = np.bincount(at.ravel(), weights=np.tile(n, 8).astype(np.float64), minlength=len(cells))
+    ones = np.bincount(at.ravel(), weights=(bit * n[None, :]).ravel().astype(np.float64), minlength=len(cells))
+    return cells, at, both - ones, ones
 
 
 def weighted(own: np.ndarray, children: np.ndarray) -> np.ndarray:
@@ -116,22 +113,23 @@ def kept_share(own: np.ndarray, children: np.ndarray) -> np.ndarray:
 def subtree(key: np.ndarray, n: np.ndarray):
     """The nodes of depths 2 to DEPTH below one pair of last context bytes.
 
-    Per depth: context number of each string, zeros, ones, ln of own estimate, ln of the children's product (leaves: none)."""
+    Per depth: each decision's place among the visited nodes, zeros, ones, ln of own estimate, ln of the children's product (leaves: none).
+    Then the nodes of depth 2 and the ln of their weighted probability."""
     byte, levels, below = key & 255, [], None
     for d in range(DEPTH, 1, -1):
-        context = (key >> 8) & ((1 << (8 * d)) - 1)
-        names, number = np.unique(context, return_inverse=True)
-        a, b = counted(number, byte, n, len(names))
+        mask = (1 << (8 * d)) - 1
+        names, number = np.unique((key >> 8) & mask, return_inverse=True)
+        cells, at, a, b = cells_of(number, byte, n)
         own, children = estimated(a, b), None
         if below is not None:
-            parent = np.searchsorted(names, below[0] & ((1 << (8 * d)) - 1))
-            children = np.zeros_like(own)
-            np.add.at(children, parent, below[1])
+            lower, nodes, values = below
+            parent = np.searchsorted(names, lower & mask)[nodes >> 8] * 256 + (nodes & 255)
+            children = np.bincount(np.searchsorted(cells, parent), weights=values, minlength=len(cells))
         seen = a + b > 0
         value = np.where(seen, own if children is None else weighted(own, children), 0.0)
-        levels.append((number, a, b, own, children))
-        below = (names, value)
-    return levels[::-1], below[1][0]
+        levels.append((at, a, b, own, children))
+        below = (names, cells, value)
+    return levels[::-1], below[1], below[2]
 
 
 def descend(mixed: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +152,16 @@ def top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def evaluate(key: np.ndarray, n: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
     """log10 probability of the byte of each string, given what depths 0 and 1 say at (last byte, node)."""
-    levels, _ = subtree(key, n)
+    levels, _, _ = subtree(key, n)
     byte, last = key & 255, (key >> 8) & 255
+    # what a node adds to a prediction of weight 1, and the weight it leaves
+    steps = [(at, *descend(np.zeros(len(a)), np.ones(len(a)), a, b, own, children)) for at, a, b, own, children in levels]
     out = np.zeros(len(key))
     for i in range(8):
-        node, bit = bit_nodes(byte, i)
+        node, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
         p, rest = mixed[last, node], left[last, node]
-        for number, a, b, own, children in levels:
-            at = (number, node)
-            p, rest = descend(p, rest, a[at], b[at], own[at], None if children is None else children[at])
+        for at, adds, leaves in steps:
+            p, rest = p + rest * adds[at[i]], rest * leaves[at[i]]
         out += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-300, 1))
     return out
 
@@ -174,10 +173,10 @@ def string_scores(counts: DataFrame) -> DataFrame:
     placed = counts.withColumn("pair", pair)
 
     def up(rows: pd.DataFrame) -> pd.DataFrame:
-        levels, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        levels, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
         _, a, b, _, _ = levels[0]
-        node = np.flatnonzero(a[0] + b[0] > 0)
-        return pd.DataFrame({"c": np.full(len(node), int(rows["pair"].iloc[0]) & 255), "node": node, "a": a[0][node], "b": b[0][node], "value": value[node]})
+        seen = np.flatnonzero(a + b > 0)
+        return pd.DataFrame({"c": np.full(len(seen), int(rows["pair"].iloc[0]) & 255), "node": nodes[seen] & 255, "a": a[seen], "b": b[seen], "value": value[seen]})
 
     two = placed.groupBy("pair").applyInPandas(up, "c int, node int, a double, b double, value double")
 
