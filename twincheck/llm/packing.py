@@ -1,10 +1,14 @@
 """Packing by lexical retrieval.
 
-Documents are dealt by a hash of their id to shards of bounded size. A shard builds a BM25 inverted index
-over its documents' token ids. A seed, the remainder of the document that was cut last or else the first
-unused document, asks the index for its unused neighbours, by the terms that weigh most in it; they fill
-the window in order of score, the last one is cut where the window ends, and its rest seeds the
-next window. So only the last sequence of a shard can need padding.
+Terms are token ids; document frequencies, mean length and row count are taken once over all documents. The
+documents' BM25 weights are projected to the widest directions of a bounded sample, and a tree of hyperplanes,
+each between two means of its part of another bounded sample, gives leaves of documents of like content. Every
+document's leaf is counted, and neighbouring leaves join to shards of bounded size; only a leaf larger than a
+shard is split by a hash. A shard builds a BM25 inverted index with the weights of the whole corpus. A seed,
+the remainder of the document that was cut last or else the first unused document, asks the index for its
+unused neighbours, by the terms that weigh most in it; they fill the window in order of score, the last one
+is cut where the window ends, and its rest seeds the next window. So only the last sequence of a shard can
+need padding. Neighbours beyond the shard are not found; the README states the measured recall.
 
 Token ids come from the given tokenizer's file, followed by the end id. White space separates words for the
 tokenizer, so each distinct word is encoded once per worker and looked up afterwards.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, volume
+from .common import buffers, portions, stored, text_bytes
 
 WINDOW = 4096
 END = 2
@@ -31,6 +35,8 @@ SHARD_BYTES = 8 << 20
 #: Terms of a seed that the index is asked for, and neighbours wanted per answer.
 TERMS, NEIGHBOURS = 24, 12
 K1, B = 1.2, 0.75
+#: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
+WIDTH, ROWS, LEAVES, FIT = 64, 4096, 4, 8
 #: A worker forgets its words when it holds so many.
 MEMORY = 1_000_000
 
@@ -72,20 +78,126 @@ def words_of(path: str) -> Words:
     return _held[path]
 
 
+def counts(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and how often, for each pair that occurs, in order."""
+    key = (np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets)) << 32) | tokens.astype(np.int64)
+    key, tf = np.unique(key, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, tf
+
+
+class Corpus:
+    """Inverse document frequency of each term and the mean length, over all documents."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.idf, self.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), max(1.0, tokens / max(1, n))
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        norm = K1 * (1 - B + B * sizes / self.mean)
+        return self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+    def rows(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, term, tf = counts(tokens, offsets)
+        return doc, term, self.weights(doc, term, tf, np.diff(offsets)).astype(np.float32)
+
+    def directions(self, tokens: np.ndarray, offsets: np.ndarray, rounds: int = 4) -> np.ndarray:
+        """Terms x WIDTH: the leading singular vectors of the documents' unit rows, by subspace iteration."""
+        doc, term, weight = self.rows(tokens, offsets)
+        n, v = len(offsets) - 1, len(self.idf)
+        weight = weight / np.sqrt(np.maximum(np.bincount(doc, weights=weight * weight, minlength=n), 1e-9))[doc]
+        q = np.random.default_rng(0).standard_normal((v, WIDTH))
+        for _ in range(rounds):
+            y = np.stack([np.bincount(doc, weights=weight * q[term, k], minlength=n) for k in range(WIDTH)], axis=1)
+            y = np.linalg.qr(y)[0]
+            q = np.stack([np.bincount(term, weights=weight * y[doc, k], minlength=v) for k in range(y.shape[1])], axis=1)
+            q = np.pad(q, ((0, 0), (0, WIDTH - q.shape[1])))
+        return (q / np.maximum(np.linalg.norm(q, axis=0), 1e-9)).astype(np.float32)
+
+    def vectors(self, tokens: np.ndarray, offsets: np.ndarray, project: np.ndarray) -> np.ndarray:
+        """Unit projections of the documents' weights; zero without a term."""
+        doc, term, weight = self.rows(tokens, offsets)
+        out = np.zeros((len(offsets) - 1, WIDTH), dtype=np.float32)
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        if len(first):
+            out[doc[first]] = np.add.reduceat(project[term] * weight[:, None], first, axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def plane(x: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.float32]:
+    """Normal and offset between two means, from halves of the widest direction; the halves if the means leave a side below a tenth."""
+    mid = x - x.mean(axis=0)
+    first = np.linalg.eigh((mid.T @ mid).astype(np.float64))[1][:, -1].astype(np.float32)
+    at = x @ first
+    middle = np.median(at)
+    if not (at < middle).any():
+        middle = at[at > middle].min(initial=np.inf)
+    axis, cut, right = first, middle, at >= middle
+    for _ in range(rounds):
+        if min(right.sum(), (~right).sum()) < 0.1 * len(x):
+            return first, middle
+        a, b = x[~right].mean(axis=0), x[right].mean(axis=0)
+        axis, cut = b - a, (b - a) @ (b + a) / 2
+        now = x @ axis >= cut
+        if (now == right).all():
+            break
+        right = now
+    return axis, cut
+
+
+class Tree:
+    """Cuts of the projected documents into about `leaves` parts of like content and size, numbered from left to right."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, leaves: int):
+        self.axis, self.cut, self.child, self.leaves = [], [], [], 0
+        self._grow(vectors, sizes, sizes.sum() / leaves)
+        self.axis, self.cut, self.child = np.array(self.axis, dtype=np.float32).reshape(-1, WIDTH), np.array(self.cut, dtype=np.float32), np.array(self.child, dtype=np.int64).reshape(-1, 2)
+
+    def _grow(self, x: np.ndarray, sizes: np.ndarray, most: float) -> int:
+        """Number of the inner node, or -1 - number of the leaf."""
+        if sizes.sum() > most and (x != x[:1]).any():
+            axis, cut = plane(x)
+            right = x @ axis >= cut
+            if right.any() and not right.all():
+                me = len(self.axis)
+                self.axis.append(axis)
+                self.cut.append(cut)
+                self.child.append(None)
+                self.child[me] = (self._grow(x[~right], sizes[~right], most), self._grow(x[right], sizes[right], most))
+                return me
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, vectors: np.ndarray) -> np.ndarray:
+        at = np.full(len(vectors), 0 if len(self.axis) else -1, dtype=np.int64)
+        while (at >= 0).any():
+            own = np.flatnonzero(at >= 0)
+            node = at[own]
+            at[own] = self.child[node, (np.einsum("ij,ij->i", vectors[own], self.axis[node]) >= self.cut[node]).astype(np.int64)]
+        return -1 - at
+
+
+def shards_of(leaves: list[tuple[int, int]], shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(leaf, first shard, shards) from (leaf, bytes) in order: neighbouring leaves share a shard while they fit."""
+    out, last, room = [], -1, 0
+    for leaf, size in leaves:
+        parts = max(1, -(-size // shard_bytes))
+        if size > room:
+            first, last, room = last + 1, last + parts, shard_bytes if parts == 1 else 0
+        else:
+            first = last
+        room -= size if parts == 1 else 0
+        out.append((leaf, first, parts))
+    return out
+
+
 class Index:
-    """BM25 postings over documents given as arrays of token ids."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        key = (np.repeat(np.arange(len(docs), dtype=np.int64), sizes) << 32) | np.concatenate(docs).astype(np.int64)
-        key, tf = np.unique(key, return_counts=True)
-        doc, term = key >> 32, key & 0xFFFFFFFF
-        df = np.bincount(term)
-        idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+    """BM25 postings over documents given as arrays of token ids, the end id last; with the weights of the corpus."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
+        sizes = np.array([len(d) - 1 for d in docs], dtype=np.int64)
+        doc, term, tf = counts(np.concatenate([d[:-1] for d in docs]), np.concatenate([[0], np.cumsum(sizes)]))
+        weight = corpus.weights(doc, term, tf, sizes)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.first = doc[order], weight[order], np.concatenate([[0], np.cumsum(df)])
+        self.doc, self.weight, self.first = doc[order], weight[order], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(corpus.idf)))])
         # the terms of each document from the weightiest: its query
         best = np.lexsort((term, -weight, doc))
         self.query, self.query_at = term[best], np.searchsorted(doc, np.arange(len(docs) + 1))
@@ -106,9 +218,9 @@ class Index:
         return top[np.lexsort((top, -score[top]))]
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset)."""
-    index, used, out = Index(docs), np.zeros(len(docs), dtype=bool), []
+    index, used, out = Index(docs, corpus), np.zeros(len(docs), dtype=bool), []
     sequence, room, waiting, nxt, rest = 0, window, [], 0, None
     while True:
         if rest is not None:
@@ -139,24 +251,97 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
                 waiting = []
 
 
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids (without the end id) and size, which is the text's bytes and 16 more."""
+
+    def run(batches):
+        encoder = words_of(tokenizer)
+        for batch in batches:
+            ids, text = [], batch.column(1).to_pylist()
+            for at in range(0, len(text), 256):
+                ids += encoder.encode(text[at : at + 256])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(t) + 16 for t in text], pa.int64())], names=["doc_id", "ids", "size"])
+
+    return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, size long")
+
+
+def flat(column: pa.Array):
+    """Token ids and offsets of portions of a batch's documents."""
+    data, at = buffers(column)
+    for i, j in portions(at, 1 << 22):
+        yield i, j, data[at[i] : at[j]].view("<u4"), (at[i : j + 1] - at[i]) // 4
+
+
+def measured(tokens: DataFrame) -> Corpus:
+    """One aggregate over all documents; a row for each term comes to the driver, as many as the tokenizer knows."""
+
+    def run(batches):
+        n, length, df = 0, 0, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for i, j, ids, at in flat(batch.column(0)):
+                own = np.bincount(counts(ids, at)[1], minlength=len(df))
+                own[: len(df)] += df
+                n, length, df = n + j - i, length + len(ids), own
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, length]))], names=["term", "n"])
+
+    rows = tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    held = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
+    n, length = held.pop(-1, 0), held.pop(-2, 0)
+    df = np.zeros(1 + max(held, default=0), dtype=np.int64)
+    df[list(held.keys())] = list(held.values())
+    return Corpus(n, length, df)
+
+
+def placed(tokens: DataFrame, corpus, shard_bytes: int) -> DataFrame:
+    """Adds the shard: documents of like content share one."""
+    n, total = tokens.agg(F.count(F.lit(1)), F.sum("size")).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    if shards == 1:
+        return tokens.withColumn("shard", F.lit(0).cast("long"))
+    key = F.xxhash64("doc_id", "ids")
+
+    def some(rows: int) -> DataFrame:
+        return tokens.where(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).groupBy(key.alias("key")).agg(F.min("ids").alias("ids"), F.sum("size").alias("size"))
+
+    fit = [bytes(r["ids"]) for r in sorted(some(ROWS).collect(), key=lambda r: r["key"])]  # about ROWS rows
+    directions = corpus.value.directions(np.frombuffer(b"".join(fit), dtype="<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in fit], dtype=np.int64)]))
+    project = tokens.sparkSession.sparkContext.broadcast(directions)
+
+    def vectors(column):
+        return np.concatenate([corpus.value.vectors(ids, at, project.value) for _, _, ids, at in flat(column)] or [np.zeros((0, WIDTH), dtype=np.float32)])
+
+    def show(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in vectors(batch.column(1))], pa.binary()), batch.column(2)], names=["key", "v", "size"])
+
+    fit = some(shards * LEAVES * FIT).mapInArrow(show, "key long, v binary, size long").toPandas().sort_values("key")
+    tree = tokens.sparkSession.sparkContext.broadcast(Tree(np.frombuffer(b"".join(map(bytes, fit["v"])), dtype=np.float32).reshape(-1, WIDTH), fit["size"].to_numpy(), shards * LEAVES))
+
+    def walk(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.leaf(vectors(batch.column(1))))], names=["doc_id", "ids", "size", "leaf"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    out = stored(tokens.select("doc_id", "ids", "size").mapInArrow(walk, f"doc_id {kind}, ids binary, size long, leaf long"))
+    sizes = sorted((r["leaf"], r["size"]) for r in out.groupBy("leaf").agg(F.sum("size").alias("size")).collect())  # LEAVES rows a shard
+    deal = tokens.sparkSession.createDataFrame(shards_of(sizes, shard_bytes), "leaf long, first long, parts long")
+    return out.join(F.broadcast(deal), "leaf").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts")))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    texts = text_bytes(docs, "doc_id")
-    n, total = volume(texts)
-    shards = max(1, -(-(total + 16 * n) // shard_bytes))
+    texts = stored(encoded(docs, tokenizer))
+    corpus = docs.sparkSession.sparkContext.broadcast(measured(texts))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards)).alias("shard")
 
     def run(key, rows):
-        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         ids = rows["doc_id"].combine_chunks()
-        encoder, tokens = words_of(tokenizer), []
-        batch = rows["text"].to_pylist()
-        for at in range(0, len(batch), 256):
-            tokens += [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END)) for x in encoder.encode(batch[at : at + 256])]
-        d, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*fill(tokens, window), strict=True))
+        tokens = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END)) for x in rows["ids"].to_pylist()]
+        d, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*fill(tokens, corpus.value, window), strict=True))
         crc = [zlib.crc32(tokens[k][s : s + n].astype("<u4").tobytes()) for k, s, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
         size = np.array([len(t) for t in tokens], dtype=np.int64)[d]
         return pa.table({"doc_id": ids.take(pa.array(d)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": size, "sequence_id": seq + (key[0].as_py() << 32), "offset": offset})
 
-    return texts.select("doc_id", "text", shard).groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed(texts, corpus, shard_bytes).select("doc_id", "ids", "shard").groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
