@@ -25,3 +25,21 @@ def test_shards_hold_documents_of_like_content(spark):
     assert len(shards) >= 10
     spread = Counter(t for own in shards.values() for t in set(own))
     assert np.mean([spread[t] for t in range(24)]) < 4  # a random deal spreads each topic over all shards
+
+
+def packed(docs, window):
+    docs = [np.array([*d, packing.END], dtype=np.uint32) for d in docs]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]))
+    return packing.fill(docs, packing.Corpus(len(docs), sum(len(d) - 1 for d in docs), df), window)
+
+
+def test_a_window_takes_every_neighbour_of_its_seed_first():
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(100 + 100 * (i % 3), 120 + 100 * (i % 3), 19) for i in range(90)]
+    first = [d % 3 for d, _, _, sequence, _ in packed(docs, 500) if sequence == 0]
+    assert first == [0] * 25  # 12 neighbours would leave half of the window to the other topics
+
+
+def test_every_term_of_a_seed_counts():
+    docs = [[*range(100, 140), 50], [60, 61], [62, 63], [50, 64]]
+    assert [d for d, *_ in packed(docs, 1000)][:2] == [0, 3]

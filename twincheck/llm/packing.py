@@ -6,8 +6,8 @@ each between two means of its part of another bounded sample, gives leaves of do
 document's leaf is counted, and neighbouring leaves join to shards of bounded size; only a leaf larger than a
 shard is split by a hash. A shard builds a BM25 inverted index with the weights of the whole corpus. A seed,
 the remainder of the document that was cut last or else the first unused document, asks the index for its
-unused neighbours, by the terms that weigh most in it; they fill the window in order of score, the last one
-is cut where the window ends, and its rest seeds the next window. So only the last sequence of a shard can
+unused neighbours, all that share a term with it; they fill the window in order of score, and an unrelated
+document follows only when none is left. The last one is cut where the window ends, and its rest seeds the next window. So only the last sequence of a shard can
 need padding. Neighbours beyond the shard are not found; the README states the measured recall.
 
 Token ids come from the given tokenizer's file, followed by the end id. White space separates words for the
@@ -32,8 +32,6 @@ WINDOW = 4096
 END = 2
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 8 << 20
-#: Terms of a seed that the index is asked for, and neighbours wanted per answer.
-TERMS, NEIGHBOURS = 24, 12
 K1, B = 1.2, 0.75
 #: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
 WIDTH, ROWS, LEAVES, FIT = 64, 4096, 4, 8
@@ -85,6 +83,11 @@ def counts(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key >> 32, key & 0xFFFFFFFF, tf
 
 
+def kept(path: str) -> str:
+    """Type of stored token ids: two bytes if the tokenizer's ids fit."""
+    return "<u2" if words_of(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class Corpus:
     """Inverse document frequency of each term and the mean length, over all documents."""
 
@@ -198,14 +201,12 @@ class Index:
         weight = corpus.weights(doc, term, tf, sizes)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.first = doc[order], weight[order], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(corpus.idf)))])
-        # the terms of each document from the weightiest: its query
-        best = np.lexsort((term, -weight, doc))
-        self.query, self.query_at = term[best], np.searchsorted(doc, np.arange(len(docs) + 1))
+        self.query, self.query_at = term, np.searchsorted(doc, np.arange(len(docs) + 1))
         self.n = len(docs)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's weightiest terms, the best first."""
-        terms = self.query[self.query_at[seed] : self.query_at[seed + 1]][:TERMS]
+        """All unused documents that share a term with the seed, the best first."""
+        terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
         spans = [(self.first[t], self.first[t + 1]) for t in terms]
         found = np.concatenate([self.doc[i:j] for i, j in spans]) if spans else np.zeros(0, dtype=np.int64)
         if not len(found):
@@ -213,20 +214,19 @@ class Index:
         score = np.bincount(found, weights=np.concatenate([self.weight[i:j] for i, j in spans]), minlength=self.n)
         score[used] = 0
         score[seed] = 0
-        top = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
+        top = np.flatnonzero(score > 0)
+        return top[np.argsort(-score[top], kind="stable")]
 
 
 def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset)."""
     index, used, out = Index(docs, corpus), np.zeros(len(docs), dtype=bool), []
-    sequence, room, waiting, nxt, rest = 0, window, [], 0, None
+    sequence, room, waiting, nxt, rest, seed = 0, window, [], 0, None, -1
     while True:
         if rest is not None:
             (d, start), rest = rest, None
-            if room == window:  # a new window: the rest of the last document seeds it
-                waiting = list(index.neighbours(d, used)[::-1])
+            if room == window and d != seed:  # a new window: the rest of the last document seeds it
+                seed, waiting = d, list(index.neighbours(d, used)[::-1])
         else:
             while waiting and used[waiting[-1]]:
                 waiting.pop()
@@ -238,7 +238,7 @@ def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[t
                 if nxt == len(docs):
                     return out
                 d, start = nxt, 0
-                waiting = list(index.neighbours(d, used)[::-1])
+                seed, waiting = d, list(index.neighbours(d, used)[::-1])
             used[d] = True
         take = min(room, len(docs[d]) - start)
         out.append((d, start, take, sequence, window - room))
@@ -253,32 +253,34 @@ def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[t
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (without the end id) and size, which is the text's bytes and 16 more."""
+    kind = kept(tokenizer)
 
     def run(batches):
         encoder = words_of(tokenizer)
         for batch in batches:
             ids, text = [], batch.column(1).to_pylist()
             for at in range(0, len(text), 256):
-                ids += encoder.encode(text[at : at + 256])
+                ids += [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in encoder.encode(text[at : at + 256])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(t) + 16 for t in text], pa.int64())], names=["doc_id", "ids", "size"])
 
     return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, size long")
 
 
-def flat(column: pa.Array):
+def flat(column: pa.Array, kind: str):
     """Token ids and offsets of portions of a batch's documents."""
     data, at = buffers(column)
+    wide = int(kind[-1])
     for i, j in portions(at, 1 << 22):
-        yield i, j, data[at[i] : at[j]].view("<u4"), (at[i : j + 1] - at[i]) // 4
+        yield i, j, np.frombuffer(data[at[i] : at[j]].tobytes(), dtype=kind), (at[i : j + 1] - at[i]) // wide
 
 
-def measured(tokens: DataFrame) -> Corpus:
+def measured(tokens: DataFrame, kind: str) -> Corpus:
     """One aggregate over all documents; a row for each term comes to the driver, as many as the tokenizer knows."""
 
     def run(batches):
         n, length, df = 0, 0, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for i, j, ids, at in flat(batch.column(0)):
+            for i, j, ids, at in flat(batch.column(0), kind):
                 own = np.bincount(counts(ids, at)[1], minlength=len(df))
                 own[: len(df)] += df
                 n, length, df = n + j - i, length + len(ids), own
@@ -293,7 +295,7 @@ def measured(tokens: DataFrame) -> Corpus:
     return Corpus(n, length, df)
 
 
-def placed(tokens: DataFrame, corpus, shard_bytes: int) -> DataFrame:
+def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
     """Adds the shard: documents of like content share one."""
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("size")).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
@@ -305,11 +307,11 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int) -> DataFrame:
         return tokens.where(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).groupBy(key.alias("key")).agg(F.min("ids").alias("ids"), F.sum("size").alias("size"))
 
     fit = [bytes(r["ids"]) for r in sorted(some(ROWS).collect(), key=lambda r: r["key"])]  # about ROWS rows
-    directions = corpus.value.directions(np.frombuffer(b"".join(fit), dtype="<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in fit], dtype=np.int64)]))
+    directions = corpus.value.directions(np.frombuffer(b"".join(fit), dtype=held), np.concatenate([[0], np.cumsum([len(x) // int(held[-1]) for x in fit], dtype=np.int64)]))
     project = tokens.sparkSession.sparkContext.broadcast(directions)
 
     def vectors(column):
-        return np.concatenate([corpus.value.vectors(ids, at, project.value) for _, _, ids, at in flat(column)] or [np.zeros((0, WIDTH), dtype=np.float32)])
+        return np.concatenate([corpus.value.vectors(ids, at, project.value) for _, _, ids, at in flat(column, held)] or [np.zeros((0, WIDTH), dtype=np.float32)])
 
     def show(batches):
         for batch in batches:
@@ -331,17 +333,17 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    texts = stored(encoded(docs, tokenizer))
-    corpus = docs.sparkSession.sparkContext.broadcast(measured(texts))
+    texts, held = stored(encoded(docs, tokenizer)), kept(tokenizer)
+    corpus = docs.sparkSession.sparkContext.broadcast(measured(texts, held))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(key, rows):
         rows = rows.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         ids = rows["doc_id"].combine_chunks()
-        tokens = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END)) for x in rows["ids"].to_pylist()]
+        tokens = [np.append(np.frombuffer(x, dtype=held).astype("<u4"), np.uint32(END)) for x in rows["ids"].to_pylist()]
         d, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*fill(tokens, corpus.value, window), strict=True))
         crc = [zlib.crc32(tokens[k][s : s + n].astype("<u4").tobytes()) for k, s, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
         size = np.array([len(t) for t in tokens], dtype=np.int64)[d]
         return pa.table({"doc_id": ids.take(pa.array(d)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": size, "sequence_id": seq + (key[0].as_py() << 32), "offset": offset})
 
-    return placed(texts, corpus, shard_bytes).select("doc_id", "ids", "shard").groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed(texts, corpus, shard_bytes, held).select("doc_id", "ids", "shard").groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
