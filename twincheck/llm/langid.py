@@ -31,9 +31,9 @@ from .common import buffers, portions, remainder, text_bytes
 
 #: Bytes of sample per language that the automaton holds.
 SAMPLE_BYTES = 40_000
-#: Rows longer than this give no sample.
+#: Of a longer row the sample holds a stretch of so many bytes, from a place chosen by its hash.
 ROW_BYTES = 4096
-#: Candidate rows per language from which the sample is filled; by a hash of their ids.
+#: Candidate rows per language from which the sample is filled; by a hash of their ids and texts, the least always.
 SAMPLE_ROWS = 256
 WINDOW = 256
 CLASSES = 64
@@ -137,12 +137,13 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> Model:
-    """docs(lang, text, id): about `rows` rows of each language by a hash of the id, of which `most` bytes."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))) for lang, n in sorted(counts.items())), F.lit(0.0))
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(h < share).where(F.octet_length("text") <= row_bytes).select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("id").alias("h"))
+    """docs(lang, text, id): about `rows` rows of each language by a hash of id and text, of which `most` bytes. Every language with text gets a sample."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("id", "text").alias("h"))
+    place = F.pmod("h", F.lit(1 << 30))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()}
+    upto = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(max(least, int(min(1.0, rows / n) * (1 << 30))))) for lang, (n, least) in sorted(counts.items())), F.lit(-1))
+    first = F.pmod("h", F.greatest(F.octet_length("text") - row_bytes + 1, F.lit(1))).cast("int") + 1
+    chosen = known.where(place <= upto).select("lang", F.substring("text", first, F.lit(row_bytes)).alias("text"), "h").distinct()
 
     def sample(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["h", "text"])
