@@ -117,3 +117,13 @@ def test_load_cap_and_latest(spark, tmp_path):
     assert [r["status"] for r in datasets.latest(spark.read.parquet(str(tmp_path / "jobs"))).collect()] == ["done"]
     datasets.publish(df, str(tmp_path / "out"))
     assert os.listdir(tmp_path / "out")
+
+
+def test_frames_after_the_first_hundreds_count(spark):
+    real = spark.createDataFrame([(i, [10.0, 20.0, 30.0]) for i in range(1, 302)], "pos long, v array<double>")
+    synth = spark.createDataFrame([(i, [10.0, 20.0, 30.0] if i < 301 else [250.0, -10.0, -40.0]) for i in range(1, 302)], "pos long, v array<double>")
+    assert media.frame_error(real, synth).first()["mse"] > 0
+    assert media.flow_consistency(real, synth).first()["score"] < 1
+    assert media.temporal_coherence(real, synth).first()["score"] < 1
+    assert media.scene_cuts(real, synth).first()["n_synth"] == 1
+    assert text.coherence(synth).first()["coherence"] < text.coherence(real).first()["coherence"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clip01, cosine, mean_of
 
-FRAMES, CUT = 64, 20.0
+CUT = 20.0
 
 
 def covariance(df: DataFrame, column: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,39 +46,44 @@ def _abs_mean(a: Column, b: Column) -> Column:
     return mean_of(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
-def frame_pairs(real: DataFrame, synth: DataFrame, most: int = FRAMES) -> DataFrame:
-    """(pos, r, s) of the first frames (pos from 1) of two videos of `most` frames at most."""
-    return real.where(F.col("pos") <= most).select("pos", F.col("v").alias("r")).join(synth.where(F.col("pos") <= most).select("pos", F.col("v").alias("s")), "pos")
+def first_positions(df: DataFrame, most: int | None) -> DataFrame:
+    return df if most is None else df.where(F.col("pos") <= most)
 
 
-def steps(video: DataFrame, most: int = FRAMES) -> DataFrame:
+def frame_pairs(real: DataFrame, synth: DataFrame, most: int | None = None) -> DataFrame:
+    """(pos, r, s) of the frames (pos from 1) of two videos; of the first `most` if given."""
+    real, synth = first_positions(real, most), first_positions(synth, most)
+    return real.select("pos", F.col("v").alias("r")).join(synth.select("pos", F.col("v").alias("s")), "pos")
+
+
+def steps(video: DataFrame, most: int | None = None) -> DataFrame:
     """(pos, change, cos) between a frame and the one before: an equi-join on the position."""
-    own = video.where(F.col("pos") <= most)
+    own = first_positions(video, most)
     back = own.select((F.col("pos") + 1).alias("pos"), F.col("v").alias("b"))
     return own.join(back, "pos").select("pos", _abs_mean(F.col("v"), F.col("b")).alias("change"), cosine(F.col("v"), F.col("b")).alias("cos"))
 
 
-def frame_error(real: DataFrame, synth: DataFrame) -> DataFrame:
+def frame_error(real: DataFrame, synth: DataFrame, most: int | None = None) -> DataFrame:
     """(mse): mean squared difference of paired frames, values / 255."""
     sq = mean_of(F.zip_with("r", "s", lambda x, y: F.pow((x.cast("double") - y.cast("double")) / 255, F.lit(2))))
-    return frame_pairs(real, synth).agg(F.avg(sq).alias("mse"))
+    return frame_pairs(real, synth, most).agg(F.avg(sq).alias("mse"))
 
 
-def flow_consistency(real: DataFrame, synth: DataFrame) -> DataFrame:
+def flow_consistency(real: DataFrame, synth: DataFrame, most: int | None = None) -> DataFrame:
     """(score): 1 - mean relative difference of the changes between frames; 0.5 without any."""
-    both = steps(real).select("pos", F.col("change").alias("r")).join(steps(synth).select("pos", F.col("change").alias("s")), "pos")
+    both = steps(real, most).select("pos", F.col("change").alias("r")).join(steps(synth, most).select("pos", F.col("change").alias("s")), "pos")
     return both.agg(F.coalesce(1 - F.avg(clip01(F.abs(F.col("s") / (F.col("r") + 1e-8) - 1))), F.lit(0.5)).alias("score"))
 
 
-def temporal_coherence(real: DataFrame, synth: DataFrame) -> DataFrame:
+def temporal_coherence(real: DataFrame, synth: DataFrame, most: int | None = None) -> DataFrame:
     """(coherence_real, coherence_synth, score)."""
-    r, s = (steps(d).agg(F.coalesce(F.avg(F.greatest("cos", F.lit(0.0))), F.lit(1.0)).alias(n)) for d, n in ((real, "coherence_real"), (synth, "coherence_synth")))
+    r, s = (steps(d, most).agg(F.coalesce(F.avg(F.greatest("cos", F.lit(0.0))), F.lit(1.0)).alias(n)) for d, n in ((real, "coherence_real"), (synth, "coherence_synth")))
     return r.join(s).withColumn("score", 1 - F.abs(F.col("coherence_real") - F.col("coherence_synth")))
 
 
-def scene_cuts(real: DataFrame, synth: DataFrame, threshold: float = CUT) -> DataFrame:
+def scene_cuts(real: DataFrame, synth: DataFrame, threshold: float = CUT, most: int | None = None) -> DataFrame:
     """(n_real, n_synth, matched, score): cuts match at one frame's distance; F1, or 1 without cuts on either side."""
-    r, s = (steps(d).where(F.col("change") > threshold).select("pos") for d in (real, synth))
+    r, s = (steps(d, most).where(F.col("change") > threshold).select("pos") for d in (real, synth))
     near = s.select(F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos")).distinct()
     n = r.agg(F.count(F.lit(1)).alias("n_real")).join(s.agg(F.count(F.lit(1)).alias("n_synth"))).join(r.join(near, "pos", "left_semi").agg(F.count(F.lit(1)).alias("matched")))
     p, q = F.col("matched") / F.greatest("n_synth", F.lit(1)), F.col("matched") / F.greatest("n_real", F.lit(1))
@@ -138,8 +143,8 @@ def inception_score(probabilities: DataFrame, splits: int = 10) -> DataFrame:
     return each.agg(F.coalesce(F.avg("s"), F.lit(1.0)).alias("mean"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("std"), F.count("s").alias("n_splits"))
 
 
-def prosody(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int = 50) -> DataFrame:
-    """(energy_correlation, rate_similarity, score) of the first `most` paired (pos, v) waveforms: 0.6 of the correlation of
+def prosody(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int | None = None) -> DataFrame:
+    """(energy_correlation, rate_similarity, score) of paired (pos, v) waveforms, the first `most` if given: 0.6 of the correlation of
     their energy envelopes (25 ms each 10 ms) and 0.4 of the ratio of their zero-crossing rates. A part without any pair is 0.5."""
     frame, hop = int(0.025 * rate), int(0.010 * rate)
     both = frame_pairs(real, synth, most).withColumn("n", F.least(F.size("r"), F.size("s"))).where((F.col("n") >= 2 * frame) & (F.col("n") >= frame + 9 * hop))
@@ -157,8 +162,8 @@ def prosody(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int = 5
     return found.withColumn("score", 0.6 * F.col("energy_correlation") + 0.4 * F.col("rate_similarity"))
 
 
-def structural_similarity(real: DataFrame, synth: DataFrame, shape: tuple[int, int, int], most: int = 200, window: int = 7, span: float = 255.0) -> DataFrame:
-    """(mean, std, pairs) of the SSIM (Wang et al., 2004) of the first `most` paired images (pos, v), v flat by height, width and
+def structural_similarity(real: DataFrame, synth: DataFrame, shape: tuple[int, int, int], most: int | None = None, window: int = 7, span: float = 255.0) -> DataFrame:
+    """(mean, std, pairs) of the SSIM (Wang et al., 2004) of paired images (pos, v), the first `most` if given, v flat by height, width and
     channel as `shape` says: uniform windows, sample covariances. Images of another size, or smaller than a window, are left out."""
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
 

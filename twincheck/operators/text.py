@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import clip01, cosine
 from ..plans.storage import materialised
 
-WINDOW, MOST_TEXTS = 3, 200
+WINDOW = 3
 UNKNOWN = 1e-8
 
 
@@ -113,9 +113,9 @@ def paired_cosine(real: DataFrame, synth: DataFrame) -> DataFrame:
     return c.agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.min("c").alias("min"), F.max("c").alias("max"), F.count("c").alias("pairs"))
 
 
-def coherence(corpus: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
-    """(coherence): mean of max(0, mean of the three unit vectors before . the next), over the first `most` positions; 1 for fewer than four."""
-    own = corpus.where(F.col("pos") <= most)
+def coherence(corpus: DataFrame, most: int | None = None) -> DataFrame:
+    """(coherence): mean of max(0, mean of the three unit vectors before . the next), over all positions or the first `most`; 1 for fewer than four."""
+    own = corpus if most is None else corpus.where(F.col("pos") <= most)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) + 1e-8
     unit = own.select("pos", F.transform("v", lambda x: x.cast("double") / length).alias("u"))
     back = [unit.select((F.col("pos") + k).alias("pos"), F.col("u").alias(f"b{k}")) for k in range(1, WINDOW + 1)]

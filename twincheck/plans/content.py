@@ -9,6 +9,8 @@ from ..operators import media, text
 from .tabular import rounded
 
 SCALE = 400.0
+#: Positions that the SQL of these queries takes; the operators themselves take all by default.
+FRAMES, TEXTS, SOUNDS, IMAGES = 64, 200, 50, 200
 
 
 def corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +44,7 @@ def paired_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real, synth = (text.coherence(v) for v in vectors(spark, sf_dir))
+    real, synth = (text.coherence(v, most=TEXTS) for v in vectors(spark, sf_dir))
     both = real.select(F.col("coherence").alias("real")).join(synth.select(F.col("coherence").alias("synth")))
     return rounded(both.withColumn("score", F.least(F.coalesce(F.try_divide("synth", "real"), F.lit(1.0)), F.lit(1.0))))
 
@@ -52,19 +54,19 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.frame_error(*vectors(spark, sf_dir, SCALE)))
+    return rounded(media.frame_error(*vectors(spark, sf_dir, SCALE), most=FRAMES))
 
 
 def flow_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.flow_consistency(*vectors(spark, sf_dir, SCALE)))
+    return rounded(media.flow_consistency(*vectors(spark, sf_dir, SCALE), most=FRAMES))
 
 
 def temporal_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.temporal_coherence(*vectors(spark, sf_dir, SCALE)))
+    return rounded(media.temporal_coherence(*vectors(spark, sf_dir, SCALE), most=FRAMES))
 
 
 def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.scene_cuts(*vectors(spark, sf_dir, SCALE), threshold=50.0))
+    return rounded(media.scene_cuts(*vectors(spark, sf_dir, SCALE), threshold=50.0, most=FRAMES))
 
 
 def waveform_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +86,12 @@ def inception_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At 400 samples a second, 64 samples are 14 frames of 10."""
-    return rounded(media.prosody(*vectors(spark, sf_dir), rate=400))
+    return rounded(media.prosody(*vectors(spark, sf_dir), rate=400, most=SOUNDS))
 
 
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is an image of 8 by 8."""
-    return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1)))
+    return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1), most=IMAGES))
 
 
 QUERIES = {f.__name__: f for f in (inception_score, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
