@@ -127,3 +127,16 @@ def test_frames_after_the_first_hundreds_count(spark):
     assert media.temporal_coherence(real, synth).first()["score"] < 1
     assert media.scene_cuts(real, synth).first()["n_synth"] == 1
     assert text.coherence(synth).first()["coherence"] < text.coherence(real).first()["coherence"]
+
+
+def test_no_row_or_column_is_left_out(spark):
+    names = [f"c{i}" for i in range(12)]
+    schema = "k long, " + ", ".join(f"{c} double" for c in names)
+    real = spark.createDataFrame([(i, *[float(i % (3 + j)) for j in range(12)]) for i in range(60)], schema)
+    last = real.withColumn("c11", -real.c11 - 1)
+    assert privacy.singling_out(real, last, names).first()["matched"] == 0
+    assert similarity.correlation_similarity(real, last, names).count() == 66
+    assert similarity.contingency_similarity(real, last, names[:7]).count() == 21
+    own, other = spark.createDataFrame([(5000, 1.0)], "k long, x double"), spark.range(1, 5001).selectExpr("id AS k", "if(id > 4999, 1.0D, 2.0D) AS x")
+    got = privacy.verbatim(own, other, ["x"], "k").first()
+    assert (got["matched"], got["total"]) == (1, 5000)

@@ -21,8 +21,7 @@ def first_rows(df: DataFrame, n: int, *key: str) -> DataFrame:
 
 
 def singling_out(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
-    """(matched, total, risk): the share of synthetic rows that equal a real row on up to five columns; null equals null."""
-    columns = columns[:5]
+    """(matched, total, risk): the share of synthetic rows that equal a real row on all the columns; null equals null."""
     key = F.to_json(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in columns)))
     found = synth.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(real.select(key.alias("k")).distinct().withColumn("hit", F.lit(True)), "k", "left")
     return found.agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("risk", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
@@ -57,9 +56,9 @@ def halves(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def inference(real: DataFrame, synth: DataFrame, secrets: list[str], known: list[str], seed: int = 42) -> DataFrame:
     """(secret, risk): how much better than guessing a forest, fitted on synthetic rows, tells real secrets. Null with fewer than 20 and 10 rows."""
     spark, rows = real.sparkSession, []
-    known = [c for c in known if c not in secrets][:10]
+    known = [c for c in known if c not in secrets]
     numeric = {f.name for f in real.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")}
-    for c in secrets[:3]:
+    for c in secrets:
         s, r = (d.select(*(F.col(k).cast("double").alias(k) for k in known), F.col(c).alias("secret")).dropna() for d in (synth, real))
         if s.limit(20).count() < 20 or r.limit(10).count() < 10:
             rows.append((c, None))
@@ -112,6 +111,6 @@ def membership(members: DataFrame, others: DataFrame, synth: DataFrame, columns:
     )
 
 
-def verbatim(real: DataFrame, synth: DataFrame, columns: list[str], key: str, n: int = 1000) -> DataFrame:
-    """(matched, total, risk) of the first n synthetic rows."""
-    return singling_out(real, first_rows(synth, n, key), columns)
+def verbatim(real: DataFrame, synth: DataFrame, columns: list[str], key: str, n: int | None = None) -> DataFrame:
+    """(matched, total, risk) of the synthetic rows; of the first n by key if given."""
+    return singling_out(real, synth if n is None else first_rows(synth, n, key), columns)

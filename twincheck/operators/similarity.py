@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .frequency import categorical_scores, category_distances, numeric_scores
 
-MOST_NUMERIC, MOST_CATEGORICAL = 11, 6
-
 
 def marginals(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(column, metric, score): KS complement and boundary adherence of numbers, TV complement and category adherence of categories."""
@@ -24,8 +22,8 @@ def marginals(real: DataFrame, synth: DataFrame, numeric: list[str], categorical
 
 
 def correlation_similarity(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr_real, corr_synth, score) of every pair of the first columns; one aggregate per side. Pairs without a correlation have a null score."""
-    pairs = list(combinations(columns[:MOST_NUMERIC], 2))
+    """(a, b, corr_real, corr_synth, score) of every pair of the columns; one aggregate per side. Pairs without a correlation have a null score."""
+    pairs = list(combinations(columns, 2))
 
     def corr(x: str, y: str):
         x, y = (F.col(f"`{c}`").cast("double") for c in (x, y))
@@ -42,7 +40,7 @@ def correlation_similarity(real: DataFrame, synth: DataFrame, columns: list[str]
 
 def contingency_similarity(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, score): 1 - total variation of the pair's joint distribution."""
-    pairs = list(combinations(columns[:MOST_CATEGORICAL], 2))
+    pairs = list(combinations(columns, 2))
 
     def side(df: DataFrame, r: int) -> DataFrame:
         cell = F.explode(F.array(*(F.struct(F.lit(f"{x}|{y}").alias("column"), F.struct(F.col(f"`{x}`").cast("string"), F.col(f"`{y}`").cast("string")).alias("value")) for x, y in pairs))).alias("c")
