@@ -43,3 +43,11 @@ def test_a_window_takes_every_neighbour_of_its_seed_first():
 def test_every_term_of_a_seed_counts():
     docs = [[*range(100, 140), 50], [60, 61], [62, 63], [50, 64]]
     assert [d for d, *_ in packed(docs, 1000)][:2] == [0, 3]
+
+
+def test_added_tokens_keep_their_ids():
+    path = public_tokenizers.path(queries.WORD_TOKENIZER)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y <|ENDOFTEXT|>", "no < | token <|", "Plain Words here", "", "<|endoftext|>"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in packing.Words(path).encode([t.encode() for t in texts])] == want
+    assert 49407 in want[0] and 49406 in want[1]

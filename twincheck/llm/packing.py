@@ -49,10 +49,17 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.held: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; one that may hold an added token is encoded whole."""
+        whole = [k for k, t in enumerate(texts) if b"<|" in t]
+        out = self._by_words([b"" if b"<|" in t else t for t in texts])
+        for k, x in zip(whole, self.tokenizer.encode_batch_fast([texts[k].decode() for k in whole], add_special_tokens=False), strict=True):
+            out[k] = np.array(x.ids, dtype="<u4").tobytes()
+        return out
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Lower-casing A-Z and cutting at ASCII white space change nothing for the tokenizer, which does both."""
         cut, held = [t.lower().split() for t in texts], self.held
         todo = set().union(*cut).difference(held)
