@@ -140,3 +140,11 @@ def test_no_row_or_column_is_left_out(spark):
     own, other = spark.createDataFrame([(5000, 1.0)], "k long, x double"), spark.range(1, 5001).selectExpr("id AS k", "if(id > 4999, 1.0D, 2.0D) AS x")
     got = privacy.verbatim(own, other, ["x"], "k").first()
     assert (got["matched"], got["total"]) == (1, 5000)
+
+
+def test_detection_scores_every_fold(spark, monkeypatch):
+    scored, plain = [], similarity.BinaryClassificationEvaluator.evaluate
+    monkeypatch.setattr(similarity.BinaryClassificationEvaluator, "evaluate", lambda self, df: scored.append((df.count(), plain(self, df))) or scored[-1][1])
+    got = similarity.logistic_detection(*two(spark, [float(i % 50) for i in range(150)], [float(i % 50) + 0.5 for i in range(150)]), ["x"]).first()
+    assert sum(n for n, _ in scored) == 300 and len(scored) == 3
+    assert math.isclose(got["auc"], sum(a for _, a in scored) / 3)
