@@ -1,8 +1,7 @@
-"""Shared pieces: training splits, text buffers, rolling hashes, and tables that cut lineage."""
+"""Shared pieces: training splits, text buffers, hashes of words, and rolling hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import discard, materialised as stored  # noqa: F401
+
 #: The white space of every contract: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -31,26 +32,6 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            top = held.get()
-        else:
-            top = "/tmp/checkpoints/twincheck"
-            spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/twincheck-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(df: DataFrame, *others: str) -> DataFrame:
     """The named columns and text as bytes (null: empty). Other columns go, whatever their names."""
     return df.select(*others, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -133,6 +114,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, end), mixed every 8 bytes, so that no algebra of the bytes makes two alike."""
+    out = (end - start).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    live = np.arange(len(start))
+    at = start.copy()
+    while len(live):
+        left = end[live] - at[live]
+        chunk = np.zeros(len(live), dtype=np.uint64)
+        for i in range(8):
+            byte = padded[np.minimum(at[live] + i, len(padded) - 1)].astype(np.uint64)
+            chunk |= np.where(left > i, byte, np.uint64(0)) << np.uint64(8 * i)
+        out[live] = mix(out[live] * np.uint64(_BASE) + chunk + np.uint64(1))
+        at[live] += 8
+        live = live[left > 8]
+    return out
+
+
 def per_row(values: np.ndarray, bounds: np.ndarray, op=np.add) -> np.ndarray:
     """op.reduce of values between neighbouring bounds; 0 for empty rows."""
     out = np.zeros(len(bounds) - 1, dtype=values.dtype)

@@ -2,9 +2,9 @@
 
 A byte goes if a string of `LENGTH` bytes over it also starts anywhere else. Of every such string one place
 is chosen by its content alone: where its `GRAM`-byte substring of smallest hash begins. Equal strings share that
-place, so only suffixes that begin at chosen places (anchors) with equal substrings can witness a repeat, and anchors
-whose substring occurs once drop out. Anchors of equal context (all that a string of LENGTH bytes over the
-anchor can reach) are one entry with a count, however often a text was copied.
+place, so only suffixes that begin at chosen places (anchors) with equal substrings can witness a repeat. Anchors
+whose substring occurs once drop out before any text is moved. Anchors of equal context (all that a string of LENGTH
+bytes over the anchor can reach) are one entry with a count, however often a text was copied.
 
 The entries of a shard are sorted twice, by what follows the anchor and by what precedes it, read backwards:
 multikey quicksort over 8-byte characters to a depth of `SHALLOW` bytes, then blind tries order the groups that are
@@ -12,8 +12,15 @@ still equal. From both orders and their longest common prefixes, a sweep over th
 finds for each entry how far repeated strings reach to either side. Its cost grows with the entries, not with
 their pairs. The reaches go back to all anchors of that context, and each document merges its intervals.
 
+A substring with more than `CROWD` anchors is not brought to one task. Its entries are split by further context
+instead: by all stretches of LENGTH - STEP bytes over the anchor that begin a multiple of STEP before it. Stretches
+that occur once die; of what is left only the outermost are told apart byte by byte. Every step is an aggregate.
+
+A second, shorter length can be measured on the same orders: `measure` also counts the bytes under repeated
+strings of `PASSAGE` bytes, about 40 words.
+
 Defined results: null text counts as empty. Texts shorter than LENGTH keep all. Repeated rows repeat each other
-in full. Matches never cross rows. An empty table gives an empty result.
+in full. Matches never cross rows. An empty table gives an empty result. doc_id is an integer; null ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -25,13 +32,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, portions, prefix_hash, range_hash, stored
+from .common import buffers, discard, portions, prefix_hash, range_hash, stored
 
 LENGTH = 400
+PASSAGE = 240
 GRAM = 32
 SHALLOW = 64
 #: Bytes of context in a shard, about.
 SHARD_BYTES = 8 << 20
+#: Anchors with one substring that a shard may hold, and the grid on which a larger group is split.
+CROWD, STEP = 2048, 16
+#: A task remembers so many contexts to send each of them once.
+MEMORY = 400_000
+#: Rows of a batch that carries contexts.
+BATCH = 4096
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +54,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     none = np.zeros(0, dtype=np.int64)
     if n < length:
         return none, none, none
-    bits = max(24, n.bit_length())
+    bits = n.bit_length()  # the lowest bits of a hash hold the place
     at = np.arange(n - gram + 1)
     grams = range_hash(prefix_hash(data), at, at + gram)
     low = np.uint64((1 << bits) - 1)
@@ -154,12 +168,15 @@ class RangeMin:
         return out
 
 
-def reaches(right: np.ndarray, right_lcp: np.ndarray, left: np.ndarray, left_lcp: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far repeated strings of `length` bytes reach left and right of each of n entries with one anchor substring.
+Reach = tuple[np.ndarray, np.ndarray]
+
+
+def reaches(right: np.ndarray, right_lcp: np.ndarray, left: np.ndarray, left_lcp: np.ndarray, n: int, lengths: tuple[int, ...]) -> list[Reach]:
+    """For each of lengths: how far repeated strings of so many bytes reach left and right of each of n entries with one anchor substring.
 
     right and left are the entries in both orders, with common prefixes of neighbours. Entries that have r bytes in common to
     the right are runs of `right`; in such a run, the longest common left part of an entry is with a neighbour in `left`'s order."""
-    to_left, to_right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    out = [(np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)) for _ in lengths]
     least = RangeMin(left_lcp)
     for r in np.unique(right_lcp[1:])[::-1].tolist():
         run = np.empty(n, dtype=np.int64)
@@ -169,11 +186,12 @@ def reaches(right: np.ndarray, right_lcp: np.ndarray, left: np.ndarray, left_lcp
         pair = np.flatnonzero(own[by][1:] == own[by][:-1])
         i, j = by[pair], by[pair + 1]
         shared = least.of(i + 1, j + 1)
-        ok = shared + r >= length
-        for side in (left[i[ok]], left[j[ok]]):
-            np.maximum.at(to_left, side, shared[ok])
-            np.maximum.at(to_right, side, r)
-    return to_left, to_right
+        for length, (to_left, to_right) in zip(lengths, out, strict=True):
+            ok = shared + r >= length
+            for side in (left[i[ok]], left[j[ok]]):
+                np.maximum.at(to_left, side, shared[ok])
+                np.maximum.at(to_right, side, r)
+    return out
 
 
 def matrix(parts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,23 +201,30 @@ def matrix(parts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def shard_reaches(key: np.ndarray, count: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_reaches(key: np.ndarray, count: np.ndarray, left: list[bytes], right: list[bytes], lengths: tuple[int, ...]) -> list[Reach]:
     """Reaches of the entries of a shard. left is read backwards."""
-    rows_r, size_r = matrix(right, length)
-    rows_l, size_l = matrix(left, length)
+    rows_r, size_r = matrix(right, max(lengths))
+    rows_l, size_l = matrix(left, max(lengths))
     by_right, by_left = deep_shallow(rows_r, key), deep_shallow(rows_l, key)
     lcp_r, lcp_l = common(rows_r, size_r, by_right), common(rows_l, size_l, by_left)
-    to_left, to_right = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+    out = [(np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)) for _ in lengths]
     bound = np.flatnonzero(np.concatenate([[True], key[by_right][1:] != key[by_right][:-1], [True]]))
+    size = np.diff(bound)
+    two = bound[:-1][size == 2]  # most groups: the second row of either order knows what both share
+    for length, (to_left, to_right) in zip(lengths, out, strict=True):
+        ok = lcp_l[two + 1] + lcp_r[two + 1] >= length
+        for k in (0, 1):
+            to_left[by_right[two[ok] + k]], to_right[by_right[two[ok] + k]] = lcp_l[two[ok] + 1], lcp_r[two[ok] + 1]
     place = np.empty(len(key), dtype=np.int64)
-    for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-        if j - i > 1:
-            r, lf = by_right[i:j], by_left[i:j]
-            place[r] = np.arange(j - i)
-            to_left[r], to_right[r] = reaches(np.arange(j - i), lcp_r[i:j], place[lf], lcp_l[i:j], j - i, length)
-    twice = count > 1  # equal contexts repeat each other in full
-    to_left[twice], to_right[twice] = size_l[twice], size_r[twice]
-    return to_left, to_right
+    for i, j in zip(bound[:-1][size > 2].tolist(), bound[1:][size > 2].tolist(), strict=True):
+        r, lf = by_right[i:j], by_left[i:j]
+        place[r] = np.arange(j - i)
+        for (to_left, to_right), (lo, hi) in zip(out, reaches(np.arange(j - i), lcp_r[i:j], place[lf], lcp_l[i:j], j - i, lengths), strict=True):
+            to_left[r], to_right[r] = lo, hi
+    for length, (to_left, to_right) in zip(lengths, out, strict=True):
+        twice = (count > 1) & (size_l + size_r >= length)  # equal contexts repeat each other in full
+        to_left[twice], to_right[twice] = size_l[twice], size_r[twice]
+    return out
 
 
 def _named(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -208,43 +233,178 @@ def _named(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64(text).alias("u"), text.alias("text"), *more)
 
 
-def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """d, u and spans (begin, end): the repeated bytes of each text that has any, not yet merged."""
-    rows = _named(docs)
+def _digest(data: bytes | memoryview, at: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=int(at).to_bytes(8, "little")).digest()
+
+
+def found_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """d, u, m (place) and key (hash of the substring) of every anchor."""
 
     def find(batches):
         for batch in batches:
             data, at = buffers(batch.column(2))
             d, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in portions(at):
-                part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                row, place, key = anchors(part, own, length, gram)
-                begin, end = np.maximum(own[row], place - (length - gram)), np.minimum(own[row + 1], place + length)
-                whole = memoryview(part.tobytes())
-                ctx = [hashlib.blake2b(whole[s:e], digest_size=16, salt=int(p - s).to_bytes(8, "little")).digest() for s, p, e in zip(begin.tolist(), place.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(d[i:j][row]), pa.array(u[i:j][row]), pa.array(place - own[row]), pa.array(key), pa.array(ctx, pa.binary()), pa.array(place - begin), pa.array(end - place)], names=["d", "u", "m", "key", "ctx", "l", "r"])
-
-    found = stored(rows.mapInArrow(find, "d long, u long, m long, key long, ctx binary, l long, r long"))
-    entries = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "u", "m", "l", "r")).alias("at"))
-    often = entries.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
-    asked = stored(entries.join(often, "key").select("key", "ctx", "n", "at.*"))
-    shards = max(1, -(-asked.count() * 2 * length // SHARD_BYTES))
-    part = F.substring(F.col("text"), (F.col("m") - F.col("l") + 1).cast("int"), (F.col("l") + F.col("r")).cast("int"))
-    shown = rows.join(asked, ["d", "u"]).select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "ctx", "n", "l", part.alias("part"))
+                own = at[i : j + 1] - at[i]
+                row, place, key = anchors(data[at[i] : at[j]], own, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(d[i:j][row]), pa.array(u[i:j][row]), pa.array(place - own[row]), pa.array(key)], names=["d", "u", "m", "key"])
+
+    return rows.mapInArrow(find, "d long, u long, m long, key long")
+
+
+def contexts(rows: DataFrame, longest: int, gram: int) -> DataFrame:
+    """Of rows(d, u, text, hits(m, key, crowd)): per hit its context's digest and sizes to the left and right.
+
+    The first time that a task meets a context, the row also carries its bytes and n = 1. What it meets again is
+    counted in rows without d, so that n sums up to the context's number over all rows."""
+
+    def show(batches):
+        names = ["d", "u", "m", "key", "crowd", "ctx", "l", "r", "n", "part"]
+        seen: dict[bytes, list] = {}
+
+        def again():
+            more = [(c, *x) for c, x in seen.items() if x[0]]
+            seen.clear()
+            ctx, n, key, crowd, left, right = zip(*more, strict=True) if more else [()] * 6
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key, pa.int64()), pa.array(crowd, pa.bool_()), pa.array(ctx, pa.binary()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(more), pa.binary())], names=names)
+
+        for batch in batches:
+            data, at = buffers(batch.column(2))
+            whole, hits = memoryview(data.tobytes()), batch.column(3)
+            first = hits.offsets.to_numpy()
+            held = hits.values.slice(first[0], first[-1] - first[0])
+            row = np.repeat(np.arange(len(batch)), np.diff(first))
+            order = np.lexsort((held.field("m").to_numpy(), row))
+            row, m, key, crowd = row[order], held.field("m").to_numpy()[order], held.field("key").to_numpy()[order], held.field("crowd").to_numpy(zero_copy_only=False)[order]
+            place = at[row] + m
+            begin, end = np.maximum(at[row], place - (longest - gram)), np.minimum(at[row + 1], place + longest)
+            d, u = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            for i in range(0, len(row), BATCH):
+                own = slice(i, i + BATCH)
+                ctx, parts, n = [], [], []
+                for s, p, e, k, c in zip(begin[own].tolist(), place[own].tolist(), end[own].tolist(), key[own].tolist(), crowd[own].tolist(), strict=True):
+                    name = _digest(whole[s:e], p - s)
+                    ctx.append(name)
+                    if name in seen:
+                        seen[name][0] += 1
+                        parts.append(None)
+                        n.append(0)
+                    else:
+                        seen[name] = [0, k, c, p - s, e - p]
+                        parts.append(whole[s:e].tobytes())
+                        n.append(1)
+                left, right = (place - begin)[own], (end - place)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(u[own]), pa.array(m[own]), pa.array(key[own]), pa.array(crowd[own]), pa.array(ctx, pa.binary()), pa.array(left), pa.array(right), pa.array(n, pa.int64()), pa.array(parts, pa.binary())], names=names)
+                if len(seen) > MEMORY:
+                    yield from again()
+        yield from again()
+
+    return rows.mapInArrow(show, "d long, u long, m long, key long, crowd boolean, ctx binary, l long, r long, n long, part binary")
+
+
+def shard_table(placed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """ctx, lo0, hi0, lo1, ... of the contexts that repeat, sorted shard by shard. Shards keep a substring together."""
+    entries = placed.where("n > 0 AND NOT crowd")
+    shards = max(1, -(-entries.where("part IS NOT NULL").count() * 2 * max(lengths) // SHARD_BYTES))
+    names = [f"{x}{k}" for k in range(len(lengths)) for x in ("lo", "hi")]
 
     def sort(rows):
         rows = rows.combine_chunks()
-        ctx = rows["ctx"].to_pylist()
-        first = list({c: i for i, c in reversed(list(enumerate(zip(rows["key"].to_pylist(), ctx, strict=True))))}.values())  # equal rows of a table show an entry again
-        key, n, cut = (rows[c].to_numpy()[first] for c in ("key", "n", "l"))
-        part = rows["part"].to_pylist()
-        to_left, to_right = shard_reaches(key, n, [part[i][:k][::-1] for i, k in zip(first, cut.tolist(), strict=True)], [part[i][k:] for i, k in zip(first, cut.tolist(), strict=True)], length)
-        hit = np.flatnonzero(to_right > 0)
-        return pa.table({"key": key[hit], "ctx": pa.array([ctx[first[i]] for i in hit], pa.binary()), "lo": to_left[hit], "hi": to_right[hit]})
-
-    reach = shown.groupBy("shard").applyInArrow(sort, "key long, ctx binary, lo long, hi long")
-    spans = found.join(reach, ["key", "ctx"]).select("d", "u", F.struct((F.col("m") - F.col("lo")).alias("s"), (F.col("m") + F.col("hi")).alias("e")).alias("span"))
-    return spans.groupBy("d", "u").agg(F.collect_set("span").alias("spans"))
+        number: dict[bytes, int] = {}
+        own = np.array([number.setdefault(c, len(number)) for c in rows["ctx"].to_pylist()], dtype=np.int64)
+        n = np.bincount(own, weights=rows["n"].to_numpy()).astype(np.int64)
+        shown = np.flatnonzero(rows["part"].is_valid().to_numpy())
+        at = np.empty(len(number), dtype=np.int64)
+        at[own[shown]] = shown  # tasks may show a context each
+        parts, cut, key = rows["part"].take(pa.array(at)).to_pylist(), rows["l"].to_numpy()[at].tolist(), rows["key"].to_numpy()[at]
+        reach = shard_reaches(key, n, [p[:k][::-1] for p, k in zip(parts, cut, strict=True)], [p[k:] for p, k in zip(parts, cut, strict=True)], lengths)
+        hit = np.flatnonzero(np.any([hi > 0 for _, hi in reach], axis=0))
+        ctx = list(number)
+        return pa.table([pa.array([ctx[i] for i in hit], pa.binary()), *(x[hit] for pair in reach for x in pair)], names=["ctx", *names])
+
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    return entries.select(shard, "key", "ctx", "n", "l", "part").groupBy("shard").applyInArrow(sort, "ctx binary, " + ", ".join(f"{x} long" for x in names))
+
+
+def crowd_reach(crowd: DataFrame, length: int, gram: int) -> DataFrame:
+    """ctx, lo and hi of the contexts of crowd(key, ctx, n, l, part) over which a string of `length` bytes repeats.
+
+    Such a string begins t bytes before the anchor, with t from 0 to length - gram; wanted are the largest and the
+    smallest t of each context. It contains the stretch of length - STEP bytes that begins at t's multiple of STEP, so only
+    multiples whose stretch repeats are open. Rounds test the outermost open ones until both ends are found."""
+    last = length - gram
+
+    def pieces(grid: bool):
+        def run(batches):
+            for batch in batches:
+                ctx, t_of, name, n, bucket = [], [], [], [], []
+                key, own, left, part = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "ctx", "l", "part"))
+                count = batch.column(batch.schema.names.index("n")).to_pylist()
+                opened = [range(0, last + 1, STEP)] * len(batch) if grid else batch.column(batch.schema.names.index("ends")).to_pylist()
+                size = length - STEP if grid else length
+                for k, c, x, p, m, ends in zip(key, own, left, part, count, opened, strict=True):
+                    for b in ends:
+                        for t in (b,) if grid else range(b, min(b + STEP, last + 1)):
+                            if t <= x and x - t + size <= len(p):
+                                ctx.append(c)
+                                t_of.append(t)
+                                bucket.append(b)
+                                name.append(_digest(p[x - t : x - t + size], k & 0xFFFFFFFF))
+                                n.append(m)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(t_of, pa.int64()), pa.array(bucket, pa.int64()), pa.array(name, pa.binary()), pa.array(n, pa.int64())], names=["ctx", "t", "bucket", "name", "n"])
+
+        return run
+
+    def repeated(asked: DataFrame, grid: bool) -> DataFrame:
+        shown = stored(asked.mapInArrow(pieces(grid), "ctx binary, t long, bucket long, name binary, n long"))
+        often = shown.groupBy("t", "name").agg(F.sum("n").alias("total")).where("total > 1").select("t", "name")
+        return shown.join(often, ["t", "name"]).select("ctx", "t", "bucket", "name")
+
+    grid = stored(repeated(crowd, True).select("ctx", "bucket", "name"))
+    open_ = stored(grid.groupBy("ctx").agg(F.sort_array(F.collect_set("bucket")).alias("open")))  # last / STEP numbers at most
+    open_ = open_.withColumns({"most": F.lit(None).cast("long"), "least": F.lit(None).cast("long"), "high": F.lit(False), "low": F.lit(False)})
+    none, done = F.array().cast("array<bigint>"), None
+    top, bottom = F.element_at("open", -1), F.element_at("open", 1)
+    while True:
+        ends = F.array_distinct(F.concat(F.when(F.col("high"), none).otherwise(F.array(top)), F.when(F.col("low"), none).otherwise(F.array(bottom))))
+        asked = open_.withColumn("ends", ends)
+        # whoever shares a stretch in question takes part, or a string that repeats would look single
+        shared = grid.join(asked.select("ctx", F.explode("ends").alias("bucket")), ["ctx", "bucket"]).select("bucket", "name").distinct()
+        tests = grid.join(shared, ["bucket", "name"], "left_semi").groupBy("ctx").agg(F.collect_set("bucket").alias("ends"))
+        hits = repeated(crowd.join(tests, "ctx"), False).groupBy("ctx").agg(F.max("t").alias("t1"), F.min("t").alias("t0"))
+        new = stored(asked.join(hits, "ctx", "left").select(
+            "ctx", F.array_except("open", "ends").alias("open"), F.greatest("most", "t1").alias("most"), F.least("least", "t0").alias("least"),
+            (F.col("high") | F.coalesce(F.col("t1") >= top, F.lit(False))).alias("high"), (F.col("low") | F.coalesce(F.col("t0") < bottom + STEP, F.lit(False))).alias("low"),
+        ))
+        settled = (F.col("high") & F.col("low")) | (F.size("open") == 0)
+        part = new.where(settled & F.col("most").isNotNull()).select("ctx", F.col("most").alias("lo"), (length - F.col("least")).alias("hi"))
+        done = part if done is None else done.unionByName(part)
+        open_ = new.where(~settled)
+        if open_.isEmpty():
+            return done
+
+
+def intervals(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """d, u and per length spans0, spans1, ... (begin, end): the repeated bytes of each text that has any, not yet merged."""
+    rows = _named(docs)
+    found = stored(found_anchors(rows, min(lengths), gram))
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key", (F.col("total") > crowd).alias("crowd"))
+    hits = found.join(often, "key").groupBy("d", "u").agg(F.collect_set(F.struct("m", "key", "crowd")).alias("hits"))
+    placed = stored(contexts(rows.join(hits, ["d", "u"]).select("d", "u", "text", "hits"), max(lengths), gram))
+    discard(found)
+    reach = shard_table(placed, lengths)
+    many = placed.where("n > 0 AND crowd").groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.max("part").alias("part"))
+    many = stored(many)
+    if not many.isEmpty():
+        whole = None
+        for k, length in enumerate(lengths):
+            own = crowd_reach(many, length, gram).select("ctx", F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
+            whole = own if whole is None else whole.join(own, "ctx", "full")
+        reach = reach.unionByName(whole.fillna(0))
+    reach = stored(reach)
+    spans = [F.collect_set(F.when(F.col(f"hi{k}") > 0, F.struct((F.col("m") - F.col(f"lo{k}")).alias("s"), (F.col("m") + F.col(f"hi{k}")).alias("e")))).alias(f"spans{k}") for k in range(len(lengths))]
+    return placed.where("d IS NOT NULL").select("d", "u", "m", "ctx").join(reach, "ctx").groupBy("d", "u").agg(*spans)
 
 
 def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -266,33 +426,33 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, runs
 
 
-def measure(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = _named(docs, "doc_id").join(intervals(docs, length), ["d", "u"], "left").select("doc_id", "text", "spans")
+def measure(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage (bytes under repeated strings of `passage` bytes) of every row."""
+    rows = _named(docs, "doc_id").join(intervals(docs, (length, passage)), ["d", "u"], "left").select("doc_id", "text", "spans0", "spans1")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = [cut(t, s) for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            under = [cut(t, s)[1] for t, s in zip(texts, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out], pa.string()), pa.array(under, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes gone from text, and characters that lost a part of their bytes; n_chars follows if there is one."""
-    spans = intervals(docs, length)
-    kind = docs.schema
-    names = docs.columns
-    rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "__u": F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
-    joined = rows.join(spans.select(F.col("d").alias("__d"), F.col("u").alias("__u"), F.col("spans").alias("__spans")), ["__d", "__u"], "left").select(*names, "__spans")
+    names, kind = docs.columns, docs.schema
+    rows = _named(docs, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))  # whatever the columns are called
+    joined = rows.join(intervals(docs, (length,)), ["d", "u"], "left").select("row", F.col("spans0").alias("spans"))
+    joined = joined.select(F.col("row.text").alias("text"), "spans", *(F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
 
     def run(batches):
         for batch in batches:
-            table = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = [t if not s else cut(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(table["text"].to_pylist(), table.pop("__spans").to_pylist(), strict=True)]
-            table["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(list(table.values()), names=list(table))
+            texts = [t if not s else cut(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            held = dict(zip(names, batch.columns[2:], strict=True))
+            held["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
 
     out = joined.mapInArrow(run, kind)
     return out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType)) if "n_chars" in names else out
