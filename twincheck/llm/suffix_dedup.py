@@ -14,7 +14,7 @@ their pairs. The reaches go back to all anchors of that context, and each docume
 
 A substring with more than `CROWD` anchors is not brought to one task. Its entries are split by further context
 instead: by all stretches of LENGTH - STEP bytes over the anchor that begin a multiple of STEP before it. Stretches
-that occur once die; of what is left only the outermost are told apart byte by byte. Every step is an aggregate.
+that occur once die; what is left is told apart byte by byte. Every step is an aggregate.
 
 A second, shorter length can be measured on the same orders: `measure` also counts the bytes under repeated
 strings of `PASSAGE` bytes, about 40 words.
@@ -41,7 +41,7 @@ SHALLOW = 64
 #: Bytes of context in a shard, about.
 SHARD_BYTES = 8 << 20
 #: Anchors with one substring that a shard may hold, and the grid on which a larger group is split.
-CROWD, STEP = 2048, 16
+CROWD, STEP = 16_384, 16
 #: A task remembers so many contexts to send each of them once.
 MEMORY = 400_000
 #: Rows of a batch that carries contexts.
@@ -327,62 +327,52 @@ def shard_table(placed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return entries.select(shard, "key", "ctx", "n", "l", "part").groupBy("shard").applyInArrow(sort, "ctx binary, " + ", ".join(f"{x} long" for x in names))
 
 
-def crowd_reach(crowd: DataFrame, length: int, gram: int) -> DataFrame:
-    """ctx, lo and hi of the contexts of crowd(key, ctx, n, l, part) over which a string of `length` bytes repeats.
+def crowd_reach(crowd: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """ctx, k, lo and hi of the contexts of crowd(key, ctx, n, l, part) over which a string of lengths[k] bytes repeats.
 
     Such a string begins t bytes before the anchor, with t from 0 to length - gram; wanted are the largest and the
     smallest t of each context. It contains the stretch of length - STEP bytes that begins at t's multiple of STEP, so only
-    multiples whose stretch repeats are open. Rounds test the outermost open ones until both ends are found."""
-    last = length - gram
-
-    def pieces(grid: bool):
-        def run(batches):
-            for batch in batches:
-                ctx, t_of, name, n, bucket = [], [], [], [], []
-                key, own, left, part = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "ctx", "l", "part"))
-                count = batch.column(batch.schema.names.index("n")).to_pylist()
-                opened = [range(0, last + 1, STEP)] * len(batch) if grid else batch.column(batch.schema.names.index("ends")).to_pylist()
-                size = length - STEP if grid else length
-                for k, c, x, p, m, ends in zip(key, own, left, part, count, opened, strict=True):
-                    for b in ends:
-                        for t in (b,) if grid else range(b, min(b + STEP, last + 1)):
-                            if t <= x and x - t + size <= len(p):
-                                ctx.append(c)
-                                t_of.append(t)
-                                bucket.append(b)
-                                name.append(_digest(p[x - t : x - t + size], k & 0xFFFFFFFF))
-                                n.append(m)
-                yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(t_of, pa.int64()), pa.array(bucket, pa.int64()), pa.array(name, pa.binary()), pa.array(n, pa.int64())], names=["ctx", "t", "bucket", "name", "n"])
-
-        return run
-
-    def repeated(asked: DataFrame, grid: bool) -> DataFrame:
-        shown = stored(asked.mapInArrow(pieces(grid), "ctx binary, t long, bucket long, name binary, n long"))
-        often = shown.groupBy("t", "name").agg(F.sum("n").alias("total")).where("total > 1").select("t", "name")
-        return shown.join(often, ["t", "name"]).select("ctx", "t", "bucket", "name")
-
-    grid = stored(repeated(crowd, True).select("ctx", "bucket", "name"))
-    open_ = stored(grid.groupBy("ctx").agg(F.sort_array(F.collect_set("bucket")).alias("open")))  # last / STEP numbers at most
-    open_ = open_.withColumns({"most": F.lit(None).cast("long"), "least": F.lit(None).cast("long"), "high": F.lit(False), "low": F.lit(False)})
-    none, done = F.array().cast("array<bigint>"), None
-    top, bottom = F.element_at("open", -1), F.element_at("open", 1)
-    while True:
-        ends = F.array_distinct(F.concat(F.when(F.col("high"), none).otherwise(F.array(top)), F.when(F.col("low"), none).otherwise(F.array(bottom))))
-        asked = open_.withColumn("ends", ends)
-        # whoever shares a stretch in question takes part, or a string that repeats would look single
-        shared = grid.join(asked.select("ctx", F.explode("ends").alias("bucket")), ["ctx", "bucket"]).select("bucket", "name").distinct()
-        tests = grid.join(shared, ["bucket", "name"], "left_semi").groupBy("ctx").agg(F.collect_set("bucket").alias("ends"))
-        hits = repeated(crowd.join(tests, "ctx"), False).groupBy("ctx").agg(F.max("t").alias("t1"), F.min("t").alias("t0"))
-        new = stored(asked.join(hits, "ctx", "left").select(
-            "ctx", F.array_except("open", "ends").alias("open"), F.greatest("most", "t1").alias("most"), F.least("least", "t0").alias("least"),
-            (F.col("high") | F.coalesce(F.col("t1") >= top, F.lit(False))).alias("high"), (F.col("low") | F.coalesce(F.col("t0") < bottom + STEP, F.lit(False))).alias("low"),
-        ))
-        settled = (F.col("high") & F.col("low")) | (F.size("open") == 0)
-        part = new.where(settled & F.col("most").isNotNull()).select("ctx", F.col("most").alias("lo"), (length - F.col("least")).alias("hi"))
-        done = part if done is None else done.unionByName(part)
-        open_ = new.where(~settled)
-        if open_.isEmpty():
-            return done
+    multiples whose stretch repeats are open. The strings of an open multiple lie in one piece of the context; equal pieces
+    are counted once, then their strings."""
+    kinds = "ctx binary, k long, bucket long, name binary, wide binary, n long"
+
+    def table(batch):
+        return zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("ctx", "key", "l", "part", "n")), strict=True)
+
+    def split(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for ctx, key, x, p, n in table(batch):
+                for k, length in enumerate(lengths):
+                    for b in range(0, min(x, length - gram) + 1, STEP):
+                        if x - b + length - STEP <= len(p):
+                            lead, salt = min(STEP - 1, x - b), (key & 0xFFFFFFFF) << 8
+                            row = ctx, k, b, _digest(p[x - b : x - b + length - STEP], salt), _digest(p[x - b - lead : x - b + length], salt + lead), n
+                            for c, value in zip(out, row, strict=True):
+                                c.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i in (0, 3, 4) else pa.int64()) for i, v in enumerate(out)], names=["ctx", "k", "bucket", "name", "wide", "n"])
+
+    shown = stored(crowd.mapInArrow(split, kinds))
+    often = shown.groupBy("k", "bucket", "name").agg(F.sum("n").alias("total")).where("total > 1").select("k", "bucket", "name")
+    live = stored(shown.join(often, ["k", "bucket", "name"]).select("ctx", "k", "bucket", "wide", "n"))
+    pieces = live.groupBy("k", "bucket", "wide").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"))
+
+    def spell(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            more = zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("k", "bucket", "wide")), strict=True)
+            for (_, key, x, p, n), (k, b, wide) in zip(table(batch), more, strict=True):
+                for t in range(b, min(b + STEP - 1, x, lengths[k] - gram) + 1):
+                    if x - t + lengths[k] <= len(p):
+                        for c, value in zip(out, (k, b, wide, t, _digest(p[x - t : x - t + lengths[k]], key & 0xFFFFFFFF), n), strict=True):
+                            c.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if i in (2, 4) else pa.int64()) for i, v in enumerate(out)], names=["k", "bucket", "wide", "t", "name", "n"])
+
+    strings = stored(pieces.join(crowd.select("ctx", "key", "l", "part"), "ctx").mapInArrow(spell, "k long, bucket long, wide binary, t long, name binary, n long"))
+    twice = strings.groupBy("k", "t", "name").agg(F.sum("n").alias("total")).where("total > 1").select("k", "t", "name")
+    hit = strings.join(twice, ["k", "t", "name"]).groupBy("k", "bucket", "wide").agg(F.max("t").alias("most"), F.min("t").alias("least"))
+    length = F.element_at(F.array(*(F.lit(x) for x in lengths)), (F.col("k") + 1).cast("int"))
+    return live.join(hit, ["k", "bucket", "wide"]).groupBy("ctx", "k").agg(F.max("most").alias("lo"), (F.first(length) - F.min("least")).alias("hi"))
 
 
 def intervals(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -397,11 +387,8 @@ def intervals(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int =
     many = placed.where("n > 0 AND crowd").groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.max("part").alias("part"))
     many = stored(many)
     if not many.isEmpty():
-        whole = None
-        for k, length in enumerate(lengths):
-            own = crowd_reach(many, length, gram).select("ctx", F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
-            whole = own if whole is None else whole.join(own, "ctx", "full")
-        reach = reach.unionByName(whole.fillna(0))
+        own = stored(crowd_reach(many, lengths, gram))
+        reach = reach.unionByName(own.groupBy("ctx").agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(len(lengths)) for x in ("lo", "hi"))))
     reach = stored(reach)
     spans = [F.collect_set(F.when(F.col(f"hi{k}") > 0, F.struct((F.col("m") - F.col(f"lo{k}")).alias("s"), (F.col("m") + F.col(f"hi{k}")).alias("e")))).alias(f"spans{k}") for k in range(len(lengths))]
     return placed.where("d IS NOT NULL").select("d", "u", "m", "ctx").join(reach, "ctx").groupBy("d", "u").agg(*spans)
