@@ -6,21 +6,20 @@ the number of phrases, times the bits that point to one, over the text's length
 and the language with the least wins.
 
 The automaton's transitions fill a dense table, in which a missing transition leads to where the root goes
-and carries a flag: one look-up per byte and language, for thousands of text windows at once. Texts
-are parsed whole, in windows of `WINDOW` bytes at whose edges every language begins a new phrase.
+and carries a flag: one look-up per byte and language, for thousands of text windows at once. Windows of
+`WINDOW` bytes are first parsed from the root; then each that does not begin its text is parsed again from the state
+in which its predecessor ended, until no such state changes. So phrases cross windows, as in a parse of the whole text.
 
 Bytes are folded to 64 classes: ASCII letters by lower case, other ASCII as space, and bytes above 127
 by their value modulo 37.
 
 Defined results: `und` with score 0 for a null text and for one without any letter; also if no labelled text
-exists. Ties go to the first language by name. Repeated rows are predicted each on its own. Null langs and
-null texts teach nothing.
+exists. A letter is a character of Unicode's letter categories. Ties go to the first language by name. Repeated
+rows are predicted each on its own. Null langs and null texts teach nothing.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +30,8 @@ from .common import buffers, portions, remainder, text_bytes
 
 #: Bytes of sample per language that the automaton holds.
 SAMPLE_BYTES = 40_000
+#: All languages' tables together, which every worker holds; with many languages each sample is shorter.
+MODEL_BYTES = 256 << 20
 #: Of a longer row the sample holds a stretch of so many bytes, from a place chosen by its hash.
 ROW_BYTES = 4096
 #: Candidate rows per language from which the sample is filled; by a hash of their ids and texts, the least always.
@@ -43,8 +44,6 @@ for _c in range(26):
     FOLD[ord("a") + _c] = FOLD[ord("A") + _c] = 1 + _c
 FOLD[128:] = 27 + np.arange(128) % 37
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def automaton(text: np.ndarray) -> np.ndarray:
     """Dense transitions of the suffix automaton of a sequence of classes: state x class, -1 where none."""
@@ -93,22 +92,35 @@ def phrases(tables: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, win
     first = np.concatenate([[0], np.cumsum(parts)])
     begin = offsets[row] + (np.arange(len(row)) - first[row]) * window
     long = np.minimum(window, offsets[row + 1] - begin)
-    order = np.argsort(-long, kind="stable")  # windows that end leave at the end
-    begin, long, row = begin[order], long[order], row[order]
+    heads = np.zeros(len(row), dtype=bool)
+    heads[first[:-1][parts > 0]] = True
     folded = FOLD[data]
-    live = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")
-    counts = np.zeros((len(row), len(tables)), dtype=np.int32)
-    for k, table in enumerate(tables):
-        state = np.zeros(len(row), dtype=np.int64)
-        count = np.ones(len(row), dtype=np.int32)
-        for i, n in enumerate(live):
-            got = table[state[:n] + folded[begin[:n] + i]]
+    out = np.zeros((len(size), len(tables)))
+
+    def parse(table: np.ndarray, which: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in the windows `which`, entered in these states, and the states at their ends."""
+        order = np.argsort(-long[which], kind="stable")  # windows that end leave at the end
+        at, left, state = begin[which][order], long[which][order], state[order].copy()
+        count = np.zeros(len(order), dtype=np.int32)
+        for i, n in enumerate(np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")):
+            got = table[state[:n] + folded[at[:n] + i]]
             count[:n] += got & 1
             state[:n] = got >> 1
-        counts[:, k] = count
-    out = np.zeros((len(size), len(tables)))
-    for k in range(len(tables)):
-        out[:, k] = np.bincount(row, weights=counts[:, k], minlength=len(size))
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return count[back], state[back]
+
+    for k, table in enumerate(tables):
+        entry = np.zeros(len(row), dtype=np.int64)
+        count, end = parse(table, np.arange(len(row)), entry)
+        while True:
+            want = np.where(heads, 0, np.concatenate([[0], end[:-1]])) if len(row) else entry
+            stale = np.flatnonzero(want != entry)
+            if not len(stale):
+                break
+            entry[stale] = want[stale]
+            count[stale], end[stale] = parse(table, stale, entry[stale])
+        out[:, k] = np.bincount(row, weights=count + heads, minlength=len(size))  # a text's first phrase needs no miss
     return out
 
 
@@ -145,6 +157,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, ro
     first = F.pmod("h", F.greatest(F.octet_length("text") - row_bytes + 1, F.lit(1))).cast("int") + 1
     chosen = known.where(place <= upto).select("lang", F.substring("text", first, F.lit(row_bytes)).alias("text"), "h").distinct()
 
+    most = max(1024, min(most, MODEL_BYTES // (8 * CLASSES * max(1, len(counts)))))
+
     def sample(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["h", "text"])
         take = own["text"][own["text"].map(len).cumsum() <= most + row_bytes]
@@ -158,7 +172,7 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row. Rows whose remainder is `held` teach nothing."""
     out = remainder(F.col("doc_id"), modulus) == held
     learned = train(docs.where(~out).select("lang", "text", F.col("doc_id").alias("id")))
-    model = docs.sparkSession.sparkContext.broadcast(learned)  # per language 2 * SAMPLE_BYTES * CLASSES numbers
+    model = docs.sparkSession.sparkContext.broadcast(learned)  # MODEL_BYTES at most, up to thousands of languages
 
     def run(batches):
         langs = model.value.langs
@@ -168,7 +182,7 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
             for i, j in portions(at, 1 << 21):
                 part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 whole = part.tobytes()
-                letters = [bool(_LETTER.search(whole[s:e].decode())) for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                letters = [any(map(str.isalpha, whole[s:e].decode())) for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
                 if langs:
                     best, value = model.value.predict(part, own)
                     pred += [langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters, strict=True)]

@@ -13,9 +13,13 @@ inside tasks that only return links. No pair that could link is dropped.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8^4)^24 < 4e-6.
 
+Copies are told by a digest of the shingles' own bytes; hashes only sort them.
+
 Defined results: a null or blank text has an empty set and no links; a text of fewer words than a shingle
-is one shingle of all its words. Rows with the same doc_id are one document of the first text; null ids
-form a component of their own text. An empty table gives an empty result. Other columns are ignored.
+is one shingle of all its words. doc_id is an integer. Rows with the same doc_id and text are copies of each other;
+with the same doc_id and other texts they are documents of their own, with a row each. A row without an id takes
+part; a component of such rows only has a null component_id, and these rows count as kept. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, buffers, mix, portions, prefix_hash, range_hash, stored, text_bytes, word_bounds
+from .common import IS_SPACE, buffers, discard, mix, portions, stored, text_bytes, word_bounds, word_hashes
 
 PERMUTATIONS = 48
 BAND_ROWS = 4
@@ -44,11 +48,11 @@ _A = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _B = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each row's distinct k-word shingles, sorted by row, and the rows' bounds in them."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """64-bit hashes of each row's distinct k-word shingles, sorted by row, the rows' bounds in them, and words (start, end, first words of the shingles)."""
     data = _LOWER[data]
     start, end = word_bounds(data, offsets, ~IS_SPACE)
-    words = range_hash(prefix_hash(data), start, end)
+    words = word_hashes(data, start, end)
     at = np.searchsorted(start, offsets)
     n = np.diff(at)
     long = np.minimum(n, k)  # words of each row's shingles
@@ -61,12 +65,28 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
         own = long[row] > i
         h[own] = mix(h[own] * np.uint64(0x9E3779B97F4A7C15) + words[first[own] + i] + np.uint64(i + 1))
     if not len(h):
-        return h, bounds
+        return h, bounds, (start, end, first)
     order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h, row, first = h[order], row[order], first[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))]), (start, end, first[new])
+
+
+def set_keys(data: np.ndarray, offsets: np.ndarray, k: int, bounds: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes | None]:
+    """A digest of each row's shingles as bytes, words ended by a space, in the order of their hashes; None without a shingle."""
+    start, end, first = words
+    rows = np.searchsorted(offsets, start[first], side="right") - 1
+    last = np.searchsorted(start, offsets[1:])[rows] if len(first) else first  # the word after the row's last
+    size = np.minimum(k, last - first)
+    word = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wide = end[word] - start[word] + 1
+    stop = np.cumsum(wide)
+    spelled = np.append(_LOWER[data], np.uint8(32))[np.repeat(start[word] - (stop - wide), wide) + np.arange(wide.sum())]
+    spelled[stop - 1] = 32
+    at = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(size)])[bounds]]
+    whole = memoryview(spelled.tobytes())
+    return [hashlib.blake2b(whole[s:e], digest_size=16).digest() if e > s else None for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def signature(h: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -101,21 +121,21 @@ def alike(a: bytes, b: bytes, k: int, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """id, n_shingles, set_key (digest of the set; null: empty) and bands of every row."""
+    """id, u (hash of the text), n_shingles, set_key (digest of the set; null: empty) and bands of every row of docs(id, u, text)."""
 
     def run(batches):
         for batch in batches:
-            data, at = buffers(batch.column(1))
+            data, at = buffers(batch.column(2))
             n, key, band = [], [], []
             for i, j in portions(at):
-                h, bounds = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    n.append(e - s)
-                    key.append(hashlib.blake2b(h[s:e].tobytes(), digest_size=16).digest() if e > s else None)
-                    band.append(bands(signature(h[s:e])) if e > s else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "bands"])
+                part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                h, bounds, words = shingles(part, own, k)
+                n += np.diff(bounds).tolist()
+                key += set_keys(part, own, k, bounds, words)
+                band += [bands(signature(h[s:e])) if e > s else None for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["id", "u", "n_shingles", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, u long, n_shingles long, set_key binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -162,12 +182,12 @@ def block_links(own: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
         return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
     texts = [bytes(t) for t in held["text"]]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    h, bounds = shingles(np.frombuffer(b"".join(texts), dtype=np.uint8), at, k)
+    h, bounds, _ = shingles(np.frombuffer(b"".join(texts), dtype=np.uint8), at, k)
     names, place = np.unique(h, return_inverse=True)
     size, comp, ids = np.diff(bounds), held["comp"].to_numpy(), held["id"].to_numpy()
     a, b = [], []
     for i, c, text in zip(asks["id"], asks["comp"], map(bytes, asks["text"]), strict=True):
-        own_h, _ = shingles(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), k)
+        own_h = shingles(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), k)[0]
         spot = np.minimum(np.searchsorted(names, own_h), max(0, len(names) - 1))
         mark = np.zeros(len(names), dtype=np.int64)
         mark[spot[names[spot] == own_h]] = 1
@@ -196,21 +216,27 @@ def crowd_links(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return ask.unionByName(held).groupBy("crowd", "i", "j").applyInPandas(lambda own: block_links(own, k, percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """id (from docs' doc_id), n_shingles, component_id, links' class, one row per row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = text_bytes(docs.withColumn("id", F.col("doc_id").cast("long")), "id")
+def _named(docs: DataFrame) -> DataFrame:
+    """id, u and text of every row, as bytes (null: empty)."""
+    texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id")
+    return texts.select("id", F.xxhash64("text").alias("u"), "text")
+
+
+def near_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and set_key, component_id (smallest id; null: none has one) and chief (set_key of the document that stays) of every set."""
+    texts = _named(docs)
     rows = stored(sketches(texts, k))
-    member = rows.select("id", "n_shingles", "set_key")
-    # copies of a set are one node, named by its smallest id
-    nodes = stored(rows.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "bands")).alias("m")).select("set_key", "m.id", "m.bands"))
+    # copies of a set are one node, named by a number of its own, with the text of its smallest id
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "u")
+    nodes = stored(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(order).alias("m"), F.first("bands").alias("bands")).select("set_key", F.col("m.id").alias("doc"), F.col("m.u").alias("u"), "bands", F.monotonically_increasing_id().alias("id")))
     near = nodes.select("id", F.explode("bands").alias("band"))
     wide = near.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     buckets = stored(near.join(wide, "band"))
     label = nodes.select("id", F.col("id").alias("comp"))
-    own = texts.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")) if not buckets.isEmpty() else None
-    if own is not None:
-        own = stored(own)
+    if not buckets.isEmpty():
+        asked = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select(F.coalesce("doc", F.lit(-1)).alias("doc"), "u", F.col("id").alias("node"))
+        shown = texts.select(F.coalesce("id", F.lit(-1)).alias("doc"), "u", "text")
+        own = stored(shown.join(asked, ["doc", "u"]).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text")))
         hubs = stored(buckets.join(buckets.groupBy("band").agg(F.min("id").alias("hub")), "band"))
         star = hubs.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         label = contracted(label, stored(confirmed(star, own, k, percent)))
@@ -223,13 +249,31 @@ def near_groups(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
         offer = one.join(two, "band").where("a < b AND ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
         links = stored(confirmed(offer, own, k, percent).unionByName(crowd_links(rest.where(F.col("pairs") > FEW), own, k, percent)))
         label = contracted(label, links)
-    classes = nodes.select("id", "set_key").join(label, "id")
-    found = member.join(classes.select("set_key", "comp"), "set_key", "left")
-    out = found.select(F.col("id").cast(kind).alias("doc_id"), "n_shingles", F.coalesce("comp", "id").cast(kind).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        discard(buckets, own, hubs, rest, links)
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "u", "set_key"))
+    heads = nodes.join(label, "id").groupBy("comp").agg(first.alias("m")).select("comp", F.col("m.doc").alias("component_id"), F.col("m.set_key").alias("chief"))
+    return rows, nodes.join(label, "id").join(heads, "comp").select("set_key", "component_id", "chief")
+
+
+def near_groups(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows, classes = near_classes(docs, k, percent)
+    found = rows.select("id", "n_shingles", "set_key").join(classes.select("set_key", F.struct("component_id").alias("c")), "set_key", "left")
+    component = F.when(F.col("c").isNotNull(), F.col("c.component_id")).otherwise(F.col("id"))
+    out = found.select(F.col("id").cast(kind).alias("doc_id"), "n_shingles", component.cast(kind).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id, and texts without words."""
-    gone = near_groups(docs, k, percent).where("NOT kept AND n_shingles > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each component stays: the one with the smallest doc_id (rows without an id come last), and texts without words.
+
+    Rows that equal it in doc_id and text are that document and stay with it."""
+    rows, classes = near_classes(docs, k, percent)
+    own = rows.where("set_key IS NOT NULL").select("id", "u", "set_key").distinct().join(classes, "set_key")
+    best = own.where("set_key = chief").groupBy("chief").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "u")).alias("m"))
+    gone = own.join(best, "chief").where(~(F.col("id").eqNullSafe(F.col("m.id")) & (F.col("u") == F.col("m.u")))).select("id", "u")
+    names = docs.columns
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("i"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("u"))
+    left = keyed.join(gone.select(F.coalesce("id", F.lit(-1)).alias("i"), F.col("id").isNull().alias("none"), "u").distinct(), ["i", "none", "u"], "left_anti")
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in names))

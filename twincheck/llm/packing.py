@@ -7,8 +7,9 @@ document's leaf is counted, and neighbouring leaves join to shards of bounded si
 shard is split by a hash. A shard builds a BM25 inverted index with the weights of the whole corpus. A seed,
 the remainder of the document that was cut last or else the first unused document, asks the index for its
 unused neighbours, all that share a term with it; they fill the window in order of score, and an unrelated
-document follows only when none is left. The last one is cut where the window ends, and its rest seeds the next window. So only the last sequence of a shard can
-need padding. Neighbours beyond the shard are not found; the README states the measured recall.
+document follows only when none is left. The last one is cut where the window ends, and its rest seeds the next
+window. So only the last sequence of a shard can need padding. Neighbours beyond the shard are not found; the
+README states the measured recall.
 
 Token ids come from the given tokenizer's file, followed by the end id. White space separates words for the
 tokenizer, so each distinct word is encoded once per worker and looked up afterwards.
@@ -20,23 +21,26 @@ its own. Null ids are packed like any other. An empty table gives an empty resul
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, portions, stored, text_bytes
+from .common import buffers, discard, portions, stored, text_bytes
 
 WINDOW = 4096
 END = 2
+#: An added token of the tokenizer. Texts that hold its first two characters are encoded whole.
+MARK = "<|endoftext|>"
 #: Bytes of text of a shard, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
-WIDTH, ROWS, LEAVES, FIT = 64, 4096, 4, 8
+WIDTH, ROWS, LEAVES, FIT = 24, 4096, 4, 8
 #: A worker forgets its words when it holds so many.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 
 class Words:
@@ -49,6 +53,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.held: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -67,13 +72,22 @@ class Words:
             held.clear()
             todo = set().union(*cut)
         names = list(todo)
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                held[w] = np.array(x.ids, dtype="<u4").tobytes()
+        for at in range(0, len(names), 500):
+            held.update(self._each(names[at : at + 500]))
         return [b"".join(map(held.__getitem__, x)) for x in cut]
 
 
+    def _each(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of each word. An added token between them keeps words apart, so that one call does for many."""
+        if self.mark is None:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return zip(words, (np.array(x, dtype="<u4").tobytes() for x in found), strict=True)
+        ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(w.decode() for w in words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        end = np.flatnonzero(ids == self.mark) * 4
+        data = ids.tobytes()
+        return zip(words, (data[i:j] for i, j in zip([0, *(end + 4).tolist()], [*end.tolist(), len(data)], strict=True)), strict=True)
+
+
 _held: dict[str, Words] = {}
 
 
@@ -207,45 +221,49 @@ class Index:
         doc, term, tf = counts(np.concatenate([d[:-1] for d in docs]), np.concatenate([[0], np.cumsum(sizes)]))
         weight = corpus.weights(doc, term, tf, sizes)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.first = doc[order], weight[order], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(corpus.idf)))])
-        self.query, self.query_at = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        self.doc, self.weight, self.first = doc[order].astype(np.int32), weight[order].astype(np.float32), np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(corpus.idf)))])
+        self.query, self.query_at = term.astype(np.int32), np.searchsorted(doc, np.arange(len(docs) + 1))
         self.n = len(docs)
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """All unused documents that share a term with the seed, the best first."""
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed, the best first, the smaller number first of equals."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
-        spans = [(self.first[t], self.first[t + 1]) for t in terms]
-        found = np.concatenate([self.doc[i:j] for i, j in spans]) if spans else np.zeros(0, dtype=np.int64)
-        if not len(found):
-            return found
-        score = np.bincount(found, weights=np.concatenate([self.weight[i:j] for i, j in spans]), minlength=self.n)
-        score[used] = 0
-        score[seed] = 0
+        if not len(terms):
+            return
+        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=1)
         top = np.flatnonzero(score > 0)
-        return top[np.argsort(-score[top], kind="stable")]
+        top = top[~used[top] & (top != seed)]
+        score, take = -score[top], 32
+        while len(top):  # most windows need few: order the best, and the rest only if they run out
+            if take < len(top):
+                near = score <= np.partition(score, take)[take]
+            else:
+                near = np.ones(len(top), dtype=bool)
+            best = top[near]
+            yield from best[np.argsort(score[near], kind="stable")].tolist()
+            top, score, take = top[~near], score[~near], take * 8
 
 
 def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset)."""
     index, used, out = Index(docs, corpus), np.zeros(len(docs), dtype=bool), []
-    sequence, room, waiting, nxt, rest, seed = 0, window, [], 0, None, -1
+    sequence, room, waiting, nxt, rest, seed = 0, window, iter(()), 0, None, -1
     while True:
         if rest is not None:
             (d, start), rest = rest, None
             if room == window and d != seed:  # a new window: the rest of the last document seeds it
-                seed, waiting = d, list(index.neighbours(d, used)[::-1])
+                seed, waiting = d, index.neighbours(d, used)
         else:
-            while waiting and used[waiting[-1]]:
-                waiting.pop()
-            if waiting:
-                d, start = int(waiting.pop()), 0
-            else:
+            d, start = next((x for x in waiting if not used[x]), -1), 0
+            if d < 0:
                 while nxt < len(docs) and used[nxt]:
                     nxt += 1
                 if nxt == len(docs):
                     return out
-                d, start = nxt, 0
-                seed, waiting = d, list(index.neighbours(d, used)[::-1])
+                d = seed = nxt
+                waiting = index.neighbours(d, used)
             used[d] = True
         take = min(room, len(docs[d]) - start)
         out.append((d, start, take, sequence, window - room))
@@ -255,7 +273,7 @@ def fill(docs: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[t
         if not room:
             sequence, room = sequence + 1, window
             if rest is None:
-                waiting = []
+                waiting = iter(())
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -277,7 +295,7 @@ def flat(column: pa.Array, kind: str):
     """Token ids and offsets of portions of a batch's documents."""
     data, at = buffers(column)
     wide = int(kind[-1])
-    for i, j in portions(at, 1 << 22):
+    for i, j in portions(at, 1 << 21):
         yield i, j, np.frombuffer(data[at[i] : at[j]].tobytes(), dtype=kind), (at[i : j + 1] - at[i]) // wide
 
 
@@ -303,7 +321,7 @@ def measured(tokens: DataFrame, kind: str) -> Corpus:
 
 
 def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
-    """Adds the shard: documents of like content share one."""
+    """Adds the shard: documents of like content share one. tokens is a stored table and goes when it is dealt."""
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("size")).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
     if shards == 1:
@@ -333,6 +351,7 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     out = stored(tokens.select("doc_id", "ids", "size").mapInArrow(walk, f"doc_id {kind}, ids binary, size long, leaf long"))
+    discard(tokens)
     sizes = sorted((r["leaf"], r["size"]) for r in out.groupBy("leaf").agg(F.sum("size").alias("size")).collect())  # LEAVES rows a shard
     deal = tokens.sparkSession.createDataFrame(shards_of(sizes, shard_bytes), "leaf long, first long, parts long")
     return out.join(F.broadcast(deal), "leaf").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts")))

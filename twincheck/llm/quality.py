@@ -1,8 +1,9 @@
 """Quality classifier by supervised subword embeddings.
 
-Each whitespace-separated word and each byte n-gram of it, with its neighbouring white space as boundary
+Each whitespace-separated word and each character n-gram of it, with its neighbouring white space as boundary
 marker, is hashed to a learned vector; a document is the average of its vectors, and a softmax over
-that average gives the label. Training is plain stochastic gradient descent in numpy.
+that average gives the label. Training is plain stochastic gradient descent in numpy. Texts are turned into
+their distinct features where they lie; the one fitting task reads those, at most `BUCKETS` of a text however long it is.
 
 At scoring time the output layer is applied to every vector once. The average of dot products equals
 the dot product with the average, so a document costs one table look-up per feature.
@@ -26,10 +27,8 @@ DIM = 8
 GRAMS = (3, 4)
 EPOCHS = 8
 RATE = 0.1
-#: The classifier is fitted on about so many labelled rows, chosen by a hash of their ids ...
+#: The classifier is fitted on about so many labelled rows, chosen by a hash of their ids.
 SAMPLE = 4000
-#: ... of at most so many bytes each, so that the one fitting task is bounded.
-SAMPLE_BYTES = 16384
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -37,10 +36,14 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> list[tuple[
     h = prefix_hash(data)
     start, end = word_bounds(data, offsets, ~IS_SPACE)
     out = [((range_hash(h, start, end) % np.uint64(buckets)).astype(np.int64), np.searchsorted(start, offsets))]
-    row_end = np.repeat(offsets[1:], np.diff(offsets))
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    bound = np.searchsorted(first, offsets)
+    row_end = np.repeat(bound[1:], np.diff(bound))
+    blank = np.concatenate([[0], np.cumsum(IS_SPACE[data[first[:-1]]])])
     for n in GRAMS:
-        at = np.flatnonzero(np.arange(len(data)) + n <= row_end)
-        out.append((((range_hash(h, at, at + n) + np.uint64(n)) % np.uint64(buckets)).astype(np.int64), np.searchsorted(at, offsets)))
+        at = np.flatnonzero(np.arange(len(row_end)) + n <= row_end)
+        at = at[blank[at + n - 1] == blank[at + 1]]  # white space at its ends only
+        out.append((((range_hash(h, first[at], first[at + n]) + np.uint64(n)) % np.uint64(buckets)).astype(np.int64), np.searchsorted(at, bound)))
     return out
 
 
@@ -89,26 +92,30 @@ def score_rows(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, bias: fl
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
-    """Fit on about `sample` of the labelled rows, in one task whose input is bounded by sample * sample_bytes."""
+def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Fit on about `sample` of the labelled rows, in one task whose input is bounded by the features of so many rows."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
     n = known.count()
     share = min(1.0, sample / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("label").cast("int"), F.xxhash64("doc_id").alias("h"))
 
-    def run(batches):
-        bag, y, ids = [], [], []
+    def shown(batches):
         for batch in batches:
             data, at = buffers(batch.column(0))
-            bag += bags(data, at, BUCKETS)
-            y += batch.column(1).to_pylist()
-            ids += batch.column(2).to_pylist()
-        order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")  # as rows arrive in any order
-        odds, bias = fit([bag[i] for i in order], (np.array(y, dtype=np.int64) > 0).astype(np.int64)[order])
+            bag = [x for i, j in portions(at) for x in bags(data[at[i] : at[j]], at[i : j + 1] - at[i], BUCKETS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x, _ in bag], pa.binary()), pa.array([w.tobytes() for _, w in bag], pa.binary()), batch.column(1), batch.column(2)], names=["ids", "share", "label", "h"])
+
+    def run(batches):
+        held = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        held.sort(key=lambda x: (x[3], x[0], x[1]))  # as rows arrive in any order
+        bag = [(np.frombuffer(i, dtype="<i4").astype(np.int64), np.frombuffer(w, dtype=np.float32)) for i, w, _, _ in held]
+        odds, bias = fit(bag, np.array([y > 0 for _, _, y, _ in held], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([bias])], names=["odds", "bias"])
 
-    one = rows.select(F.col("text"), F.col("label").cast("int"), F.xxhash64("doc_id").alias("h")).repartition(1).mapInArrow(run, "odds binary, bias double").first()
+    one = rows.mapInArrow(shown, "ids binary, share binary, label int, h long").repartition(1).mapInArrow(run, "odds binary, bias double").first()
+    if one is None:  # no labelled row: every text gets one half
+        return np.zeros(BUCKETS, dtype=np.float32), 0.0
     return np.frombuffer(bytes(one["odds"]), dtype=np.float32), one["bias"]
 
 
