@@ -6,14 +6,19 @@ children's, so after training the share that its own estimate keeps is known, an
 estimates of all depths along the context. Training counts every byte of every learning text.
 
 Texts are dealt to chunks of bounded size by a hash. A chunk asks for what it contains: its distinct words and its
-distinct (context, byte) strings, with their counts in learning texts. Counts are summed over all chunks; strings with the
-same two last context bytes form one subtree, one task's group: only the distinct strings that occur, but up to 256^4 in principle, whose nodes are weighted from the leaves up and
-then evaluated from the root down, given at most 256 * 255 nodes of depth 1. The answers go back to the chunks that
-asked. So nothing that grows with the corpus is broadcast or collected.
+distinct (context, byte) strings, with their counts in learning texts. Counts are summed over all chunks. Strings with
+the same three last context bytes form one subtree; whole subtrees are dealt to shards of about `SHARD` strings and
+weighted there from the leaves up. What they say at depth 3 is summed to depth 2, to depth 1 and to the root by plain
+aggregates, whose sizes the alphabet bounds (at most 256 * 255 nodes of depth 1 are collected); then the mixture goes
+down again, by a join at depth 2 and within the shards below. The answers go back to the chunks that asked. So nothing
+that grows with the corpus is broadcast or collected.
 
 Texts are lower-cased (A-Z); each is preceded by `DEPTH` zero bytes and ended by one, whose code length counts.
 Words are runs of other bytes than the contract's white space; one end token per text follows them.
 
+A mixture over all depths up to `DEPTH` loses at most a few bits a context to the best of them, so a deeper tree is
+only a matter of cost.
+
 Defined results: null text counts as empty: its one token is the end. Repeated rows count and score each on its own.
 Without learning texts every decision costs one bit and base_score is 0 = log10(1/1). An empty table gives an empty result.
 """
@@ -30,9 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, stored, text_bytes, volume
+from .common import discard, remainder, stored, text_bytes, volume
 
-DEPTH = 5
+DEPTH = 6
+#: Depth whose contexts name a subtree, and strings of a shard of subtrees, about.
+ROOTS, SHARD = 3, 400_000
 #: Bytes of text of a chunk, about.
 CHUNK_BYTES = 24 << 20
 PORTION = 1 << 20
@@ -111,12 +118,12 @@ def kept_share(own: np.ndarray, children: np.ndarray) -> np.ndarray:
 
 
 def subtree(key: np.ndarray, n: np.ndarray):
-    """The nodes of depths 2 to DEPTH below one pair of last context bytes.
+    """The nodes of depths ROOTS to DEPTH of whole subtrees.
 
     Per depth: each decision's place among the visited nodes, zeros, ones, ln of own estimate, ln of the children's product (leaves: none).
-    Then the nodes of depth 2 and the ln of their weighted probability."""
+    Then the contexts of depth ROOTS, their nodes (number of the context * 256 + node), and the ln of their weighted probability."""
     byte, levels, below = key & 255, [], None
-    for d in range(DEPTH, 1, -1):
+    for d in range(DEPTH, ROOTS - 1, -1):
         mask = (1 << (8 * d)) - 1
         names, number = np.unique((key >> 8) & mask, return_inverse=True)
         cells, at, a, b = cells_of(number, byte, n)
@@ -129,7 +136,7 @@ def subtree(key: np.ndarray, n: np.ndarray):
         value = np.where(seen, own if children is None else weighted(own, children), 0.0)
         levels.append((at, a, b, own, children))
         below = (names, cells, value)
-    return levels[::-1], below[1], below[2]
+    return levels[::-1], *below
 
 
 def descend(mixed: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -150,58 +157,80 @@ def top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return descend(np.broadcast_to(mixed, (256, 256)), np.broadcast_to(left, (256, 256)), a, b, estimated(a, b), children)
 
 
-def evaluate(key: np.ndarray, n: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte of each string, given what depths 0 and 1 say at (last byte, node)."""
-    levels, _, _ = subtree(key, n)
-    byte, last = key & 255, (key >> 8) & 255
+def evaluate(key: np.ndarray, n: np.ndarray, spot: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of each string, given what lesser depths than ROOTS say at spot (context * 256 + node, sorted)."""
+    levels, names, _, _ = subtree(key, n)
+    byte, number = key & 255, (key >> 8) & ((1 << (8 * ROOTS)) - 1)
     # what a node adds to a prediction of weight 1, and the weight it leaves
     steps = [(at, *descend(np.zeros(len(a)), np.ones(len(a)), a, b, own, children)) for at, a, b, own, children in levels]
     out = np.zeros(len(key))
     for i in range(8):
         node, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
-        p, rest = mixed[last, node], left[last, node]
+        first = np.searchsorted(spot, number * 256 + node)
+        p, rest = mixed[first], left[first]
         for at, adds, leaves in steps:
             p, rest = p + rest * adds[at[i]], rest * leaves[at[i]]
         out += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-300, 1))
     return out
 
 
+def _valued(nodes: DataFrame, name: str) -> DataFrame:
+    """Adds value, the ln of the weighted probability, to nodes(name, node, a, b, children)."""
+
+    def run(parts):
+        for x in parts:
+            a, b = x["a"].to_numpy(), x["b"].to_numpy()
+            yield x.assign(value=np.where(a + b > 0, weighted(estimated(a, b), x["children"].to_numpy()), 0.0))
+
+    return nodes.mapInPandas(run, f"{name} int, node int, a double, b double, children double, value double")
+
+
 def string_scores(counts: DataFrame) -> DataFrame:
-    """gram and value, the log10 probability, of each string of counts(gram, n)."""
+    """gram and value, the log10 probability, of each string of counts(gram, n), a stored table."""
     spark = counts.sparkSession
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair")
-    placed = counts.withColumn("pair", pair)
+    shards = max(1, -(-counts.count() // SHARD))
+    root = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * ROOTS)) - 1))
+    placed = counts.withColumn("shard", F.pmod(F.xxhash64(root), F.lit(shards)))
 
     def up(rows: pd.DataFrame) -> pd.DataFrame:
-        levels, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        levels, names, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
         _, a, b, _, _ = levels[0]
-        seen = np.flatnonzero(a + b > 0)
-        return pd.DataFrame({"c": np.full(len(seen), int(rows["pair"].iloc[0]) & 255), "node": nodes[seen] & 255, "a": a[seen], "b": b[seen], "value": value[seen]})
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "root": names[nodes >> 8].astype(np.int32), "node": (nodes & 255).astype(np.int32), "a": a, "b": b, "value": value})
 
-    two = placed.groupBy("pair").applyInPandas(up, "c int, node int, a double, b double, value double")
+    three = stored(placed.groupBy("shard").applyInPandas(up, "shard long, root int, node int, a double, b double, value double"))
+    sums = F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("value").alias("children")
+    pair = F.col("root").bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    two = stored(_valued(three.groupBy(pair, "node").agg(*sums), "pair"))  # 65536 * 255 rows at most
+    head = _valued(two.groupBy(F.col("pair").bitwiseAND(F.lit(0xFF)).alias("c"), "node").agg(*sums), "c").where("a + b > 0").toPandas()  # 256 * 255 rows at most
+    known = spark.sparkContext.broadcast(top(head))  # 2 * 256 * 256 numbers
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        s = rows.groupby("node", as_index=False).agg(a=("a", "sum"), b=("b", "sum"), children=("value", "sum"))
-        s["value"] = weighted(estimated(s["a"].to_numpy(), s["b"].to_numpy()), s["children"].to_numpy())
-        return s.assign(c=int(rows["c"].iloc[0]))[["c", "node", "a", "b", "value", "children"]]
+    def second(parts):
+        for x in parts:
+            mixed, left = (m[x["pair"].to_numpy() & 255, x["node"].to_numpy()] for m in known.value)
+            a, b = x["a"].to_numpy(), x["b"].to_numpy()
+            mixed, left = descend(mixed, left, a, b, estimated(a, b), x["children"].to_numpy())
+            yield pd.DataFrame({"pair": x["pair"], "node": x["node"], "mixed": mixed, "rest": left})
 
-    head = two.groupBy("c").applyInPandas(one, "c int, node int, a double, b double, value double, children double").toPandas()  # 256 * 255 rows at most
-    known = spark.sparkContext.broadcast(top(head))  # 2 * 256 * 256 numbers
+    said = two.mapInPandas(second, "pair int, node int, mixed double, rest double")
+    given = three.select("shard", "root", pair, "node").join(said, ["pair", "node"]).select("shard", (F.col("root").cast("long") * 256 + F.col("node")).alias("spot"), "mixed", "rest")
 
-    def down(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": rows["gram"], "value": evaluate(rows["gram"].to_numpy(), rows["n"].to_numpy(), *known.value)})
+    def down(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        above = above.sort_values("spot")
+        return pd.DataFrame({"gram": rows["gram"], "value": evaluate(rows["gram"].to_numpy(), rows["n"].to_numpy(), *(above[c].to_numpy() for c in ("spot", "mixed", "rest")))})
 
-    return placed.groupBy("pair").applyInPandas(down, "gram long, value double")
+    return placed.groupBy("shard").cogroup(given.groupBy("shard")).applyInPandas(down, "gram long, value double")
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. Rows whose remainder is `held` teach nothing."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row. Rows whose remainder is `held` teach nothing."""
     rows = text_bytes(docs, "doc_id")
     n_rows, total = volume(rows)
     chunks = max(1, -(-(total + 64 * n_rows) // chunk_bytes))
     out = remainder(F.col("doc_id"), modulus) == held
-    dealt = rows.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    learning = rows.where(~out).count()
+    # rows are dealt by id, text and a draw, so that many equal rows do not meet in one chunk; stored, as a draw must not change
+    deal = F.pmod(F.xxhash64("doc_id", "text", F.floor(F.rand(5) * 64)), F.lit(chunks))
+    dealt = stored(rows.select("doc_id", "text", out.alias("held_out"), deal.alias("chunk")))
+    learning = dealt.where("NOT held_out").count()
 
     def ask(key, table):
         learn = [not x for x in table["held_out"].to_pylist()]
@@ -216,20 +245,28 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
                     words.setdefault(w, 0)
         names, counts = string_counts(texts, learn)
         k, g = len(words), len(names)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * (k + g), pa.int64()), "word": pa.array([*words, *[None] * g], pa.binary()), "gram": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(names)]), "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(counts)])})
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * (k + g), pa.int64()),
+            "word": pa.array([*words, *[None] * g], pa.binary()),
+            "gram": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(names)]),
+            "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(counts)]),
+        })
 
     asked = stored(dealt.groupBy("chunk").applyInArrow(ask, "chunk long, word binary, gram long, n long"))
-    grams = asked.where("gram IS NOT NULL")
+    grams, words = asked.where("gram IS NOT NULL"), asked.where("word IS NOT NULL")
     counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    of_words = asked.where("word IS NOT NULL").select("chunk", "word", "n").withColumn("c", F.sum("n").over(Window.partitionBy("word")))
+    of_words = words.select("chunk", "word", "n").withColumn("c", F.sum("n").over(Window.partitionBy("word")))
     # words of one chunk only are known there
     of_words = stored(of_words.select("chunk", "word", "n", "c").where("c > n"))
-    whole = asked.where("word IS NOT NULL AND n > 0").agg(F.sum("n").alias("n")).first()
-    shared = of_words.where("n > 0").agg(F.countDistinct("word").alias("v")).first()["v"]
-    alone = asked.where("word IS NOT NULL AND n > 0").agg(F.count(F.lit(1)).alias("v")).first()["v"] - of_words.where("n > 0").count()
+    whole = words.where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    several = of_words.where("n > 0").agg(F.countDistinct("word").alias("v"), F.count(F.lit(1)).alias("n")).first()
     tokens = (whole["n"] or 0) + learning
-    distinct = shared + alone + (1 if learning else 0)
-    answers = of_words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value")).unionByName(grams.join(string_scores(counts), "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    distinct = several["v"] + whole["v"] - several["n"] + (1 if learning else 0)
+    answers = stored(
+        of_words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
+        .unionByName(grams.join(string_scores(counts), "gram").select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    )
+    discard(asked, counts, of_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tell(key, table, known):
@@ -258,8 +295,12 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
         for i, j in runs(texts):
             own, bounds = strings(texts[i:j])
             score.append(np.add.reduceat(value[np.searchsorted(names, own)], bounds[:-1]))
-        size = len(texts)
-        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array([tokens] * size, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score) if score else np.zeros(0))})
-
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+        size, score = len(texts), np.concatenate(score) if score else np.zeros(0)
+        bits = -score / np.log10(2) / np.array([len(t) + 1 for t in texts], dtype=np.float64)
+        return pa.table({
+            "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(found, pa.int64()),
+            "train_tokens": pa.array([tokens] * size, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(bits),
+        })
+
+    shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, shape)
