@@ -41,7 +41,7 @@ SHALLOW = 64
 #: Bytes of context in a shard, about.
 SHARD_BYTES = 8 << 20
 #: Anchors with one substring that a shard may hold, and the grid on which a larger group is split.
-CROWD, STEP = 16_384, 16
+CROWD, STEP = 1 << 16, 16
 #: A task remembers so many contexts to send each of them once.
 MEMORY = 400_000
 #: Rows of a batch that carries contexts.
@@ -379,10 +379,11 @@ def intervals(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int =
     """d, u and per length spans0, spans1, ... (begin, end): the repeated bytes of each text that has any, not yet merged."""
     rows = _named(docs)
     found = stored(found_anchors(rows, min(lengths), gram))
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key", (F.col("total") > crowd).alias("crowd"))
+    # stored, so that the join can split a substring that has very many anchors
+    often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key", (F.col("total") > crowd).alias("crowd")))
     hits = found.join(often, "key").groupBy("d", "u").agg(F.collect_set(F.struct("m", "key", "crowd")).alias("hits"))
     placed = stored(contexts(rows.join(hits, ["d", "u"]).select("d", "u", "text", "hits"), max(lengths), gram))
-    discard(found)
+    discard(found, often)
     reach = shard_table(placed, lengths)
     many = placed.where("n > 0 AND crowd").groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.max("part").alias("part"))
     many = stored(many)
