@@ -65,23 +65,27 @@ def test_lm_base(docs):
 
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.WORD_TOKENIZER))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in read(docs):
         want[i, tuple(tokenizer.encode(t, add_special_tokens=False).ids) + (2,)] += 1
     pieces = packing.pack(docs, public_tokenizers.path(queries.WORD_TOKENIZER)).collect()
-    assert sum(p.length for p in pieces) == sum(len(ids) * n for (_, ids), n in want.items())
-    by_id = {}
+    # each document is cut into pieces that follow each other: its ids lie in exactly one piece each
+    got = Counter((p.doc_id, p.doc_tokens, p.start, p.length, p.ids_crc32) for p in pieces)
     for i, ids in want:
-        by_id.setdefault(i, []).append(ids)
-    for p in pieces:
-        assert any(len(ids) == p.doc_tokens and zlib.crc32(np.array(ids[p.start : p.start + p.length], dtype="<u4").tobytes()) == p.ids_crc32 for ids in by_id[p.doc_id])
-    rows = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+        starts = Counter({p.start: 0 for p in pieces if p.doc_id == i})
+        at = 0
+        while at < len(ids):
+            fits = [(k, n) for k, n in got.items() if k[0] == i and k[1] == len(ids) and k[2] == at and zlib.crc32(np.array(ids[at : at + k[3]], dtype="<u4").tobytes()) == k[4]]
+            assert fits, (i, at, starts)
+            at += fits[0][0][3]
+    assert sum(p.length for p in pieces) == sum(len(ids) * n for (_, ids), n in want.items())
     at = {}
-    for s, o, n in rows:
+    for s, o, n in sorted((p.sequence_id, p.offset, p.length) for p in pieces):
         assert at.get(s, 0) == o
         at[s] = o + n
     assert all(n <= 4096 for n in at.values())
+    shards = Counter(s >> 32 for s in at)
+    assert sum(n < 4096 for n in at.values()) <= len(shards)  # only a shard's last sequence is padded
 
 
 @pytest.mark.parametrize("bits", [256, 2])
@@ -137,7 +141,9 @@ def test_suffix_dedup(docs):
                 gone[j + m] -= 1
         gone = np.cumsum(gone)[:-1] > 0
         want.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest()))
-    same(suffix_dedup.measure(docs).collect(), want)
+    got = suffix_dedup.measure(docs).collect()
+    same([tuple(r)[:5] for r in got], want)
+    assert all(r.n_passage >= r.n_removed for r in got)
 
 
 def test_minhash(docs):
@@ -159,7 +165,7 @@ def test_minhash(docs):
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    same({tuple(r) for r in minhash.near_groups(docs).collect()}, {(i, len(s), find(i), find(i) == i) for i, s in sets.items()})
+    same(minhash.near_groups(docs).collect(), [(i, len(sets[i]), find(i), find(i) == i) for i, _ in read(docs)])
 
 
 def test_scores_are_defined(docs, labels):
