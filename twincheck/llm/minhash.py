@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column(2))
             n, key, band = [], [], []
-            for i, j in portions(at):
+            for i, j in portions(at, 1 << 18):
                 part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 h, bounds, words = shingles(part, own, k)
                 n += np.diff(bounds).tolist()
@@ -142,7 +142,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """Those of pairs(a, b) whose full sets are alike. texts(id, text) holds both."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, len(b), 128)):
             ok = [alike(x, y, k, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 

@@ -12,7 +12,7 @@ window. So only the last sequence of a shard can need padding. Neighbours beyond
 README states the measured recall.
 
 Token ids come from the given tokenizer's file, followed by the end id. White space separates words for the
-tokenizer, so each distinct word is encoded once per worker and looked up afterwards.
+tokenizer, so each distinct word is encoded once per task and looked up afterwards.
 
 Defined results: null text counts as empty and packs as the end id alone. Repeated rows are packed each on
 its own. Null ids are packed like any other. An empty table gives an empty result.
@@ -39,7 +39,7 @@ SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
 WIDTH, ROWS, LEAVES, FIT = 24, 4096, 4, 8
-#: A worker forgets its words when it holds so many.
+#: A task forgets its words when it holds so many.
 MEMORY = 400_000
 
 
@@ -283,10 +283,12 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         encoder = words_of(tokenizer)
         for batch in batches:
-            ids, text = [], batch.column(1).to_pylist()
-            for at in range(0, len(text), 256):
-                ids += [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in encoder.encode(text[at : at + 256])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(t) + 16 for t in text], pa.int64())], names=["doc_id", "ids", "size"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                text = part.column(1).to_pylist()
+                ids = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in encoder.encode(text)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(t) + 16 for t in text], pa.int64())], names=["doc_id", "ids", "size"])
+        encoder.held.clear()  # workers live on, and other stages need the memory
 
     return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, size long")
 

@@ -244,7 +244,7 @@ def found_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column(2))
             d, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in portions(at):
+            for i, j in portions(at, 1 << 19):
                 own = at[i : j + 1] - at[i]
                 row, place, key = anchors(data[at[i] : at[j]], own, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(d[i:j][row]), pa.array(u[i:j][row]), pa.array(place - own[row]), pa.array(key)], names=["d", "u", "m", "key"])
@@ -419,7 +419,7 @@ def measure(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Da
     rows = _named(docs, "doc_id").join(intervals(docs, (length, passage)), ["d", "u"], "left").select("doc_id", "text", "spans0", "spans1")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             texts = batch.column(1).to_pylist()
             out = [cut(t, s) for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
             under = [cut(t, s)[1] for t, s in zip(texts, batch.column(3).to_pylist(), strict=True)]
@@ -436,7 +436,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = joined.select(F.col("row.text").alias("text"), "spans", *(F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             texts = [t if not s else cut(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             held = dict(zip(names, batch.columns[2:], strict=True))
             held["text"] = pa.array(texts, pa.string())
