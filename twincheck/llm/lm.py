@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, remainder, stored, text_bytes, volume
 
-DEPTH = 6
+DEPTH = 5
 #: Depth whose contexts name a subtree, and strings of a shard of subtrees, about.
 ROOTS, SHARD = 3, 400_000
 #: Bytes of text of a chunk, about.
@@ -73,15 +73,18 @@ def runs(texts: list[bytes], most: int = PORTION):
 
 def string_counts(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of the texts and how often they occur in learning texts."""
-    names, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for i, j in runs(texts):
-        key, bounds = strings(texts[i:j])
-        own, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, weights=np.repeat(np.array(learn[i:j], dtype=np.float64), np.diff(bounds)), minlength=len(own)).astype(np.int64)
-        both, back = np.unique(np.concatenate([names, own]), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-        names = both
-    return names, counts
+    names, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i, j in runs(texts, 8 * PORTION):
+        for teach in (True, False):
+            key, _ = strings([t for t, ok in zip(texts[i:j], learn[i:j], strict=True) if ok is teach])
+            own, n = np.unique(key, return_counts=True)  # a plain sort, as strings carry nothing with them yet
+            names.append(own)
+            counts.append(n * teach)
+    names, counts = np.concatenate(names), np.concatenate(counts)
+    order = np.argsort(names)
+    names = names[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, dtype=np.int64)
+    return names[first], np.add.reduceat(counts[order], first) if len(first) else first
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -96,17 +99,29 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def cells_of(number: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The visited (context number * 256 + node), each decision's place among them (8 rows), and zeros and ones there.
+def cells_of(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings (context and byte): each decision's place among the visited nodes (8 rows), each node's decision and first string, and zeros and ones there.
 
-    Decision i of a byte stands at node (1 << i) | (its first i bits), 1 to 255. Only nodes that a string visits are kept."""
-    i = np.arange(8)[:, None]
-    cells, at = np.unique(number[None, :] * 256 + ((1 << i) | (byte[None, :] >> (8 - i))), return_inverse=True)
-    at = at.reshape(8, len(byte))
-    bit = (byte[None, :] >> (7 - i)) & 1
-    both = np.bincount(at.ravel(), weights=np.tile(n, 8).astype(np.float64), minlength=len(cells))
-    ones = np.bincount(at.ravel(), weights=(bit * n[None, :]).ravel().astype(np.float64), minlength=len(cells))
-    return cells, at, both - ones, ones
+    Decision i of a byte stands at node (1 << i) | (its first i bits), 1 to 255. In the order of the strings, a node is a run of
+    equal contexts and first bits."""
+    order = np.argsort(key)
+    byte, n = key[order] & 255, n[order].astype(np.float64)
+    context = np.concatenate([[True], np.diff(key[order] >> 8) != 0])
+    at = np.empty((8, len(key)), dtype=np.int64)
+    level, string, zeros, ones, size = [], [], [], [], 0
+    for i in range(8):
+        bits = byte >> (8 - i)
+        new = context.copy()
+        new[1:] |= bits[1:] != bits[:-1]
+        first = np.flatnonzero(new)
+        at[i, order] = np.cumsum(new) - 1 + size
+        one = np.add.reduceat(n * ((byte >> (7 - i)) & 1), first)
+        level.append(np.full(len(first), i))
+        string.append(order[first])
+        ones.append(one)
+        zeros.append(np.add.reduceat(n, first) - one)
+        size += len(first)
+    return at, *(np.concatenate(x) for x in (level, string, zeros, ones))
 
 
 def weighted(own: np.ndarray, children: np.ndarray) -> np.ndarray:
@@ -121,22 +136,18 @@ def subtree(key: np.ndarray, n: np.ndarray):
     """The nodes of depths ROOTS to DEPTH of whole subtrees.
 
     Per depth: each decision's place among the visited nodes, zeros, ones, ln of own estimate, ln of the children's product (leaves: none).
-    Then the contexts of depth ROOTS, their nodes (number of the context * 256 + node), and the ln of their weighted probability."""
-    byte, levels, below = key & 255, [], None
+    Then, for depth ROOTS, each node's context, its number, and the ln of its weighted probability."""
+    levels, below = [], None
     for d in range(DEPTH, ROOTS - 1, -1):
-        mask = (1 << (8 * d)) - 1
-        names, number = np.unique((key >> 8) & mask, return_inverse=True)
-        cells, at, a, b = cells_of(number, byte, n)
+        at, level, string, a, b = cells_of(key & ((1 << (8 * (d + 1))) - 1), n)
         own, children = estimated(a, b), None
-        if below is not None:
-            lower, nodes, values = below
-            parent = np.searchsorted(names, lower & mask)[nodes >> 8] * 256 + (nodes & 255)
-            children = np.bincount(np.searchsorted(cells, parent), weights=values, minlength=len(cells))
-        seen = a + b > 0
-        value = np.where(seen, own if children is None else weighted(own, children), 0.0)
+        if below is not None:  # a node's parent is where its first string stands one depth higher
+            children = np.bincount(at[below[0], below[1]], weights=below[2], minlength=len(a))
+        value = np.where(a + b > 0, own if children is None else weighted(own, children), 0.0)
         levels.append((at, a, b, own, children))
-        below = (names, cells, value)
-    return levels[::-1], *below
+        below = level, string, value
+    byte = key[string] & 255
+    return levels[::-1], (key[string] >> 8) & ((1 << (8 * ROOTS)) - 1), (1 << level) | (byte >> (8 - level)), value
 
 
 def descend(mixed: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +170,7 @@ def top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def evaluate(key: np.ndarray, n: np.ndarray, spot: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
     """log10 probability of the byte of each string, given what lesser depths than ROOTS say at spot (context * 256 + node, sorted)."""
-    levels, names, _, _ = subtree(key, n)
+    levels, _, _, _ = subtree(key, n)
     byte, number = key & 255, (key >> 8) & ((1 << (8 * ROOTS)) - 1)
     # what a node adds to a prediction of weight 1, and the weight it leaves
     steps = [(at, *descend(np.zeros(len(a)), np.ones(len(a)), a, b, own, children)) for at, a, b, own, children in levels]
@@ -193,9 +204,9 @@ def string_scores(counts: DataFrame) -> DataFrame:
     placed = counts.withColumn("shard", F.pmod(F.xxhash64(root), F.lit(shards)))
 
     def up(rows: pd.DataFrame) -> pd.DataFrame:
-        levels, names, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        levels, roots, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
         _, a, b, _, _ = levels[0]
-        return pd.DataFrame({"shard": rows["shard"].iloc[0], "root": names[nodes >> 8].astype(np.int32), "node": (nodes & 255).astype(np.int32), "a": a, "b": b, "value": value})
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "root": roots.astype(np.int32), "node": nodes.astype(np.int32), "a": a, "b": b, "value": value})
 
     three = stored(placed.groupBy("shard").applyInPandas(up, "shard long, root int, node int, a double, b double, value double"))
     sums = F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("value").alias("children")
@@ -294,7 +305,10 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
         score = []
         for i, j in runs(texts):
             own, bounds = strings(texts[i:j])
-            score.append(np.add.reduceat(value[np.searchsorted(names, own)], bounds[:-1]))
+            order = np.argsort(own)  # near keys lie near in the table
+            found_at = np.empty(len(own))
+            found_at[order] = value[np.searchsorted(names, own[order])]
+            score.append(np.add.reduceat(found_at, bounds[:-1]))
         size, score = len(texts), np.concatenate(score) if score else np.zeros(0)
         bits = -score / np.log10(2) / np.array([len(t) + 1 for t in texts], dtype=np.float64)
         return pa.table({
