@@ -95,3 +95,39 @@ def bundles(df: DataFrame, column: str = "bundle") -> DataFrame:
     a = inner.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("wrong"))
     b = rows.agg(F.count_if(~F.col("sound")).alias("broken"))
     return a.join(b).select("total", (F.col("wrong") + F.col("broken")).alias("invalid"), (1 - (F.col("wrong") + F.col("broken")) / F.greatest("total", F.lit(1))).alias("score"))
+
+
+# Medications that must not meet in one patient, by parts of their names.
+CONTRAINDICATED = [("warfarin", "aspirin"), ("warfarin", "ibuprofen"), ("maoi", "ssri"), ("maoi", "tramadol"), ("metformin", "contrast_dye"), ("sildenafil", "nitrate")]
+NO_LABS = 0.8
+
+
+def columns_of(df: DataFrame, kind: str, named: dict[str, str] | None = None) -> list[str]:
+    """Columns of a clinical kind: those that `named` (column to kind) gives it, else those whose name contains it, underscores as spaces."""
+    given = [c for c, k in (named or {}).items() if k == kind and c in df.columns]
+    return given or [c for c in df.columns if kind.replace("_", " ").lower() in c.replace("_", " ").lower()]
+
+
+def labs(df: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
+    """(lab, column, n, share within the critical bounds) of each laboratory value that has a column with numbers, and a row of lab
+    `overall` with the mean share, 0.8 without any. One aggregate over df."""
+    own = {lab: found[0] for lab in LAB_BOUNDS if (found := columns_of(df, lab, named))}
+    kind = "lab string, column string, n long, share double"
+    if not own:
+        return df.sparkSession.createDataFrame([("overall", None, 0, NO_LABS)], kind)
+    usable = lambda c: number(c).isNotNull() & ~F.isnan(number(c))
+    one = df.agg(*(F.count_if(usable(c)).alias(f"n{i}") for i, c in enumerate(own.values())), *(share_within(c, *LAB_BOUNDS[lab]).alias(f"s{i}") for i, (lab, c) in enumerate(own.items())))
+    cells = F.array(*(F.struct(F.lit(lab).alias("lab"), F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("share")) for i, (lab, c) in enumerate(own.items())))
+    held = F.filter(cells, lambda x: x["n"] > 0)
+    total = F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    mean = F.coalesce(F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x["share"]), F.size(held)), F.lit(NO_LABS))
+    whole = F.struct(F.lit("overall").alias("lab"), F.lit(None).cast("string").alias("column"), total.alias("n"), mean.alias("share"))
+    return one.select(F.explode(F.concat(held, F.array(whole))).alias("x")).select("x.*")
+
+
+def medication_safety(df: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
+    """pair_safety of the contraindicated pairs over the medication (else drug) and patient_id columns; no flag and score 1 if either is missing."""
+    drug, patient = columns_of(df, "medication", named) or columns_of(df, "drug", named), columns_of(df, "patient_id", named)
+    if not drug or not patient:
+        return df.sparkSession.createDataFrame([(0, 0, 1.0)], "patients long, flags long, score double")
+    return pair_safety(df, patient[0], drug[0], CONTRAINDICATED)

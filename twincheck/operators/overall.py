@@ -73,3 +73,19 @@ def certified(jobs: DataFrame) -> DataFrame:
     """The jobs that may have a certificate: those whose latest state is completed."""
     latest = jobs.groupBy("job_id").agg(F.max_by("status", "updated_at").alias("status"), F.max("updated_at").alias("updated_at"))
     return latest.where("status = 'completed'").select("job_id", "updated_at")
+
+
+# The calibration's levels from worst to best, and the fidelity that each may have (both ends included).
+EXPECTED = {"random_noise": (0.0, 0.30), "tvae_5_epochs": (0.30, 0.60), "ctgan_10_epochs": (0.50, 0.70), "gaussian_copula": (0.70, 0.90), "ctgan_300_epochs": (0.75, 1.00)}
+
+
+def calibrated(levels: DataFrame) -> DataFrame:
+    """(level, fidelity, expected_min, expected_max, in_range, ranking_verified) of levels(level, fidelity), one row per level.
+
+    The ranking holds if no level scores below the next worse one. A missing fidelity is out of range and breaks it."""
+    grid = levels.sparkSession.createDataFrame([(k, level, *ends) for k, (level, ends) in enumerate(EXPECTED.items())], "place int, level string, expected_min double, expected_max double")
+    both = grid.join(levels, "level", "left")
+    w = Window.partitionBy().orderBy("place")  # five rows
+    falls = F.col("fidelity").isNull() | F.coalesce(F.col("fidelity") < F.lag("fidelity").over(w), F.lit(False))
+    marked = both.withColumn("falls", falls)
+    return marked.select("level", "fidelity", "expected_min", "expected_max", F.coalesce(F.col("fidelity").between(F.col("expected_min"), F.col("expected_max")), F.lit(False)).alias("in_range"), (~F.max("falls").over(Window.partitionBy())).alias("ranking_verified"))

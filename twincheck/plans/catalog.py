@@ -10,9 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, content, overall, risks, tabular
+from . import checks, content, evaluation, overall, risks, tabular
 
-_MODULES = (tabular, risks, content, checks, overall)
+_MODULES = (tabular, risks, content, checks, overall, evaluation)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
 
