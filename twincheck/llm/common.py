@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,16 @@ def portions(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, in
         i = j
 
 
+def lean(run: Callable, *args):
+    """run(*args), after which the worker gives freed memory back: it lives on between tasks, and would keep what its largest one took."""
+    out = run(*args)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+    return out
+
+
 class Powers:
     """Powers of the hash base and of its inverse modulo 2^64, as many as the longest portion so far needs."""
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, remainder, stored, text_bytes, volume
+from .common import discard, lean, remainder, stored, text_bytes, volume
 
 DEPTH = 5
 #: Depth whose contexts name a subtree, and strings of a shard of subtrees, about.
@@ -203,11 +203,14 @@ def string_scores(counts: DataFrame) -> DataFrame:
     root = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * ROOTS)) - 1))
     placed = counts.withColumn("shard", F.pmod(F.xxhash64(root), F.lit(shards)))
 
-    def up(rows: pd.DataFrame) -> pd.DataFrame:
+    def lift(rows: pd.DataFrame) -> pd.DataFrame:
         levels, roots, nodes, value = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy())
         _, a, b, _, _ = levels[0]
         return pd.DataFrame({"shard": rows["shard"].iloc[0], "root": roots.astype(np.int32), "node": nodes.astype(np.int32), "a": a, "b": b, "value": value})
 
+    def up(rows: pd.DataFrame) -> pd.DataFrame:
+        return lean(lift, rows)
+
     three = stored(placed.groupBy("shard").applyInPandas(up, "shard long, root int, node int, a double, b double, value double"))
     sums = F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("value").alias("children")
     pair = F.col("root").bitwiseAND(F.lit(0xFFFF)).alias("pair")
@@ -225,10 +228,13 @@ def string_scores(counts: DataFrame) -> DataFrame:
     said = two.mapInPandas(second, "pair int, node int, mixed double, rest double")
     given = three.select("shard", "root", pair, "node").join(said, ["pair", "node"]).select("shard", (F.col("root").cast("long") * 256 + F.col("node")).alias("spot"), "mixed", "rest")
 
-    def down(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+    def lower(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         above = above.sort_values("spot")
         return pd.DataFrame({"gram": rows["gram"], "value": evaluate(rows["gram"].to_numpy(), rows["n"].to_numpy(), *(above[c].to_numpy() for c in ("spot", "mixed", "rest")))})
 
+    def down(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        return lean(lower, rows, above)
+
     return placed.groupBy("shard").cogroup(given.groupBy("shard")).applyInPandas(down, "gram long, value double")
 
 
@@ -243,7 +249,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
     dealt = stored(rows.select("doc_id", "text", out.alias("held_out"), deal.alias("chunk")))
     learning = dealt.where("NOT held_out").count()
 
-    def ask(key, table):
+    def questions(key, table):
         learn = [not x for x in table["held_out"].to_pylist()]
         texts = [t.lower() for t in table["text"].to_pylist()]
         words: dict[bytes, int] = Counter()
@@ -263,6 +269,9 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
             "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(counts)]),
         })
 
+    def ask(key, table):
+        return lean(questions, key, table)
+
     asked = stored(dealt.groupBy("chunk").applyInArrow(ask, "chunk long, word binary, gram long, n long"))
     grams, words = asked.where("gram IS NOT NULL"), asked.where("word IS NOT NULL")
     counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")))
@@ -280,7 +289,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
     discard(asked, counts, of_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def tell(key, table, known):
+    def answered(key, table, known):
         learn = [not x for x in table["held_out"].to_pylist()]
         texts = [t.lower() for t in table["text"].to_pylist()]
         local: dict[bytes, float] = Counter()
@@ -316,5 +325,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
             "train_tokens": pa.array([tokens] * size, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(bits),
         })
 
+    def tell(key, table, known):
+        return lean(answered, key, table, known)
+
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, shape)
