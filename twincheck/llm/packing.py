@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,24 @@ WINDOW = 4096
 END = 2
 #: An added token of the tokenizer. Texts that hold its first two characters are encoded whole.
 MARK = "<|endoftext|>"
+#: 1: ASCII letters and digits, 2: ASCII signs but the apostrophe. No token of the tokenizer holds both.
+KIND = np.array([1 if chr(i).isalnum() else 2 for i in range(128)] + [0] * 128, dtype=np.uint8)
+KIND[[*range(33), ord("'"), 127]] = 0
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
 WIDTH, ROWS, LEAVES, FIT = 24, 4096, 4, 8
-#: A task forgets its words when it holds so many.
-MEMORY = 400_000
+#: A task forgets its words but the first KEPT when it would hold more than MEMORY, and when it ends.
+MEMORY, KEPT = 400_000, 100_000
+
+
+def parted(text: bytes) -> bytes:
+    """The text with a space between each ASCII letter or digit and a sign beside it: the tokenizer cuts there too, so fewer words differ."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    kind = KIND[data]
+    at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+    return np.insert(data, at, 32).tobytes() if len(at) else text
 
 
 class Words:
@@ -54,38 +66,59 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.held: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; one that may hold an added token is encoded whole."""
         whole = [k for k, t in enumerate(texts) if b"<|" in t]
         out = self._by_words([b"" if b"<|" in t else t for t in texts])
-        for k, x in zip(whole, self.tokenizer.encode_batch_fast([texts[k].decode() for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(x.ids, dtype="<u4").tobytes()
+        for k, x in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = np.array(x, dtype="<u4").tobytes()
         return out
 
     def _by_words(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Lower-casing A-Z and cutting at ASCII white space change nothing for the tokenizer, which does both."""
-        cut, held = [t.lower().split() for t in texts], self.held
-        todo = set().union(*cut).difference(held)
-        if len(held) + len(todo) > MEMORY:
-            held.clear()
-            todo = set().union(*cut)
-        names = list(todo)
-        for at in range(0, len(names), 500):
-            held.update(self._each(names[at : at + 500]))
+        cut = [parted(t).lower().split() for t in texts]
+        known = set().union(*cut)
+        if len(self.held) + len(known) > MEMORY:
+            self.forget()
+        held = self.held
+        letters, others = [], []
+        for w in known.difference(held):
+            (letters if w.decode().isalpha() else others).append(w)
+        for at in range(0, len(letters), 100):
+            held.update(self._letters(letters[at : at + 100]))
+        for at in range(0, len(others), 100):
+            held.update(self._each(others[at : at + 100]))
         return [b"".join(map(held.__getitem__, x)) for x in cut]
 
+    def forget(self) -> None:
+        """Keep the words met first, which are mostly the frequent ones."""
+        self.held = dict(islice(self.held.items(), KEPT))
+
+    def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of words of letters, joined by spaces: one token with a word's end each, or else they go the other way."""
+        ids = np.array(self._ids([b" ".join(words)])[0], dtype="<u4")
+        last = self.last[ids]
+        return self._parted(words, ids, np.flatnonzero(last) + 1, 0) if last.sum() == len(words) else self._each(words)
 
     def _each(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of each word. An added token between them keeps words apart, so that one call does for many."""
         if self.mark is None:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            return zip(words, (np.array(x, dtype="<u4").tobytes() for x in found), strict=True)
-        ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(w.decode() for w in words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        end = np.flatnonzero(ids == self.mark) * 4
-        data = ids.tobytes()
-        return zip(words, (data[i:j] for i, j in zip([0, *(end + 4).tolist()], [*end.tolist(), len(data)], strict=True)), strict=True)
+            return zip(words, (np.array(x, dtype="<u4").tobytes() for x in self._ids(words)), strict=True)
+        ids = np.array(self._ids([MARK.encode().join(words)])[0], dtype="<u4")
+        return self._parted(words, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    @staticmethod
+    def _parted(words: list[bytes], ids: np.ndarray, end: np.ndarray, between: int) -> Iterator[tuple[bytes, bytes]]:
+        data, end = ids.tobytes(), (4 * end).tolist()
+        return zip(words, (data[i:j] for i, j in zip([0, *(e + 4 * between for e in end[:-1])], end, strict=True)), strict=True)
 
 
 _held: dict[str, Words] = {}
@@ -288,7 +321,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                 text = part.column(1).to_pylist()
                 ids = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in encoder.encode(text)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(t) + 16 for t in text], pa.int64())], names=["doc_id", "ids", "size"])
-        encoder.held.clear()  # workers live on, and other stages need the memory
+        encoder.forget()  # workers live on, and other stages need the memory
 
     return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, size long")
 
