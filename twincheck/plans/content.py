@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import media, text
 from .tabular import rounded
 
 SCALE = 400.0
-#: Positions that the SQL of these queries takes; the operators themselves take all by default.
+#: Positions that these queries and their SQL take; the operators themselves, and the queries named "_all", take all.
 FRAMES, TEXTS, SOUNDS, IMAGES = 64, 200, 50, 200
 
 
@@ -43,8 +45,8 @@ def paired_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.paired_cosine(*vectors(spark, sf_dir)))
 
 
-def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real, synth = (text.coherence(v, most=TEXTS) for v in vectors(spark, sf_dir))
+def coherence(spark: SparkSession, sf_dir: str, most: int | None = TEXTS) -> DataFrame:
+    real, synth = (text.coherence(v, most=most) for v in vectors(spark, sf_dir))
     both = real.select(F.col("coherence").alias("real")).join(synth.select(F.col("coherence").alias("synth")))
     return rounded(both.withColumn("score", F.least(F.coalesce(F.try_divide("synth", "real"), F.lit(1.0)), F.lit(1.0))))
 
@@ -53,20 +55,20 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.frechet(*vectors(spark, sf_dir), "v", 64)
 
 
-def frame_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.frame_error(*vectors(spark, sf_dir, SCALE), most=FRAMES))
+def frame_error(spark: SparkSession, sf_dir: str, most: int | None = FRAMES) -> DataFrame:
+    return rounded(media.frame_error(*vectors(spark, sf_dir, SCALE), most=most))
 
 
-def flow_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.flow_consistency(*vectors(spark, sf_dir, SCALE), most=FRAMES))
+def flow_consistency(spark: SparkSession, sf_dir: str, most: int | None = FRAMES) -> DataFrame:
+    return rounded(media.flow_consistency(*vectors(spark, sf_dir, SCALE), most=most))
 
 
-def temporal_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.temporal_coherence(*vectors(spark, sf_dir, SCALE), most=FRAMES))
+def temporal_coherence(spark: SparkSession, sf_dir: str, most: int | None = FRAMES) -> DataFrame:
+    return rounded(media.temporal_coherence(*vectors(spark, sf_dir, SCALE), most=most))
 
 
-def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(media.scene_cuts(*vectors(spark, sf_dir, SCALE), threshold=50.0, most=FRAMES))
+def scene_cuts(spark: SparkSession, sf_dir: str, most: int | None = FRAMES) -> DataFrame:
+    return rounded(media.scene_cuts(*vectors(spark, sf_dir, SCALE), threshold=50.0, most=most))
 
 
 def waveform_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +86,20 @@ def inception_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(media.inception_score(odds.select("pos", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("v"))))
 
 
-def prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prosody(spark: SparkSession, sf_dir: str, most: int | None = SOUNDS) -> DataFrame:
     """At 400 samples a second, 64 samples are 14 frames of 10."""
-    return rounded(media.prosody(*vectors(spark, sf_dir), rate=400, most=SOUNDS))
+    return rounded(media.prosody(*vectors(spark, sf_dir), rate=400, most=most))
 
 
-def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def structural_similarity(spark: SparkSession, sf_dir: str, most: int | None = IMAGES) -> DataFrame:
     """Each vector is an image of 8 by 8."""
-    return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1), most=IMAGES))
+    return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1), most=most))
 
 
 QUERIES = {f.__name__: f for f in (inception_score, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
+#: The queries that take the first positions only; with "_all" after its name, each takes them all.
+FIRST = {"coherence": " WHERE pos <= 200", "frame_error": " WHERE pos <= 64", "flow_consistency": " WHERE a.pos <= 64", "temporal_coherence": " WHERE a.pos <= 64", "scene_cuts": " WHERE a.pos <= 64", "prosody": " WHERE pos <= 50", "structural_similarity": " WHERE pos <= 200"}
+QUERIES |= {f"{name}_all": partial(QUERIES[name], most=None) for name in FIRST}
 
 _TEXTS = r"""corpus AS (SELECT doc_id % 2 AS side, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS pos, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)"""
 
@@ -147,3 +152,4 @@ ORACLES = {
         w AS (SELECT pos, i, j, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM px, range(2) a(i), range(2) b(j) WHERE k // 8 BETWEEN i AND i + 6 AND k % 8 BETWEEN j AND j + 6 GROUP BY ALL),
         q AS (SELECT pos, avg((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) AS s FROM w GROUP BY pos) SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, count(*) AS pairs FROM q""",
 }
+ORACLES |= {f"{name}_all": ORACLES[name].replace(bound, "") for name, bound in FIRST.items()}
