@@ -1,5 +1,6 @@
 """Packing by content: neighbours meet however many shards there are."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -51,3 +52,13 @@ def test_added_tokens_keep_their_ids():
     want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in packing.Words(path).encode([t.encode() for t in texts])] == want
     assert 49407 in want[0] and 49406 in want[1]
+
+
+def test_words_equal_whole_texts():
+    """Words cut at signs and encoded many a call give the plain tokenizer's ids, whatever letters, marks and signs meet."""
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    parts = ["a", "B", "z", "s", "'", "'s", "'re", ".", ",", "$", "=", "<", "|", ">", "\u00e9", "e\u0301", "\u0338", "\u0130", "\u2126", "9", "\u00bd", "\u5b57", "\u2014", "\ufb01", "\u00aa", "_", "-", "\x1c", " ", " ", "\n"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(20_000)]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    got = packing.Words(path).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [x.ids for x in want]
