@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, infill, langid, lm, minhash, packing, quality, rules, suffix_dedup, toxicity
+from . import bpe, exact_dedup, infill, langid, lm, minhash, packing, quality, resample, rules, suffix_dedup, toxicity
 from .common import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -56,7 +56,11 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_lm, op3_packing, op4_exact_dedup, op5_rules, op6_byte_bpe, op7_toxicity, op8_suffix_dedup, op9_langid, op10_minhash, op11_infill)}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_lm, op3_packing, op4_exact_dedup, op5_rules, op6_byte_bpe, op7_toxicity, op8_suffix_dedup, op9_langid, op10_minhash, op11_infill, op13_resample)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -71,4 +75,19 @@ ORACLES = {
              p AS (SELECT *, array_to_string(units[:lo], '') AS a, array_to_string(units[lo + 1:hi], '') AS b, array_to_string(units[hi + 1:], '') AS z FROM c)
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op13_resample": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+             dc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM w) GROUP BY ALL),
+             v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dc UNION SELECT w FROM bw)),
+             bits AS (SELECT w, flatten([[(('0x' || substr(x, 2 * i + 1, 2))::BIGINT >> k) & 1 for k in range(8)] for i in range(len(x) // 2)]) AS bits FROM v),
+             f AS (SELECT w, xor(list_reduce(bits, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM bits),
+             s AS (SELECT bucket, sum(n) AS s FROM dc JOIN f USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN f USING (w) GROUP BY 1),
+             n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+             g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS gain FROM s FULL JOIN t USING (bucket), n),
+             d AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM dc JOIN f USING (w) JOIN g USING (bucket) GROUP BY 1),
+             a AS (SELECT w.doc_id, coalesce(d.n_features, 0)::BIGINT AS n_features, coalesce(d.weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (doc_id)),
+             b AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM a),
+             r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM b)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM r""",
 }
