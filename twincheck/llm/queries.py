@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, infill, langid, lm, minhash, packing, quality, resample, rules, suffix_dedup, toxicity
+from . import bpe, exact_dedup, infill, langid, lm, minhash, mtree, packing, quality, resample, rules, suffix_dedup, toxicity
 from .common import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -56,11 +56,15 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_lm, op3_packing, op4_exact_dedup, op5_rules, op6_byte_bpe, op7_toxicity, op8_suffix_dedup, op9_langid, op10_minhash, op11_infill, op13_resample)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_lm, op3_packing, op4_exact_dedup, op5_rules, op6_byte_bpe, op7_toxicity, op8_suffix_dedup, op9_langid, op10_minhash, op11_infill, op12_topk, op13_resample)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -75,6 +79,11 @@ ORACLES = {
              p AS (SELECT *, array_to_string(units[:lo], '') AS a, array_to_string(units[lo + 1:hi], '') AS b, array_to_string(units[hi + 1:], '') AS z FROM c)
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op13_resample": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
              bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
