@@ -23,7 +23,7 @@ from .rules import let
 
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 #: Units in a row of the window and the join.
-BLOCK = 64
+BLOCK = 128
 #: Markers before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Hundredths of the documents that are cut, and of these that begin with their suffix.
@@ -50,9 +50,10 @@ def form(text: Column, doc_id: Column, seed: int = SEED) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text: rows of equal id and text share a key."""
+    """key, doc_id, text: rows of equal id and text share a key, the first 16 bytes of a digest of both."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return own.select(F.sha2(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256).alias("key"), "doc_id", "text")
+    digest = F.sha2(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
+    return own.select(F.unhex(F.substring(digest, 1, 32)).alias("key"), "doc_id", "text")
 
 
 def offsets(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -74,7 +75,7 @@ def offsets(docs: DataFrame, seed: int = SEED) -> DataFrame:
     placed = own.where("form <> 'plain'").select("key", F.posexplode("sizes").alias("ordinal", "size")).select("key", "ordinal", F.coalesce(before, F.lit(0)).cast("int").alias("before"), F.col("size").cast("int"))
     found = requests.join(placed, ["key", "ordinal"]).select("key", "cut", F.struct("before", "size", "units").alias("at"))
     found = found.groupBy("key").agg(*(F.max(F.when(F.col("cut") == c, F.col("at"))).alias(c) for c in ("low", "high")))
-    return own.select("key", "n", "form").join(found, "key", "left")
+    return stored(own.select("key", "n", "form").join(found, "key", "left"))
 
 
 def place(text: Column, at: Column) -> Column:
