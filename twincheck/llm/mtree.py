@@ -229,7 +229,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int |
     placed = stored(rows.select("id", "vector", "times").mapInArrow(assign, "id long, vector binary, times long, region int, distance double"))
     regions = placed.groupBy("region").agg(F.max("distance").alias("radius"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts")).orderBy("region").toPandas()  # one row a routing vector
     centres, radii = centres[regions["region"]], regions["radius"].to_numpy()
-    dealt = placed.join(F.broadcast(spark.createDataFrame(regions[["region", "parts"]])), "region").withColumn("part", F.pmod(F.xxhash64("vector", "id"), F.col("parts")).cast("int"))
+    parts = F.broadcast(spark.createDataFrame(regions[["region", "parts"]].to_numpy().tolist(), "region int, parts int"))
+    dealt = placed.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("vector", "id"), F.col("parts")).cast("int"))
 
     def build(own: pa.Table) -> pa.Table:
         own = own.combine_chunks()
@@ -290,7 +291,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int |
     some = search(start)
     bound = some.groupBy("id", "key").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-NO_ID - 1)).alias("least"))
     further = asked.join(bound, ["id", "key"], "left").withColumn("least", F.coalesce("least", F.lit(-NO_ID - 1))).select(*columns).mapInArrow(route(False), f"{kind}, home boolean")
-    further = further.join(F.broadcast(spark.createDataFrame(regions[["region", "parts"]])), "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(~F.col("home") | (F.col("part") > 0))
+    further = further.join(parts, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(~F.col("home") | (F.col("part") > 0))
     found = some.unionByName(search(further))
 
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
