@@ -258,7 +258,7 @@ def membership(members: DataFrame, others: DataFrame, synth: DataFrame, key: str
     part = lambda keep: rows.select("id", F.explode(F.filter(F.array(*(F.when(keep(x), F.lit(i)) for i, x in enumerate(inside))), lambda i: i.isNotNull())).alias("within"), "x", "c").select("id", F.col("within").cast("int"), "x", "c")
     difficulty = nb.join(part(lambda x: ~x), part(lambda x: x), 1, **sizes).groupBy("id").agg(F.avg("distance").alias("difficulty"))
     near = nb.join(rows.drop("draw"), nb.encode(synth, key, scale, categorical), 1, **sizes).select("id", "distance")
-    scored = everyone.select(F.col(f"`{key}`").alias("id"), "__member").join(near, "id").join(difficulty, "id", "left").select("__member", F.round(F.coalesce(F.col("difficulty") - F.col("distance"), F.lit(0.0)), 9).alias("score"))
+    scored = everyone.select(F.col(f"`{key}`").alias("id"), "__member").join(near, "id").join(difficulty, "id", "left").select("__member", F.round(F.coalesce(F.col("difficulty") - F.col("distance"), F.lit(0.0)), 14).alias("score"))  # a mean of at most 32 distances of nine decimals has at most 14 that matter
     scored = materialised(scored)
     c = fq.ordered(fq.frequency(scored.where("__member = 1"), scored.where("__member = 0"), ["score"]))
     n, m = F.col("total_real"), F.col("total_synth")

@@ -118,7 +118,7 @@ def join(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "gower
     kind = "within int, x array<double>, c array<bigint>"
     placed = materialised(candidates.select("id", "within", "x", "c").mapInArrow(place, f"id {near_type}, {kind}, region int, near double"))
     sizes = placed.groupBy("within", "region").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"), F.min("near").alias("lo"), F.max("near").alias("hi")).toPandas()  # pivots x within rows
-    parts = F.broadcast(spark.createDataFrame(sizes[["within", "region", "parts"]]))
+    parts = F.broadcast(spark.createDataFrame(sizes[["within", "region", "parts"]].to_numpy().tolist(), "within int, region int, parts int"))
     ends = sizes.groupby("region").agg(lo=("lo", "min"), hi=("hi", "max"))
     lo, hi, regions = ends["lo"].to_numpy(), ends["hi"].to_numpy(), ends.index.to_numpy()
     blocks = placed.join(parts, ["within", "region"]).select("within", "region", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("near_id"), F.col("x").alias("sx"), F.col("c").alias("sc"))

@@ -117,7 +117,7 @@ ORACLES = {
         w AS (SELECT max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM e), p AS (SELECT * FROM e WHERE side <> 1),
         pairs AS (SELECT q.id, q.h, q.side AS member, c.side, c.h AS ch, round((abs(q.x - c.x) / wx + abs(q.y - c.y) / wy + (q.t <> c.t)::INT) / 3, 9) AS d FROM p q, e c, w WHERE q.id <> c.id),
         near AS (SELECT id, member, h, min(d) FILTER (side = 1) AS d, {", ".join(f"min(d) FILTER (side <> 1 AND substr(h, {i + 1}, 1) >= '8' AND substr(ch, {i + 1}, 1) < '8') AS d{i}" for i in range(10))} FROM pairs GROUP BY ALL),
-        sco AS (SELECT member = 0 AS member, round(coalesce(list_avg(list_filter([{", ".join(f"d{i}" for i in range(10))}], lambda v: v IS NOT NULL)) - d, 0), 9) AS score FROM near),
+        sco AS (SELECT member = 0 AS member, round(coalesce(list_avg(list_filter([{", ".join(f"d{i}" for i in range(10))}], lambda v: v IS NOT NULL)) - d, 0), 14) AS score FROM near),
         f AS (SELECT score, count_if(member) AS a, count_if(NOT member) AS b FROM sco GROUP BY 1), n AS (SELECT count_if(member) AS n, count_if(NOT member) AS m FROM sco),
         cum AS (SELECT a, b, sum(b) OVER (ORDER BY score) AS cb, sum(a) OVER (ORDER BY score DESC) / n AS tpr, sum(b) OVER (ORDER BY score DESC) / m AS fpr, n, m FROM f, n),
         auc AS (SELECT first(n)::BIGINT AS members, first(m)::BIGINT AS others, sum(a * (cb - b / 2)) / first(n) / first(m) AS auc, greatest(max(tpr - fpr), 0) AS advantage, coalesce(max(tpr) FILTER (fpr <= 0.01), 0) AS t FROM cum),
