@@ -59,25 +59,26 @@ def test_covering_radii_and_parent_distances_hold():
     v = np.floor(64 * clustered(3, 500, 6))
     sphere = mtree.Sphere(float(np.einsum("ij,ij->i", v, v).max()))
     tree = mtree.Tree(np.arange(500), np.ones(500, dtype=np.int64), v, sphere, leaf=8, fan=3)
-    last = sphere.last(tree.vectors)
+    v = tree.vectors.astype(float)  # in the order of the leaves
+    last = sphere.last(v)
 
     def below(at):
-        _, rows, _, _, pages = tree.pages[at]
-        return rows.tolist() if rows is not None else [r for p in pages.tolist() for r in below(p)]
+        _, first, end, centres, _, pages = tree.pages[at]
+        return list(range(first, end)) if centres is None else [r for p in pages.tolist() for r in below(p)]
 
     assert sorted(below(0)) == list(range(500))
     todo = [(0, tree.centre)]
     while todo:
         at, centre = todo.pop()
-        parent, rows, centres, radii, pages = tree.pages[at]
+        parent, first, stop, centres, radii, pages = tree.pages[at]
         end = sphere.last(centre[None])[0]
-        if rows is not None:
-            assert np.allclose(parent, sphere.between(tree.vectors[rows], last[rows], centre, end))
+        if centres is None:
+            assert np.allclose(parent, sphere.between(v[first:stop], last[first:stop], centre, end))
             continue
         assert np.allclose(parent, sphere.between(centres, sphere.last(centres), centre, end))
         for c, r, p in zip(centres, radii, pages.tolist(), strict=True):
             own = below(p)
-            assert sphere.between(tree.vectors[own], last[own], c, sphere.last(c[None])[0]).max() <= r + 1e-9
+            assert sphere.between(v[own], last[own], c, sphere.last(c[None])[0]).max() <= r + 1e-9
             todo.append((p, c))
 
 

@@ -43,10 +43,11 @@ EVERY = 20
 ROOTS = 1024
 SHARD_BYTES = 4 << 20
 #: Entries of a leaf page, and of an inner page.
-LEAF, FAN = 256, 32
+LEAF, FAN = 512, 32
 #: Queries that search a shard together.
 BLOCK = 4096
-EXACT = float(1 << 53)
+#: Whole numbers below are exact in doubles, and in singles.
+EXACT, EXACT_SMALL = float(1 << 53), float(1 << 24)
 NO_ID = (1 << 63) - 1
 
 
@@ -68,39 +69,46 @@ class Sphere:
         """From a query of squared norm `norm` to points with these inner products."""
         return np.sqrt(np.maximum(norm + self.square - 2 * dots, 0))
 
-    def bound(self, distance: np.ndarray, norm: float) -> np.ndarray:
-        """The highest inner product at `distance` or farther, and a margin for rounding."""
-        out = (norm + self.square - distance**2) / 2 + 0.25 + 1e-7 * (norm + self.square)
+    def reach(self, least: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """The distance up to which an inner product of `least` may lie, with a margin for rounding."""
+        out = np.sqrt(np.maximum((norm + self.square) * (1 + 2e-7) + 0.5 - 2 * np.asarray(least, dtype=float), 0))
         return np.where(np.isnan(out), np.inf, out)  # squares beyond a double's range rule nothing out
 
 
 class Tree:
     """Vectors with ids and how often each row occurs, below one routing vector.
 
-    A page is (distances to its routing vector, rows of a leaf, centres, covering radii, pages below)."""
+    A page is (distances to its routing vector, first and end row of a leaf, centres, covering radii, pages below)."""
 
     @np.errstate(over="ignore", invalid="ignore")
     def __init__(self, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray, sphere: Sphere, leaf: int = LEAF, fan: int = FAN):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.times, self.vectors, self.sphere = ids[order], times[order], vectors[order], sphere
+        self.vectors, self.sphere = vectors, sphere
         self.most = float(np.abs(vectors).max(initial=0))
-        last = sphere.last(self.vectors)
-        self.centre = self.vectors[0]
-        distance = sphere.between(self.vectors, last, self.vectors[0], last[0])
+        last = sphere.last(vectors)
+        self.centre = vectors[0]
+        distance = sphere.between(vectors, last, vectors[0], last[0])
         self.radius = float(distance.max())
         self.pages: list = [None]
+        order, placed = [], 0
         todo = [(0, np.arange(len(ids)), distance)]
         while todo:
             at, rows, parent = todo.pop()
             if len(rows) <= leaf:
-                self.pages[at] = (parent, rows, None, None, None)
+                self.pages[at] = (parent, placed, placed + len(rows), None, None, None)
+                order.append(rows)
+                placed += len(rows)
                 continue
             chosen, own, near = self._split(rows, parent, last, min(fan, -(-len(rows) // leaf)))
             cuts = [np.flatnonzero(own == i) for i in range(len(chosen))]
             below = np.arange(len(cuts)) + len(self.pages)
             self.pages += [None] * len(cuts)
-            self.pages[at] = (parent[chosen], None, self.vectors[rows[chosen]], np.array([near[c].max() for c in cuts]), below)
+            self.pages[at] = (parent[chosen], -1, -1, vectors[rows[chosen]], np.array([near[c].max() for c in cuts]), below)
             todo += [(b, rows[c], near[c]) for b, c in zip(below.tolist(), cuts, strict=True)]
+        order = np.concatenate(order)  # the rows of a leaf side by side
+        self.ids, self.times, self.vectors = ids[order], times[order], vectors[order]
+        self.by_id = np.argsort(self.ids, kind="stable")
+        if self.most * self.most * vectors.shape[1] < EXACT_SMALL:
+            self.vectors = self.vectors.astype(np.float32)
 
     def _split(self, rows: np.ndarray, parent: np.ndarray, last: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Up to n of `rows` as routing vectors, the one each row goes to, and its distance: each next one is the farthest from those before."""
@@ -120,50 +128,65 @@ class Tree:
             near = near if near.max() == 0 else np.full(len(rows), np.inf)
         return chosen, own, near
 
-    def dots(self, rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    def dots(self, v: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
         """Inner products as whole numbers."""
         if exact:
-            return (self.vectors[rows] @ q).astype(np.int64)
+            return v @ q
         whole = [int(x) for x in q.tolist()]
-        return np.array([max(-NO_ID - 1, min(NO_ID, sum(a * int(b) for a, b in zip(whole, v, strict=True)))) for v in self.vectors[rows].tolist()], dtype=np.int64)
+        return np.array([max(-NO_ID - 1, min(NO_ID, sum(a * int(b) for a, b in zip(whole, x, strict=True)))) for x in v.tolist()], dtype=np.int64)
 
     def own(self, id_: int, q: np.ndarray) -> int:
         """The row that is the query itself, or -1."""
-        i, j = np.searchsorted(self.ids, [id_, id_ + 1]) if id_ < NO_ID else (0, 0)
-        same = np.flatnonzero((self.vectors[i:j] == q).all(axis=1))
-        return int(i + same[0]) if len(same) else -1
+        i, j = np.searchsorted(self.ids, [id_, id_ + 1], sorter=self.by_id) if id_ < NO_ID else (0, 0)
+        rows = self.by_id[i:j]
+        same = rows[(self.vectors[rows] == q).all(axis=1)]
+        return int(same[0]) if len(same) else -1
 
     @np.errstate(over="ignore", invalid="ignore")
     def search(self, q: np.ndarray, k: int, least: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Scores and rows of the k best entries of at least `least`, and how many distances that took. Row `skip` is left out."""
-        norm, bound = float(q @ q), self.sphere.bound
-        exact = float(np.abs(q).max(initial=0)) * self.most * len(q) < EXACT
+        norm, top = float(q @ q), float(np.abs(q).max(initial=0))
+        exact = top * self.most * len(q) < EXACT
+        small = q.astype(np.float32) if self.vectors.dtype == np.float32 and top * self.most * len(q) < EXACT_SMALL else q
         best, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         done, count = 1, 0
         d0 = float(self.sphere.query(self.centre @ q, norm))
         heap = [(max(0.0, d0 - self.radius), 0, d0, 0)]
+        reach = float(self.sphere.reach(least, norm))
         while heap:
             low, _, d, at = heapq.heappop(heap)
-            if bound(low, norm) < least:
+            if low > reach:
                 break
-            parent, rows, centres, radii, below = self.pages[at]
-            if rows is not None:
-                rows = rows[bound(np.abs(d - parent), norm) >= least]
-                done += len(rows)
-                score = self.dots(rows, q, exact)
-                fit = (score >= least) & (rows != skip)
-                if fit.any():
-                    best, held = np.concatenate([best, score[fit]]), np.concatenate([held, rows[fit]])
-                    if len(best) >= k:
-                        order = np.lexsort((self.ids[held], -best))[:k]
-                        best, held = best[order], held[order]
-                        least = max(least, int(best[-1]))
+            parent, first, end, centres, radii, below = self.pages[at]
+            if centres is None:
+                near = np.abs(parent - d) <= reach if reach < np.inf else None
+                if near is None or near.all():
+                    rows, v = None, self.vectors[first:end]
+                else:
+                    rows = np.flatnonzero(near) + first
+                    v = self.vectors[rows]
+                done += len(v)
+                score = self.dots(v, small, exact)
+                fit = np.flatnonzero(score >= least)
+                if not len(fit):
+                    continue
+                score = score[fit].astype(np.int64)
+                fit = fit + first if rows is None else rows[fit]
+                if skip >= 0 and (fit == skip).any():
+                    score, fit = score[fit != skip], fit[fit != skip]
+                best, held = np.concatenate([best, score]), np.concatenate([held, fit])
+                if len(best) >= k:
+                    order = np.lexsort((self.ids[held], -best))[:k]
+                    best, held = best[order], held[order]
+                    if best[-1] > least:
+                        least = int(best[-1])
+                        reach = float(self.sphere.reach(least, norm))
                 continue
-            seen = np.flatnonzero(bound(np.maximum(np.abs(d - parent) - radii, 0), norm) >= least)
+            seen = np.flatnonzero(~(np.abs(d - parent) - radii > reach))
             done += len(seen)
             away = self.sphere.query(centres[seen] @ q, norm)
-            nearest = np.maximum(away - radii[seen], 0)
-            fits = np.flatnonzero(bound(nearest, norm) >= least)
+            nearest = np.fmax(away - radii[seen], 0)
+            fits = np.flatnonzero(~(nearest > reach))
             for i, a, b in zip(below[seen[fits]].tolist(), nearest[fits].tolist(), away[fits].tolist(), strict=True):
                 count += 1
                 heapq.heappush(heap, (a, count, b, i))
@@ -256,8 +279,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int |
                 if first:
                     at, to = np.arange(len(q)), home
                 else:
-                    reach = np.maximum(sphere.query(dots, norms[:, None]) - radii, 0)
-                    at, to = np.nonzero(sphere.bound(reach, norms[:, None]) >= batch.column(5).to_numpy()[:, None])
+                    nearest = sphere.query(dots, norms[:, None]) - radii
+                    at, to = np.nonzero(~(nearest > sphere.reach(batch.column(5).to_numpy(), norms)[:, None]))
                 whole = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(regions["region"].to_numpy()[to].astype(np.int32)), pa.array(to == home[at])], names=[*whole.schema.names, "region", "home"])
 
