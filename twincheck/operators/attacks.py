@@ -41,7 +41,8 @@ def outcome(counts: DataFrame, *names: str) -> DataFrame:
     """names, attacks, successes, rate, low, high, baseline and risk from (names, attacks, successes, baseline)."""
     low, high = wilson(F.col("successes"), F.col("attacks"))
     rate = F.try_divide(F.col("successes"), F.col("attacks"))
-    risk = F.when(F.col("baseline") >= 1, 0.0).otherwise(clip01((rate - F.col("baseline")) / (1 - F.col("baseline"))))
+    gain = F.when(F.col("baseline") >= 1, 0.0).otherwise(clip01((rate - F.col("baseline")) / (1 - F.col("baseline"))))
+    risk = F.when(F.col("attacks") > 0, gain)  # null: nothing was tried
     return counts.select(*names, "attacks", "successes", rate.alias("rate"), low.alias("low"), high.alias("high"), "baseline", risk.alias("risk"))
 
 
@@ -270,7 +271,7 @@ def membership(members: DataFrame, others: DataFrame, synth: DataFrame, key: str
     )
     a, n, m = F.col("auc"), F.col("members"), F.col("others")
     error = F.sqrt(F.greatest((a * (1 - a) + (n - 1) * (a / (2 - a) - a * a) + (m - 1) * (2 * a * a / (1 + a) - a * a)) / (n * m), F.lit(0.0)))
-    return got.select(F.lit(shadows).alias("shadows"), "members", "others", "auc", clip01(a - Z * error).alias("low"), clip01(a + Z * error).alias("high"), "advantage", "tpr_at_fpr_001")
+    return got.select(F.lit(shadows).alias("shadows"), "members", "others", "auc", *(F.when(a.isNotNull(), clip01(a + s * Z * error)).alias(e) for e, s in (("low", -1), ("high", 1))), "advantage", "tpr_at_fpr_001")
 
 
 def linked_rows(real: DataFrame, synth: DataFrame, aux: DataFrame, columns: list[str], key: str, within: float = 0.5, every: int = EVERY, **sizes) -> DataFrame:

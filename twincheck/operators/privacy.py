@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import clip01, risk_level
+from .sequences import order_statistic
 
 #: Rows of a side in a nearest-neighbour attack, and probes of one: the attack's own sample sizes, so its cross join is bounded.
 SIDE, PROBES, NEAR = 200, 100, 0.5
@@ -48,8 +49,8 @@ def linkability(real: DataFrame, synth: DataFrame, aux: DataFrame, columns: list
 
 
 def halves(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """df cut at the median of a unique key."""
-    middle = df.agg(F.expr(f"percentile_approx(`{key}`, 0.5, 1000000)").alias("m")).first()["m"]
+    """df cut at the lower median of a unique numeric key, found exactly."""
+    middle = order_statistic(df, key, -(-df.where(F.col(f"`{key}`").isNotNull()).count() // 2))
     return df.where(F.col(key) <= middle), df.where(F.col(key) > middle)
 
 

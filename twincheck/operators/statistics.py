@@ -37,6 +37,30 @@ def anderson_darling_t(a2: float, n: int, m: int) -> float:
     return (a2 - (k - 1)) / math.sqrt((a * big**3 + b * big**2 + c * big + d) / ((big - 1.0) * (big - 2) * (big - 3)))
 
 
+#: Fixed values of the published table for two samples: significance levels and the coefficients of their critical values.
+LEVELS = (0.25, 0.1, 0.05, 0.025, 0.01, 0.005, 0.001)
+CRITICAL = ((0.675, 1.281, 1.645, 1.96, 2.326, 2.573, 3.085), (-0.245, 0.25, 0.678, 1.149, 1.822, 2.364, 3.615), (-0.105, -0.305, -0.362, -0.391, -0.396, -0.345, -0.154))
+
+
+def anderson_darling_p(t: float) -> float:
+    """p-value of the standardised statistic: log significance as a parabola through the table's critical values, within the table's range."""
+    critical = np.sum(CRITICAL, axis=0)
+    if not math.isfinite(t):
+        return t if math.isnan(t) else LEVELS[-1] if t > 0 else LEVELS[0]
+    if t <= critical[0] or t >= critical[-1]:
+        return LEVELS[0] if t <= critical[0] else LEVELS[-1]
+    return float(np.exp(np.polyval(np.polyfit(critical, np.log(LEVELS), 2), t)))
+
+
+def anderson_darling_pvalue(t: Column) -> Column:
+    """Only used on finished reports, one row per column."""
+
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(anderson_darling_p, na_action="ignore").astype(float)
+
+    return F.pandas_udf(run, "double")(t)
+
+
 def standardised(a2: str, n: str, m: str) -> Column:
     """Only used on finished reports, one row per column."""
 
@@ -49,8 +73,9 @@ def standardised(a2: str, n: str, m: str) -> Column:
 def numeric_tests(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """Per numeric column: KS with p-value, Wasserstein by the real deviation, Anderson-Darling sum, JS of histograms, means and deviations."""
     found = numeric_scores(real, synth, columns, LEAST_ROWS)
+    found = found.withColumn("anderson_darling_t", standardised("a2", "n_real", "n_synth"))
     return found.select(
-        "column", "n_real", "n_synth", "ks", "ks_pvalue", (F.col("wasserstein") / (F.col("std_real") + 1e-8)).alias("wasserstein"), F.col("a2").alias("anderson_darling"), standardised("a2", "n_real", "n_synth").alias("anderson_darling_t"),
+        "column", "n_real", "n_synth", "ks", "ks_pvalue", (F.col("wasserstein") / (F.col("std_real") + 1e-8)).alias("wasserstein"), F.col("a2").alias("anderson_darling"), "anderson_darling_t", anderson_darling_pvalue(F.col("anderson_darling_t")).alias("anderson_darling_p"),
         F.least(F.col("js"), F.lit(1.0)).alias("js"), "mean_real", "mean_synth", "std_real", "std_synth", F.abs(F.col("mean_real") - F.col("mean_synth")).alias("mean_difference"),
     )
 
