@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import media, text
+from ..operators import media, pitch, text
 from .tabular import rounded
 
 SCALE = 400.0
@@ -96,7 +98,14 @@ def structural_similarity(spark: SparkSession, sf_dir: str, most: int | None = I
     return rounded(media.structural_similarity(*vectors(spark, sf_dir, SCALE), shape=(8, 8, 1), most=most))
 
 
-QUERIES = {f.__name__: f for f in (inception_score, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
+def pitch_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tone of half a second for each vector, as high as its first component says."""
+    tone = F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda t: F.sin(t * (2 * math.pi / 6400) * (300 + 200 * F.col("v")[0])))
+    real, synth = (d.select("pos", tone.alias("v")) for d in vectors(spark, sf_dir))
+    return rounded(pitch.pitch_matching(real, synth, rate=6400))
+
+
+QUERIES = {f.__name__: f for f in (inception_score, pitch_matching, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
 #: The queries that take the first positions only; with "_all" after its name, each takes them all.
 FIRST = {"coherence": " WHERE pos <= 200", "frame_error": " WHERE pos <= 64", "flow_consistency": " WHERE a.pos <= 64", "temporal_coherence": " WHERE a.pos <= 64", "scene_cuts": " WHERE a.pos <= 64", "prosody": " WHERE pos <= 50", "structural_similarity": " WHERE pos <= 200"}
 QUERIES |= {f"{name}_all": partial(QUERIES[name], most=None) for name in FIRST}
