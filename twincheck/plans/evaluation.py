@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, health
+from ..operators import clinical, evaluation, health
 from ..operators import overall as ov
 from .tabular import _ORDERS, _categories, _numeric_sql, distorted_orders, lineitems, rounded
 
@@ -49,6 +49,37 @@ def medication_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(health.medication_safety(df.select(F.floor(F.col("c_custkey") / 2).alias("patient_id"), drug.alias("medication_name"))))
 
 
+#: A patient record of each customer, as expressions that Spark and DuckDB read alike.
+_RECORD = {
+    "age_years": "c_nationkey * 6",
+    "systolic_bp_mmhg": "c_acctbal / 50 + 60",
+    "diastolic_bp_mmhg": "CAST(70 + c_nationkey AS DOUBLE)",
+    "glucose_mg_dl": "c_acctbal / 10",
+    "diagnosis_code": "CASE WHEN c_nationkey % 4 = 0 THEN 'e11.9' WHEN c_nationkey % 4 = 1 THEN ' I10 ' WHEN c_nationkey % 4 = 2 THEN 'J45.909' ELSE 'none' END",
+    "procedure_code": "CASE WHEN c_nationkey = 0 THEN NULL WHEN c_nationkey % 3 = 0 THEN '99213' WHEN c_nationkey % 3 = 1 THEN '00042T' ELSE '0042T' END",
+    "drug": "CASE c_mktsegment WHEN 'BUILDING' THEN 'Warfarin 5 mg' WHEN 'MACHINERY' THEN 'low-dose aspirin' ELSE c_mktsegment END",
+    "patient_id": "CAST(floor(c_custkey / 60) AS BIGINT)",
+}
+_BUNDLE = """'{"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "Patient", "id": "' || c_custkey || '"}}, {"resource": {"resourceType": "Encounter", "id": 1, ' || CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE '"status": "done", ' END || '"subject": {}}}]}'"""
+
+
+def _patients(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Customers of even or odd key as patients."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").where(F.col("c_custkey") % 2 == k)
+    return df.select(*(F.expr(e).alias(c) for c, e in _RECORD.items()), F.expr(_BUNDLE).alias("bundle"))
+
+
+def healthcare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, synth = (_patients(spark, sf_dir, k).drop("bundle") for k in (0, 1))
+    return rounded(clinical.healthcare(real, synth), 5)
+
+
+def healthcare_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With FHIR bundles, every fifth nation's encounters of which lack a field."""
+    real, synth = (_patients(spark, sf_dir, k) for k in (0, 1))
+    return rounded(clinical.healthcare(real.drop("bundle"), synth.drop("bundle"), bundles=synth.select("bundle")), 5)
+
+
 def calibration_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average discounts by line number stand in for the levels' fidelity."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 5")
@@ -57,7 +88,7 @@ def calibration_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ov.calibrated(one.select(level.alias("level"), "fidelity")))
 
 
-QUERIES = {f.__name__: f for f in (evaluate, evaluate_all, evaluation_parts, lab_values, medication_safety, calibration_flags)}
+QUERIES = {f.__name__: f for f in (evaluate, evaluate_all, evaluation_parts, lab_values, medication_safety, healthcare, healthcare_bundles, calibration_flags)}
 
 _BOUNDS = ", ".join(f"({k + 1}, '{level}', {low:.2f}::DOUBLE, {high:.2f}::DOUBLE)" for k, (level, (low, high)) in enumerate(ov.EXPECTED.items()))
 
@@ -68,7 +99,38 @@ _CORRELATED = " UNION ALL ".join(
 )
 _SAME = " AND ".join(f"r.{c} IS NOT DISTINCT FROM s.{c}" for c in _LINES)
 
+_RECORDS = ", ".join(f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _RECORD.items())}, c_nationkey FROM customer WHERE c_custkey % 2 = {k})" for k, name in enumerate(("real", "synth")))
+
+
+def _healthcare_sql(fhir: bool) -> str:
+    weights = ov.WEIGHTS["healthcare_with_bundles" if fhir else "healthcare"]
+    bundles = "UNION ALL SELECT 'fhir', 'fhir_validation', 1 - count_if(c_nationkey % 5 = 0) / (2 * count(*)) FROM synth" if fhir else ""
+    share = " UNION ALL ".join(f"SELECT '{lab}' AS lab, avg(({c} BETWEEN {low} AND {high})::DOUBLE) AS s FROM synth" for lab in _RECORD if lab in health.LAB_BOUNDS for c, (low, high) in [(lab, health.LAB_BOUNDS[lab])])
+    return _numeric_sql(
+        _RECORDS,
+        ["age_years", "systolic_bp_mmhg", "diastolic_bp_mmhg", "glucose_mg_dl", "patient_id"],
+        f""", first AS (SELECT left(diagnosis_code, 1) AS p, 1 AS r FROM real UNION ALL SELECT left(diagnosis_code, 1), 0 FROM synth),
+        letters AS (SELECT sum(r) AS a, sum(1 - r) AS b FROM first WHERE p IS NOT NULL GROUP BY p),
+        pairs AS (SELECT patient_id, bool_or(drug LIKE '%Warfarin%') AND bool_or(drug LIKE '%aspirin%') AS hit FROM synth GROUP BY patient_id),
+        per(part, "check", score) AS (
+            SELECT 'clinical', 'age_plausibility', avg((age_years BETWEEN 0 AND 120)::DOUBLE) FROM synth
+            UNION ALL SELECT 'clinical', 'systolic_above_diastolic', avg((systolic_bp_mmhg > diastolic_bp_mmhg)::DOUBLE) FROM synth
+            UNION ALL SELECT 'clinical', 'distribution_similarity', avg(ks_score) FROM num
+            UNION ALL SELECT 'codes', 'icd10_validity', avg((diagnosis_code <> 'none')::DOUBLE) FROM synth
+            UNION ALL SELECT 'codes', 'icd10_prefixes', 1 - 0.5 * sum(abs(a / (SELECT count(*) FROM real) - b / (SELECT count(*) FROM synth))) FROM letters
+            UNION ALL SELECT 'codes', 'cpt_validity', avg(regexp_full_match(procedure_code, '[0-9]{{5}}[FUMT]?')::DOUBLE) FROM synth
+            UNION ALL SELECT 'labs', 'lab_plausibility', avg(s) FROM ({share})
+            UNION ALL SELECT 'medication', 'medication_safety', greatest(0, 1 - 10 * count_if(hit) / count(*)) FROM pairs {bundles}),
+        means AS (SELECT part, avg(score) AS score FROM per GROUP BY part),
+        w(part, w) AS (VALUES {", ".join(f"('{p}', {x}::DOUBLE)" for p, x in weights.items())})
+        SELECT part, "check", round(score, 5) AS score FROM per UNION ALL SELECT part, 'score', round(score, 5) FROM means
+        UNION ALL SELECT 'overall', 'score', round(sum(w * score), 5) FROM means JOIN w USING (part)""",
+    )
+
+
 ORACLES = {
+    "healthcare": _healthcare_sql(False),
+    "healthcare_bundles": _healthcare_sql(True),
     "evaluation_parts": _numeric_sql(
         _TIMES,
         _NUMBERS,
