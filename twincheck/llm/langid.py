@@ -8,7 +8,9 @@ and the language with the least wins.
 The automaton's transitions fill a dense table, in which a missing transition leads to where the root goes
 and carries a flag: one look-up per byte and language, for thousands of text windows at once. Windows of
 `WINDOW` bytes are first parsed from the root; then each that does not begin its text is parsed again from the state
-in which its predecessor ended, until no such state changes. So phrases cross windows, as in a parse of the whole text.
+in which its predecessor ended, until no such state changes. Where phrases are about as long as windows (runs of digits, text of the
+sample itself) each round moves the states of all later windows; so after `ROUNDS` rounds what is left is parsed window after window,
+once. So phrases cross windows, as in a parse of the whole text, in time linear in it.
 
 Bytes are folded to 64 classes: ASCII letters by lower case, other ASCII as space, and bytes above 127
 by their value modulo 37.
@@ -37,6 +39,7 @@ ROW_BYTES = 4096
 #: Candidate rows per language from which the sample is filled; by a hash of their ids and texts, the least always.
 SAMPLE_ROWS = 256
 WINDOW = 256
+ROUNDS = 4
 CLASSES = 64
 
 FOLD = np.zeros(256, dtype=np.int64)
@@ -110,16 +113,34 @@ def phrases(tables: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, win
         back[order] = np.arange(len(order))
         return count[back], state[back]
 
+    def walk(table: np.ndarray, stale: np.ndarray, entry: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
+        """Parse from each stale window on until one is entered as it was before."""
+        step, done = memoryview(table), 0
+        for w in stale.tolist():
+            while done <= w < len(row) and not heads[w] and end[w - 1] != entry[w]:
+                entry[w] = state = int(end[w - 1])
+                new = 0
+                for c in folded[begin[w] : begin[w] + long[w]].tolist():
+                    got = step[state + c]
+                    new += got & 1
+                    state = got >> 1
+                count[w], end[w] = new, state
+                w += 1
+                done = w
+
     for k, table in enumerate(tables):
         entry = np.zeros(len(row), dtype=np.int64)
         count, end = parse(table, np.arange(len(row)), entry)
-        while True:
+        for turn in range(ROUNDS + 1):
             want = np.where(heads, 0, np.concatenate([[0], end[:-1]])) if len(row) else entry
             stale = np.flatnonzero(want != entry)
-            if not len(stale):
+            if turn == ROUNDS:
+                walk(table, stale, entry, count, end)
+            elif len(stale):
+                entry[stale] = want[stale]
+                count[stale], end[stale] = parse(table, stale, entry[stale])
+            else:
                 break
-            entry[stale] = want[stale]
-            count[stale], end[stale] = parse(table, stale, entry[stale])
         out[:, k] = np.bincount(row, weights=count + heads, minlength=len(size))  # a text's first phrase needs no miss
     return out
 
