@@ -28,6 +28,17 @@ def test_shards_hold_documents_of_like_content(spark):
     assert np.mean([spread[t] for t in range(24)]) < 4  # a random deal spreads each topic over all shards
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    path = public_tokenizers.path(queries.WORD_TOKENIZER)
+    rows = [(7, "the same old row again and again and once more")] * 1500 + [(i, f"row number {i} stands on its own here") for i in range(100, 1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(docs, path, window=512, shard_bytes=6_000).collect()
+    assert sum(p.start == 0 for p in pieces) == 3000
+    sizes = Counter(p.sequence_id >> 32 for p in pieces)
+    repeated = Counter(p.sequence_id >> 32 for p in pieces if p.doc_id == 7 and p.start == 0)
+    assert len(repeated) >= 4 and max(repeated.values()) < 600 and max(sizes.values()) < 900
+
+
 def packed(docs, window):
     docs = [np.array([*d, packing.END], dtype=np.uint32) for d in docs]
     df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]))

@@ -385,11 +385,12 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.leaf(vectors(batch.column(1))))], names=["doc_id", "ids", "size", "leaf"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    out = stored(tokens.select("doc_id", "ids", "size").mapInArrow(walk, f"doc_id {kind}, ids binary, size long, leaf long"))
+    # the draw is fixed by the write and parts repeated rows, which share their leaf
+    out = stored(tokens.select("doc_id", "ids", "size").mapInArrow(walk, f"doc_id {kind}, ids binary, size long, leaf long").withColumn("draw", F.xxhash64(F.monotonically_increasing_id())))
     discard(tokens)
     sizes = sorted((r["leaf"], r["size"]) for r in out.groupBy("leaf").agg(F.sum("size").alias("size")).collect())  # LEAVES rows a shard
     deal = tokens.sparkSession.createDataFrame(shards_of(sizes, shard_bytes), "leaf long, first long, parts long")
-    return out.join(F.broadcast(deal), "leaf").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts")))
+    return out.join(F.broadcast(deal), "leaf").withColumn("shard", F.col("first") + F.pmod("draw", "parts"))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
