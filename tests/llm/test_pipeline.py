@@ -2,6 +2,8 @@
 
 import corpus_pipeline as pipeline
 
+from twincheck.llm.exact_dedup import drop_copies
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -20,3 +22,13 @@ def test_stages_keep_the_columns(spark):
 def test_run(spark):
     pieces = pipeline.run(spark, SF).collect()
     assert pieces and all(p.length > 0 for p in pieces)
+
+
+def test_copies_go_under_any_column_names(spark):
+    rows = [(1, "a b", 5, "x"), (1, "a  b", 6, "y"), (1, "a\tb ", 7, "z"), (2, "ab", 8, "w"), (3, None, 9, "v"), (3, "", 9, "v"), (None, "q", 1, None), (None, "q", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha int, __n string").withColumnRenamed("__n", "row")
+    got = drop_copies(docs)
+    assert got.columns == docs.columns and got.schema == docs.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("__sha = 7 OR text = '' OR doc_id IS NULL").distinct().collect()))
+    wide = spark.createDataFrame([(1, "a", 1, 2, 3)], "doc_id long, text string, __n int, sha int, k int")
+    assert [tuple(r) for r in drop_copies(wide).collect()] == [(1, "a", 1, 2, 3)]

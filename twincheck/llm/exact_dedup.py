@@ -158,10 +158,13 @@ def exact_groups(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text.cast("
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row keeps."""
+    """docs without the rows whose text another row keeps, under all its columns, whatever their names.
+
+    Of rows with one doc_id and equal texts but for white space, that with the longest text stays, of these the least by its text; of rows
+    alike in both, one."""
     kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    key = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    w = Window.partitionBy("doc_id", "__sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
-    same = (F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("d.__sha") == F.col("k.text_sha256"))
-    joined = docs.withColumn("__sha", key).alias("d").join(kept.alias("k"), same, "left_semi")
-    return joined.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__sha")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("sha"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("sha") == F.col("k.text_sha256"))
+    text = F.coalesce("row.text", F.lit(""))
+    one = F.min_by("row", F.struct(-F.length(text), text, F.col("row.text").isNull()))  # each task sends one row of a group at most
+    return rows.join(kept.alias("k"), same, "left_semi").groupBy(F.col("row.doc_id").alias("id"), "sha").agg(one.alias("row")).select("row.*")
