@@ -4,15 +4,19 @@ Tokens are lower-cased runs of other characters than the regular expression clas
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import clip01, cosine
+from ..functions.scores import cosine
 from ..plans.storage import materialised
 
 WINDOW = 3
 UNKNOWN = 1e-8
+SPACE = re.compile(r"[ \t\n\x0B\f\r]+")
 
 
 def tokens(text: Column) -> Column:
@@ -28,41 +32,57 @@ def positioned(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return ranged.join(F.broadcast(heads), "__part").select((F.col("__before") + own).alias("pos"), *columns)
 
 
-def grams(corpus: DataFrame, n: int) -> DataFrame:
-    """(pos, gram, c): how often each n-gram of a text occurs in it."""
-    words = corpus.select("pos", tokens(F.col("text")).alias("w"))
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    return words.where(F.size("w") >= n).select("pos", gram.alias("gram")).groupBy("pos", "gram").agg(F.count(F.lit(1)).alias("c"))
+def shared_grams(real: str, synth: str, most: int) -> list[tuple[int, int, int]]:
+    """(hit, nr, ns) for n = 1 to most: n-grams that two lower-cased texts share (the lesser count of each) and that each has.
+
+    An n-gram is numbered by its first n-1 words' number and its last word's."""
+    first, second = (SPACE.sub(" ", x).strip(" ").split(" ") if x and SPACE.sub("", x) else [] for x in (real, synth))
+    numbers: dict[str, int] = {}
+    words = [np.array([numbers.setdefault(w, len(numbers)) for w in x], dtype=np.int64) for x in (first, second)]
+    found, grams, kinds = [], words, max(len(numbers), 1)
+    for n in range(1, most + 1):
+        if n > 1:
+            longer = [g[: max(len(w) - n + 1, 0)] * len(numbers) + w[n - 1 :] for g, w in zip(grams, words, strict=True)]
+            known, numbered = np.unique(np.concatenate(longer), return_inverse=True)
+            grams, kinds = [numbered[: len(longer[0])], numbered[len(longer[0]) :]], max(len(known), 1)
+        r, s = (np.bincount(g, minlength=kinds) for g in grams)
+        found.append((int(np.minimum(r, s).sum()), len(grams[0]), len(grams[1])))
+    return found
+
+
+def overlaps(real: DataFrame, synth: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(pos, n, hit, nr, ns): shared n-grams (the lesser count of each), and n-grams of the real and of the synthetic text of a position that both have.
+
+    The texts of a position meet once, by its number, and are counted there: no n-gram is shuffled, and a task holds one pair's numbers at a time.
+    Every position has a row for every n, of zeros if no text is long enough. A null text has no words; positions are unique."""
+    most = max(sizes)
+
+    def run(r: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([[{"n": n, "hit": hit, "nr": nr, "ns": ns} for n, (hit, nr, ns) in enumerate(shared_grams(x, y, most), 1)] for x, y in zip(r, s, strict=True)], dtype=object)
+
+    pairs = real.select("pos", F.lower("text").alias("r")).join(synth.select("pos", F.lower("text").alias("s")), "pos")
+    counted = pairs.select("pos", F.pandas_udf(run, "array<struct<n:int,hit:long,nr:long,ns:long>>")("r", "s").alias("c"))
+    return counted.select("pos", F.explode("c").alias("x")).select("pos", "x.*").where(F.col("n").isin(*sizes))
 
 
 def bleu(real: DataFrame, synth: DataFrame, most: int = 4) -> DataFrame:
-    """(n, matched, total, bleu): corpus BLEU-n of the synthetic texts against the real text of the same position, uniform weights up to n."""
-    sizes = real.select("pos", F.size(tokens(F.col("text"))).alias("r")).join(synth.select("pos", F.size(tokens(F.col("text"))).alias("s")), "pos").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    parts = None
-    for n in range(1, most + 1):
-        both = grams(synth, n).alias("s").join(grams(real, n).alias("r"), ["pos", "gram"], "left").join(real.select("pos"), "pos", "left_semi")
-        one = both.agg(F.lit(n).alias("n"), F.coalesce(F.sum(F.least("s.c", F.coalesce("r.c", F.lit(0)))), F.lit(0)).alias("matched"), F.coalesce(F.sum("s.c"), F.lit(0)).alias("total"))
-        parts = one if parts is None else parts.unionByName(one)
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    brevity = F.when(F.col("s") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("s"))))
+    """(n, matched, total, bleu): corpus BLEU-n of the synthetic texts against the real text of the same position, uniform weights up to n.
+
+    Without a common position there is no row."""
+    sums = overlaps(real, synth, tuple(range(1, most + 1))).groupBy("n").agg(F.sum("hit").alias("matched"), F.sum("ns").alias("total"), F.sum("nr").alias("r"))
+    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # a row per n
+    r, s = F.first("r").over(w), F.first("total").over(w)  # words, as n = 1 comes first
+    brevity = F.when(s > r, 1.0).otherwise(F.exp(1 - F.try_divide(r, s)))
     log = F.when(F.col("matched") > 0, F.ln(F.col("matched") / F.col("total")))
     score = F.when(F.count_if(F.col("matched") == 0).over(w) > 0, 0.0).otherwise(brevity * F.exp(F.avg(log).over(w)))
-    return parts.join(F.broadcast(sizes)).select("n", "matched", "total", score.alias("bleu"))
+    return sums.select("n", "matched", "total", score.alias("bleu"))
 
 
 def rouge(real: DataFrame, synth: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(n, precision, recall, f1): means over pairs of n-gram overlap, without a stemmer."""
-    out = None
-    for n in sizes:
-        r, s = grams(real, n), grams(synth, n)
-        hit = s.alias("s").join(r.alias("r"), ["pos", "gram"]).groupBy("pos").agg(F.sum(F.least("s.c", "r.c")).alias("hit"))
-        total = lambda df, name, n=n: df.select("pos", F.greatest(F.size(tokens(F.col("text"))) - (n - 1), F.lit(0)).alias(name))
-        pairs = total(real, "nr").join(total(synth, "ns"), "pos").join(hit, "pos", "left").fillna(0, ["hit"])
-        p, q = F.coalesce(F.try_divide("hit", "ns"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "nr"), F.lit(0.0))
-        f1 = F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0)
-        one = pairs.agg(F.lit(n).alias("n"), F.avg(p).alias("precision"), F.avg(q).alias("recall"), F.avg(f1).alias("f1"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(n, precision, recall, f1): means over pairs of n-gram overlap, without a stemmer. Without a common position there is no row."""
+    p, q = F.coalesce(F.try_divide("hit", "ns"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "nr"), F.lit(0.0))
+    f1 = F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0)
+    return overlaps(real, synth, sizes).groupBy("n").agg(F.avg(p).alias("precision"), F.avg(q).alias("recall"), F.avg(f1).alias("f1"))
 
 
 def subsequence(x, y) -> int:
@@ -124,7 +144,3 @@ def coherence(corpus: DataFrame, most: int | None = None) -> DataFrame:
         joined = joined.join(b, "pos")
     dots = sum((F.aggregate(F.zip_with("u", f"b{k}", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for k in range(1, WINDOW + 1)), F.lit(0.0)) / WINDOW
     return joined.agg(F.coalesce(F.avg(F.greatest(dots, F.lit(0.0))), F.lit(1.0)).alias("coherence"))
-
-
-def overall(bleu4: Column, rouge_f: Column, cos: Column, coherence_score: Column, perplexity_score: Column) -> Column:
-    return clip01(0.20 * bleu4 + 0.25 * rouge_f + 0.35 * cos + 0.10 * coherence_score + 0.10 * perplexity_score)
