@@ -93,3 +93,13 @@ def suite(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: li
     both = a.unionByName(b).withColumn("rejected", F.col("p_value") < alpha / F.greatest(F.count(F.lit(1)).over(w), F.lit(1)))
     share = 1 - F.count_if("rejected").over(w) / F.count(F.lit(1)).over(w)
     return both.select("*", share.alias("fraction_passing"), ((share >= PASSING_SHARE) & (F.count_if("distance_failed").over(w) == 0)).alias("passed"))
+
+
+def ks_only(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, ks, ks_pvalue) of every numeric column with a value on both sides."""
+    return numeric_scores(real, synth, columns, 1).select("column", "ks", "ks_pvalue")
+
+
+def chi2_only(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, chi2, dof, chi2_pvalue) of every categorical column with a value on both sides."""
+    return categorical_scores(real, synth, columns, 1).select("column", "chi2", "dof", chi2_pvalue("chi2", "dof").alias("chi2_pvalue"))

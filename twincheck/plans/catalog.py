@@ -10,9 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attacks, checks, content, evaluation, models, overall, risks, tabular
+from . import attacks, checks, content, evaluation, models, overall, reports, risks, tabular
 
-_MODULES = (tabular, risks, attacks, content, checks, overall, evaluation, models)
+_MODULES = (tabular, risks, attacks, content, checks, overall, evaluation, models, reports)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
 
