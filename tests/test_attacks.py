@@ -184,3 +184,27 @@ def test_linked_rows(spark, apart):
     probes = [p for p in aux if p[0] % 3 == 0]
     near = [min(synth, key=lambda x, p=p: (d(p, x), x[0])) for p in probes]
     assert (got["linked"], got["probes"]) == (sum(min(d(x, r) for r in real) < 0.5 for x in near), len(probes))
+
+
+def test_leaves_spare_distances(monkeypatch):
+    """Inside a block few of the distances are taken, and the nearest are those of all pairs."""
+    r = np.random.default_rng(3)
+    sx, qx, sc, qc = r.random((20_000, 2)), r.random((500, 2)), r.integers(0, 3, (20_000, 1)), r.integers(0, 3, (500, 1))
+    whole = np.round(nb.distances(qx, qc, sx, sc, "gower"), nb.DIGITS)
+    taken, plain = [], nb.distances
+    monkeypatch.setattr(nb, "distances", lambda *a: taken.append(len(a[0]) * len(a[2])) or plain(*a))
+    q, s, d = nb.nearest(qx, qc, sx, sc, np.arange(len(sx)), 3, np.full(len(qx), np.inf), "gower")
+    assert sum(taken) < whole.size / 10
+    order = np.argsort(whole, axis=1, kind="stable")[:, :3]
+    assert (q == np.repeat(np.arange(500), 3)).all() and (s == order.ravel()).all() and (d == np.take_along_axis(whole, order, axis=1).ravel()).all()
+
+
+def test_nearest_of_parts_against_all_pairs(spark, apart):
+    """One search for all parts, with parts that nobody is in, alike candidates and queries that want nothing."""
+    q, s = mixed(50, 5), mixed(200, 6, 1000) + [(5000 + i, 1.0, 0.2, "y") for i in range(100)]
+    scale = nb.ranges([frame(spark, q), frame(spark, s)], ["a", "b"])
+    asked = nb.encode(frame(spark, q), "id", scale, ["c"]).withColumn("want", F.col("id") % 16)
+    held = nb.encode(frame(spark, s), "id", scale, ["c"]).withColumn("mask", F.col("id") % 8)
+    got = {(r["id"], r["part"]): r["distance"] for r in nb.nearest_of_parts(asked, held, block_rows=30, query_rows=11, pivots=20).collect()}
+    w = widths(q, s)
+    assert got == {(p[0], i): min(gower(p, x, w) for x in s if x[0] % 8 >> i & 1) for p in q for i in range(3) if p[0] % 16 >> i & 1}
