@@ -34,3 +34,10 @@ def test_overlaps_equal_plain_counting(spark):
 def test_empty_tables_give_no_rows(spark):
     none = spark.createDataFrame([], "pos long, text string")
     assert text.bleu(none, none).count() == 0 and text.rouge(none, none).count() == 0
+
+
+def test_few_pairs_at_once(spark):
+    """Pairs of texts go to Python in small batches, not in Arrow batches of 10,000 whole texts."""
+    df = spark.createDataFrame([(1, "a b c")], "pos long, text string")
+    plan = text.overlaps(df, df, (1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

@@ -7,7 +7,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +56,12 @@ def overlaps(real: DataFrame, synth: DataFrame, sizes: tuple[int, ...]) -> DataF
     Every position has a row for every n, of zeros if no text is long enough. A null text has no words; positions are unique."""
     most = max(sizes)
 
-    def run(r: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([[{"n": n, "hit": hit, "nr": nr, "ns": ns} for n, (hit, nr, ns) in enumerate(shared_grams(x, y, most), 1)] for x, y in zip(r, s, strict=True)], dtype=object)
+    def run(r: str, s: str) -> list[tuple[int, int, int, int]]:
+        return [(n, *counts) for n, counts in enumerate(shared_grams(r, s, most), 1)]
 
+    count = F.udf(run, "array<struct<n:int,hit:long,nr:long,ns:long>>", useArrow=False)  # a hundred pairs of texts at once in Python, an Arrow batch would be 10,000
     pairs = real.select("pos", F.lower("text").alias("r")).join(synth.select("pos", F.lower("text").alias("s")), "pos")
-    counted = pairs.select("pos", F.pandas_udf(run, "array<struct<n:int,hit:long,nr:long,ns:long>>")("r", "s").alias("c"))
+    counted = pairs.select("pos", count("r", "s").alias("c"))
     return counted.select("pos", F.explode("c").alias("x")).select("pos", "x.*").where(F.col("n").isin(*sizes))
 
 
@@ -99,10 +99,7 @@ def subsequence(x, y) -> int:
 
 
 def common_subsequence(a: str, b: str) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([subsequence(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-    return F.pandas_udf(run, "long")(a, b)
+    return F.udf(subsequence, "long", useArrow=False)(a, b)
 
 
 def rouge_l(real: DataFrame, synth: DataFrame) -> DataFrame:
