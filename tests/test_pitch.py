@@ -1,6 +1,9 @@
 """Pitch of tones, glides, mixtures and noise."""
 
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from twincheck.operators.pitch import contour, pitch_matching
 
@@ -40,3 +43,12 @@ def test_matching(spark):
     got = pitch_matching(real, make([tone(220), tone(300), tone(100), tone(100)])).first()
     assert got["pairs"] == 2 and abs(got["mean_deviation_hz"] - 10) < 0.5 and abs(got["score"] - 0.9) < 0.01
     assert tuple(pitch_matching(real, make([])).first()) == (None, 0, 0.5)
+
+
+def test_waveforms_are_made_after_pairing(spark):
+    """Waveforms made from small columns give what ready ones give, and no exchange carries them."""
+    wave = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda t: F.sin(t * (v * 2 * math.pi / 4000)))
+    real, synth = (spark.createDataFrame([(i, hz + 10.0 * i) for i in range(1, 4)], "pos long, v double") for hz in (150.0, 190.0))
+    got = pitch_matching(real, synth, rate=4000, wave=wave)
+    ready = [d.select("pos", wave(F.col("v")).alias("v")) for d in (real, synth)]
+    assert got.first() == pitch_matching(*ready, rate=4000).first() and got.first()["pairs"] == 3

@@ -6,10 +6,11 @@ strengths against jumps of pitch and changes between voiced and unvoiced. One wa
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import clip01
@@ -77,10 +78,11 @@ def contour(x: np.ndarray, rate: float, low: float = LOWEST, high: float = HIGHE
     return out
 
 
-def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int | None = None, low: float = LOWEST, high: float = HIGHEST, seconds: float = LEAST_SECONDS) -> DataFrame:
+def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int | None = None, low: float = LOWEST, high: float = HIGHEST, seconds: float = LEAST_SECONDS, wave: Callable[[Column], Column] = lambda v: v) -> DataFrame:
     """(mean_deviation_hz, pairs, score) of paired (pos, v) waveforms, the first `most` if given: mean distance of the pitch in frames that both sides voice.
 
-    A pair is cut to the shorter side; pairs under `seconds`, or without such a frame, are left out. Without any pair the score is 0.5."""
+    A pair is cut to the shorter side; pairs under `seconds`, or without such a frame, are left out. Without any pair the score is 0.5.
+    `wave` makes a waveform of a v once its pair has met, so that smaller columns are shuffled."""
 
     def gap(r: pd.Series, s: pd.Series) -> pd.Series:
         out = []
@@ -90,8 +92,8 @@ def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most:
             out.append(float(np.nanmean(off)) if np.isfinite(off).any() else None)
         return pd.Series(out, dtype="float64")
 
-    both = frame_pairs(real, synth, most).where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
-    wave = lambda c: F.col(c).cast("array<double>")
-    each = both.select(F.pandas_udf(gap, "double")(wave("r"), wave("s")).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
+    both = frame_pairs(real, synth, most).select(wave(F.col("r")).alias("r"), wave(F.col("s")).alias("s")).where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
+    doubles = lambda c: F.col(c).cast("array<double>")
+    each = both.select(F.pandas_udf(gap, "double")(doubles("r"), doubles("s")).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
     found = each.agg(F.avg("d").alias("mean_deviation_hz"), F.count("d").alias("pairs"))
     return found.withColumn("score", F.when(F.col("pairs") == 0, 0.5).otherwise(clip01(1 - F.col("mean_deviation_hz") / ZERO_AT)))

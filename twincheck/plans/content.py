@@ -100,9 +100,9 @@ def structural_similarity(spark: SparkSession, sf_dir: str, most: int | None = I
 
 def pitch_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tone of half a second for each vector, as high as its first component says."""
-    tone = F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda t: F.sin(t * (2 * math.pi / 6400) * (300 + 200 * F.col("v")[0])))
-    real, synth = (d.select("pos", tone.alias("v")) for d in vectors(spark, sf_dir))
-    return rounded(pitch.pitch_matching(real, synth, rate=6400))
+    tone = lambda first: F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda t: F.sin(t * (2 * math.pi / 6400) * (300 + 200 * first)))
+    real, synth = (d.select("pos", F.col("v")[0].alias("v")) for d in vectors(spark, sf_dir))
+    return rounded(pitch.pitch_matching(real, synth, rate=6400, wave=tone))
 
 
 QUERIES = {f.__name__: f for f in (inception_score, pitch_matching, prosody, structural_similarity, bleu, rouge, rouge_l, perplexity, paired_cosine, coherence, frechet, frame_error, flow_consistency, temporal_coherence, scene_cuts, waveform_correlation, snr_similarity)}
