@@ -12,6 +12,7 @@ from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialised
 from .frequency import categorical_scores, category_distances, numeric_scores
 
 
@@ -114,9 +115,10 @@ def logistic_detection(real: DataFrame, synth: DataFrame, columns: list[str], se
     fold = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(3)).alias("fold")
     if both.select("label", fold).distinct().count() < 6:
         return real.sparkSession.createDataFrame([(None, None)], "auc double, score double")
-    ready = FeatureHasher(inputCols=columns, outputCol="features", numFeatures=1 << 12).transform(both).select("features", "label", fold)
+    counted = materialised(both.groupBy(*(F.col(f"`{c}`") for c in columns), "label").agg(F.count(F.lit(1)).cast("double").alias("__weight")))  # equal rows are fitted as one that weighs as much
+    ready = FeatureHasher(inputCols=columns, outputCol="features", numFeatures=1 << 12).transform(counted).select("features", "label", fold, "__weight")
     folds = [(ready.where(F.col("fold") != k), ready.where(F.col("fold") == k)) for k in range(3)]
-    auc = sum(BinaryClassificationEvaluator().evaluate(LogisticRegression(maxIter=20, regParam=0.01).fit(rest).transform(own)) for rest, own in folds) / 3
+    auc = sum(BinaryClassificationEvaluator(weightCol="__weight").evaluate(LogisticRegression(maxIter=20, regParam=0.01, weightCol="__weight").fit(rest).transform(own)) for rest, own in folds) / 3
     return real.sparkSession.createDataFrame([(auc, 1 - (2 * max(0.5, auc) - 1))], "auc double, score double")
 
 
