@@ -154,3 +154,32 @@ def test_anderson_darling_p_value():
     ps = [statistics.anderson_darling_p(t) for t in np.linspace(-2, 8, 60).tolist()]
     assert ps == sorted(ps, reverse=True) and ps[0] == 0.25 and ps[-1] == 0.001
     assert math.isnan(statistics.anderson_darling_p(float("nan")))
+
+
+def test_fits_hold_bounded_partitions(spark):
+    """Rows of one partition are dealt to as many as their number asks for, none lost."""
+    got = models.dealt(spark.range(1000).coalesce(1), 100)
+    assert got.rdd.getNumPartitions() >= 10 and got.count() == got.distinct().count() == 1000
+
+
+def test_detection_stores_no_features(spark, monkeypatch):
+    """Only columns, label, fold and count are written; a row of features is many times as wide."""
+    kept, plain = [], models.materialised
+    monkeypatch.setattr(models, "materialised", lambda df: kept.append(plain(df)) or kept[-1])
+    real = spark.range(300).selectExpr("cast(id % 10 as double) a")
+    models.svc_detection(real, real.selectExpr("a + 1 a"), ["a"], [], features=32)
+    assert kept and max(r["n"] for d in kept for r in d.selectExpr("size(x) n").collect()) == 1
+    assert sum(d.count() for d in kept) < 30  # equal rows once
+
+
+def test_mixture_counts_equal_rows(spark, monkeypatch):
+    """A mixture of rows that repeat is fitted on each once, with the same density as plain numbers give."""
+    kept, plain = [], models.materialised
+    monkeypatch.setattr(models, "materialised", lambda df: kept.append(plain(df)) or kept[-1])
+    values = [0.0] * 300 + [1.0] * 100 + [5.0] * 50
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    got = models.mixture_likelihood(df, df, ["a"], range(1, 2)).first()
+    m = sum(values) / 450
+    s2 = sum((v - m) ** 2 for v in values) / 450
+    assert got["n_real"] == 450 and abs(got["real_log_likelihood"] + 0.5 * (np.log(2 * np.pi * s2) + 1)) < 1e-9
+    assert kept[0].count() == 3

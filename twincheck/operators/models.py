@@ -22,6 +22,8 @@ from ..plans.storage import materialised
 #: Random Fourier features, and the hashed width of columns before them.
 FEATURES, WIDTH = 256, 64
 MAX_CLASSES = 100
+#: Rows of a partition whose features a fit holds; 256 features take 2 KB a row, 64 binned ones some 300 bytes.
+WIDE_ROWS, NARROW_ROWS = 1 << 16, 1 << 18
 
 
 def number(c: str) -> Column:
@@ -34,6 +36,12 @@ def scales(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), np.array([row[f"s{i}"] or 1.0 for i in range(len(columns))])
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df, stored, in partitions of about `rows` rows: what a fit keeps of a partition is bounded, however large the files are."""
+    df = materialised(df)
+    return df.repartition(max(df.rdd.getNumPartitions(), -(-df.count() // rows)))
+
+
 def log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
     """Of each row of x under a Gaussian mixture. Flat directions of a covariance count as 1e-9 wide."""
     parts = []
@@ -50,33 +58,35 @@ def log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covarianc
 def mixture_likelihood(real: DataFrame, synth: DataFrame, columns: list[str], components: range = range(1, 6), seed: int = 42, rounds: int = 100) -> DataFrame:
     """(components, bic, n_real, n_synth, real_log_likelihood, synth_log_likelihood): mean log density of each side's rows under a mixture fitted on real rows.
 
-    Full covariances; the number of components is the one of least BIC. With no complete real row all but the counts is null."""
+    Equal rows are fitted as one that weighs as much. Full covariances; the number of components is the one of least BIC. With no complete real row all but the counts is null."""
     spark, d = real.sparkSession, len(columns)
     kind = "components int, bic double, n_real long, n_synth long, real_log_likelihood double, synth_log_likelihood double"
     middle, width = scales(real, columns)
     ready = lambda df: df.select(*(number(c).alias(f"c{i}") for i, c in enumerate(columns))).dropna().select(F.array(*((F.col(f"c{i}") - float(middle[i])) / float(width[i]) for i in range(d))).alias("x"))
-    r, s = ready(real), ready(synth)
-    n, m = r.count(), s.count()
+    r, s = materialised(ready(real).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w"))), ready(synth).withColumn("w", F.lit(1.0))
+    n, m = int(r.agg(F.sum("w")).first()[0] or 0), s.count()
     if not n:
         return spark.createDataFrame([(None, None, n, m, None, None)], kind)
     def density(mixture: tuple, df: DataFrame) -> float | None:
         def run(x: pd.Series) -> pd.Series:
             return pd.Series(log_density(np.stack(x.to_numpy()), *mixture)) if len(x) else pd.Series([], dtype=float)
 
-        return df.agg(F.avg(F.pandas_udf(run, "double")("x"))).first()[0]
+        return df.agg(F.try_divide(F.sum(F.pandas_udf(run, "double")("x") * F.col("w")), F.sum("w"))).first()[0]
 
-    rows = r.select(array_to_vector("x").alias("features"))
+    rows = r.select(array_to_vector("x").alias("features"), "w")
     best = None
     for k in components:
         if k > n:
             break
         if k == 1:
             pairs = [(i, j) for i in range(d) for j in range(i, d)]
-            found = r.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)), *(F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-            spread = np.array([[found[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-            mixture = np.ones(1), np.array([[found[f"m{i}"] for i in range(d)]]), spread[None]
+            v = lambda i: F.col("x")[i]
+            found = r.agg(*(F.sum(F.col("w") * v(i)).alias(f"m{i}") for i in range(d)), *(F.sum(F.col("w") * v(i) * v(j)).alias(f"c{i}_{j}") for i, j in pairs)).first()
+            center = np.array([found[f"m{i}"] for i in range(d)]) / n  # near 0, as columns are centred
+            spread = np.array([[found[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / n - np.outer(center, center)
+            mixture = np.ones(1), center[None], spread[None]
         else:
-            model = GaussianMixture(k=k, seed=seed, maxIter=rounds, tol=1e-4).fit(rows)
+            model = GaussianMixture(k=k, seed=seed, maxIter=rounds, tol=1e-4, weightCol="w").fit(rows)
             mixture = np.array(model.weights), np.array([g.mean.toArray() for g in model.gaussians]), np.array([g.cov.toArray() for g in model.gaussians])
         likelihood = density(mixture, r)
         bic = (k - 1 + k * d + k * d * (d + 1) // 2) * math.log(n) - 2 * n * likelihood
@@ -102,7 +112,7 @@ def fourier(x: Column, size: int, gamma: float, features: int = FEATURES, seed:
 def svc_detection(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str], features: int = FEATURES, seed: int = 42) -> DataFrame:
     """(auc, score): how badly a support vector classifier with a Gaussian kernel, fitted on two thirds of the rows, tells the rest apart; the mean of three folds.
 
-    The kernel stands in random Fourier features, so that fitting stays linear in the rows. Folds go by a hash of the row."""
+    The kernel stands in random Fourier features, so that fitting stays linear in the rows; equal rows are fitted as one that weighs as much. Folds go by a hash of the row."""
     side = lambda df, label: df.select(*(number(c).alias(f"n{i}") for i, c in enumerate(numeric)), *(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(categorical)), F.lit(label).alias("label"))
     both = side(real, 1.0).unionByName(side(synth, 0.0)).dropna()
     names = [c for c in both.columns if c != "label"]
@@ -114,8 +124,9 @@ def svc_detection(real: DataFrame, synth: DataFrame, numeric: list[str], categor
         x = F.concat(x, vector_to_array("words"))
     size = len(numeric) + (WIDTH if words else 0)
     fold = F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(3)).alias("fold")
-    ready = materialised(both.select(fourier(x, size, 1 / max(1, len(numeric) + len(words)), features, seed).alias("z"), "label", fold)).select(array_to_vector("z").alias("features"), "label", "fold")
-    aucs = [BinaryClassificationEvaluator().evaluate(LinearSVC(maxIter=20, regParam=1e-2, tol=1e-3).fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k))) for k in range(3)]
+    z = fourier(F.col("x"), size, 1 / max(1, len(numeric) + len(words)), features, seed)
+    ready = dealt(both.select(x.alias("x"), "label", fold).groupBy("x", "label", "fold").agg(F.count(F.lit(1)).cast("double").alias("w")), WIDE_ROWS).select(array_to_vector(z).alias("features"), "label", "fold", "w")  # features are made again for each fit and never stored
+    aucs = [BinaryClassificationEvaluator(weightCol="w").evaluate(LinearSVC(maxIter=20, regParam=1e-2, tol=1e-3, weightCol="w").fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k))) for k in range(3)]
     auc = sum(aucs) / 3
     return real.sparkSession.createDataFrame([(auc, 1 - (2 * max(0.5, auc) - 1))], "auc double, score double")
 
@@ -134,7 +145,7 @@ def transfer(real: DataFrame, synth: DataFrame, numeric: list[str], categorical:
     if len(labels) < 2:
         return spark.createDataFrame([], out)
     number_of = F.coalesce(*(F.when(F.col("label") == v, F.lit(float(i))) for i, v in enumerate(labels)), F.lit(-1.0))
-    r, s = (d.withColumn("truth", number_of) for d in (r, s))
+    r, s = r.withColumn("truth", number_of), dealt(s.withColumn("truth", number_of), NARROW_ROWS)
     names = [c for c in r.columns if c not in ("label", "truth")]
     hasher = FeatureHasher(inputCols=names, outputCol="raw", numFeatures=WIDTH)
     prepare = Pipeline(stages=[hasher, StandardScaler(inputCol="raw", outputCol="features")]).fit(s)
