@@ -21,6 +21,8 @@ LOWEST, HIGHEST, LEAST_SECONDS, ZERO_AT = 65.406, 2093.005, 0.5, 100.0
 #: Candidates of a frame, the strength of being unvoiced, and the costs of an octave's jump, of a change of voicing and of an octave's lower pitch.
 CANDIDATES, UNVOICED, JUMP, CHANGE, OCTAVE = 6, 0.5, 0.35, 0.14, 0.02
 RUN = 512
+#: Pairs of a task where waveforms are made after pairing: small columns would else go to few tasks.
+PAIRS = 128
 
 
 def candidates(x: np.ndarray, rate: float, low: float, high: float, frame: int, hop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ def contour(x: np.ndarray, rate: float, low: float = LOWEST, high: float = HIGHE
     return out
 
 
-def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int | None = None, low: float = LOWEST, high: float = HIGHEST, seconds: float = LEAST_SECONDS, wave: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most: int | None = None, low: float = LOWEST, high: float = HIGHEST, seconds: float = LEAST_SECONDS, wave: Callable[[Column], Column] | None = None) -> DataFrame:
     """(mean_deviation_hz, pairs, score) of paired (pos, v) waveforms, the first `most` if given: mean distance of the pitch in frames that both sides voice.
 
     A pair is cut to the shorter side; pairs under `seconds`, or without such a frame, are left out. Without any pair the score is 0.5.
@@ -92,7 +94,10 @@ def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most:
             out.append(float(np.nanmean(off)) if np.isfinite(off).any() else None)
         return pd.Series(out, dtype="float64")
 
-    both = frame_pairs(real, synth, most).select(wave(F.col("r")).alias("r"), wave(F.col("s")).alias("s")).where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
+    both = frame_pairs(real, synth, most)
+    if wave:
+        both = both.repartition(max(1, -(-real.count() // PAIRS))).select(wave(F.col("r")).alias("r"), wave(F.col("s")).alias("s"))
+    both = both.where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
     doubles = lambda c: F.col(c).cast("array<double>")
     each = both.select(F.pandas_udf(gap, "double")(doubles("r"), doubles("s")).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
     found = each.agg(F.avg("d").alias("mean_deviation_hz"), F.count("d").alias("pairs"))
