@@ -89,7 +89,10 @@ def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most:
     def gap(r: pd.Series, s: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(r, s, strict=True):
-            n = min(len(a), len(b))
+            n = 0 if a is None or b is None else min(len(a), len(b))
+            if n < int(seconds * rate) or not n:
+                out.append(None)
+                continue
             off = np.abs(contour(np.asarray(a)[:n], rate, low, high) - contour(np.asarray(b)[:n], rate, low, high))
             out.append(float(np.nanmean(off)) if np.isfinite(off).any() else None)
         return pd.Series(out, dtype="float64")
@@ -97,7 +100,8 @@ def pitch_matching(real: DataFrame, synth: DataFrame, rate: int = 16_000, most:
     both = frame_pairs(real, synth, most)
     if wave:
         both = both.repartition(max(1, -(-real.count() // PAIRS))).select(wave(F.col("r")).alias("r"), wave(F.col("s")).alias("s"))
-    both = both.where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
+    else:  # a filter on made waveforms would make them before the deal
+        both = both.where(F.least(F.size("r"), F.size("s")) >= int(seconds * rate))
     doubles = lambda c: F.col(c).cast("array<double>")
     each = both.select(F.pandas_udf(gap, "double")(doubles("r"), doubles("s")).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
     found = each.agg(F.avg("d").alias("mean_deviation_hz"), F.count("d").alias("pairs"))
