@@ -35,24 +35,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lean, remainder, stored, text_bytes, volume
+from .common import discard, lean, portions, remainder, stored, text_bytes, volume
 
 DEPTH = 5
 #: Depth whose contexts name a subtree, and strings of a shard of subtrees, about.
 ROOTS, SHARD = 3, 400_000
 #: Bytes of text of a chunk, about.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 PORTION = 1 << 20
 
 
 def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) of every place of the texts, packed into 64 bits with the byte lowest, and the texts' bounds in them."""
     pad = b"\0" * DEPTH
-    data = np.frombuffer(b"".join([pad + t + b"\0" for t in texts]), dtype=np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join([pad + t + b"\0" for t in texts]), dtype=np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     key = np.zeros(max(0, len(data) - DEPTH), dtype=np.int64)
     for i in range(DEPTH + 1):
-        key = (key << 8) | data[i : len(data) - DEPTH + i]
+        key <<= 8  # in place: these are the largest arrays of a task
+        key |= data[i : len(data) - DEPTH + i]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     keep = np.ones(len(key), dtype=bool)
     inner = (bounds[1:-1, None] + DEPTH * np.arange(len(texts) - 1)[:, None] + np.arange(DEPTH)[None, :]).ravel()
@@ -60,26 +61,16 @@ def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], bounds
 
 
-def runs(texts: list[bytes], most: int = PORTION):
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def lowered(table: pa.Table, most: int = PORTION):
+    """Portions of a chunk's texts in lower case, and which of them teach: a task never holds all its texts a second time."""
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(table["text"]).to_numpy())])
+    for i, j in portions(at, most):
+        own = table.slice(i, j - i)
+        yield [t.lower() for t in own["text"].to_pylist()], [not x for x in own["held_out"].to_pylist()]
 
 
-def string_counts(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of the texts and how often they occur in learning texts."""
-    names, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i, j in runs(texts, 8 * PORTION):
-        for teach in (True, False):
-            key, _ = strings([t for t, ok in zip(texts[i:j], learn[i:j], strict=True) if ok is teach])
-            own, n = np.unique(key, return_counts=True)  # a plain sort, as strings carry nothing with them yet
-            names.append(own)
-            counts.append(n * teach)
+def counted(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names, in order, and the sums of their counts."""
     names, counts = np.concatenate(names), np.concatenate(counts)
     order = np.argsort(names)
     names = names[order]
@@ -87,6 +78,71 @@ def string_counts(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np
     return names[first], np.add.reduceat(counts[order], first) if len(first) else first
 
 
+def string_counts(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of portions of (texts, which of them teach), and how often they occur in learning texts."""
+    names, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for texts, learn in parts:
+        for teach in (True, False):
+            key, _ = strings([t for t, ok in zip(texts, learn, strict=True) if ok is teach])
+            key.sort()  # a plain sort, as strings carry nothing with them yet
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+            names.append(key[first])
+            counts.append(np.diff(first, append=len(key)) * teach)
+    return counted(names, counts)
+
+
+def questions(table: pa.Table) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """A chunk's distinct words with their counts in learning texts, and its strings with theirs."""
+    words: dict[bytes, int] = Counter()
+    for texts, learn in lowered(table):
+        for t, ok in zip(texts, learn, strict=True):
+            own = t.split()
+            if ok:
+                words.update(own)
+            else:
+                for w in own:
+                    words.setdefault(w, 0)
+    return words, *string_counts(lowered(table, 4 * PORTION))
+
+
+def answered(table: pa.Table, known: pa.Table, tokens: int, distinct: int, learning: int) -> tuple[list[int], list[int], list[float], np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text of a chunk, from its answers (word, gram, value).
+
+    The answers are read batch by batch, and the words go before the strings come, so that a task holds one of the two tables."""
+    local: dict[bytes, float] = Counter()
+    for texts, learn in lowered(table):
+        for t, ok in zip(texts, learn, strict=True):
+            if ok:
+                local.update(t.split())
+    names, value = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for batch in known.select(["word", "gram", "value"]).to_batches():
+        word = batch.filter(pc.is_valid(batch["word"]))
+        dict.update(local, zip(word["word"].to_pylist(), word["value"].to_pylist(), strict=True))
+        gram = batch.filter(pc.is_valid(batch["gram"]))
+        names.append(gram["gram"].to_numpy())
+        value.append(gram["value"].to_numpy())
+    n, found, base = [], [], []
+    log_all = np.log10(tokens + distinct + 1)
+    for texts, _ in lowered(table):
+        for t in texts:
+            c = np.array([*map(local.get, t.split(), repeat(0)), learning], dtype=np.float64)
+            n.append(len(c))
+            found.append(int((c > 0).sum()))
+            base.append(float(np.log10(c + 1).sum() - len(c) * log_all))
+    del local
+    names, value = np.concatenate(names), np.concatenate(value)
+    order = np.argsort(names)
+    names, value = names[order], value[order]
+    score = [np.zeros(0)]
+    for texts, _ in lowered(table):
+        own, bounds = strings(texts)
+        order = np.argsort(own)  # near keys lie near in the table
+        found_at = np.empty(len(own))
+        found_at[order] = value[np.searchsorted(names, own[order])]
+        score.append(np.add.reduceat(found_at, bounds[:-1]))
+    return n, found, base, np.concatenate(score)
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0: Stirling's series after eight steps of the recurrence."""
     y = x + 8
@@ -249,18 +305,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
     dealt = stored(rows.select("doc_id", "text", out.alias("held_out"), deal.alias("chunk")))
     learning = dealt.where("NOT held_out").count()
 
-    def questions(key, table):
-        learn = [not x for x in table["held_out"].to_pylist()]
-        texts = [t.lower() for t in table["text"].to_pylist()]
-        words: dict[bytes, int] = Counter()
-        for t, ok in zip(texts, learn, strict=True):
-            own = t.split()
-            if ok:
-                words.update(own)
-            else:
-                for w in own:
-                    words.setdefault(w, 0)
-        names, counts = string_counts(texts, learn)
+    def questioned(key, table):
+        words, names, counts = questions(table)
         k, g = len(words), len(names)
         return pa.table({
             "chunk": pa.array([key[0].as_py()] * (k + g), pa.int64()),
@@ -270,7 +316,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
         })
 
     def ask(key, table):
-        return lean(questions, key, table)
+        return lean(questioned, key, table)
 
     asked = stored(dealt.groupBy("chunk").applyInArrow(ask, "chunk long, word binary, gram long, n long"))
     grams, words = asked.where("gram IS NOT NULL"), asked.where("word IS NOT NULL")
@@ -289,44 +335,17 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, chunk_bytes: i
     discard(asked, counts, of_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def answered(key, table, known):
-        learn = [not x for x in table["held_out"].to_pylist()]
-        texts = [t.lower() for t in table["text"].to_pylist()]
-        local: dict[bytes, float] = Counter()
-        for t, ok in zip(texts, learn, strict=True):
-            if ok:
-                local.update(t.split())
-        known = known.combine_chunks()
-        word = known.filter(pc.is_valid(known["word"]))
-        local = dict(local)
-        local.update(zip(word["word"].to_pylist(), word["value"].to_pylist(), strict=True))
-        n, found, base = [], [], []
-        log_all = np.log10(tokens + distinct + 1)
-        for t in texts:
-            c = np.array([*map(local.get, t.split(), repeat(0)), learning], dtype=np.float64)
-            n.append(len(c))
-            found.append(int((c > 0).sum()))
-            base.append(float(np.log10(c + 1).sum() - len(c) * log_all))
-        gram = known.filter(pc.is_valid(known["gram"]))
-        names, value = gram["gram"].to_numpy(), gram["value"].to_numpy()
-        order = np.argsort(names)
-        names, value = names[order], value[order]
-        score = []
-        for i, j in runs(texts):
-            own, bounds = strings(texts[i:j])
-            order = np.argsort(own)  # near keys lie near in the table
-            found_at = np.empty(len(own))
-            found_at[order] = value[np.searchsorted(names, own[order])]
-            score.append(np.add.reduceat(found_at, bounds[:-1]))
-        size, score = len(texts), np.concatenate(score) if score else np.zeros(0)
-        bits = -score / np.log10(2) / np.array([len(t) + 1 for t in texts], dtype=np.float64)
+    def scored(table, known):
+        n, found, base, score = answered(table, known, tokens, distinct, learning)
+        size = len(n)
+        bits = -score / np.log10(2) / (pc.binary_length(table["text"]).to_numpy() + 1.0)
         return pa.table({
             "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(found, pa.int64()),
             "train_tokens": pa.array([tokens] * size, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(bits),
         })
 
     def tell(key, table, known):
-        return lean(answered, key, table, known)
+        return lean(scored, table, known)
 
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, shape)
