@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, portions, stored, text_bytes
+from .common import buffers, discard, lean, portions, stored, text_bytes
 
 WINDOW = 4096
 END = 2
@@ -139,7 +139,7 @@ def counts(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def kept(path: str) -> str:
     """Type of stored token ids: two bytes if the tokenizer's ids fit."""
-    return "<u2" if words_of(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    return "<u2" if lean(lambda: Words(path).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"  # the driver keeps no tokenizer
 
 
 class Corpus:
@@ -367,7 +367,7 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
         return tokens.where(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).groupBy(key.alias("key")).agg(F.min("ids").alias("ids"), F.sum("size").alias("size"))
 
     fit = [bytes(r["ids"]) for r in sorted(some(ROWS).collect(), key=lambda r: r["key"])]  # about ROWS rows
-    directions = corpus.value.directions(np.frombuffer(b"".join(fit), dtype=held), np.concatenate([[0], np.cumsum([len(x) // int(held[-1]) for x in fit], dtype=np.int64)]))
+    directions = lean(corpus.value.directions, np.frombuffer(b"".join(fit), dtype=held), np.concatenate([[0], np.cumsum([len(x) // int(held[-1]) for x in fit], dtype=np.int64)]))
     project = tokens.sparkSession.sparkContext.broadcast(directions)
 
     def vectors(column):
@@ -378,7 +378,7 @@ def placed(tokens: DataFrame, corpus, shard_bytes: int, held: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in vectors(batch.column(1))], pa.binary()), batch.column(2)], names=["key", "v", "size"])
 
     fit = some(shards * LEAVES * FIT).mapInArrow(show, "key long, v binary, size long").toPandas().sort_values("key")
-    tree = tokens.sparkSession.sparkContext.broadcast(Tree(np.frombuffer(b"".join(map(bytes, fit["v"])), dtype=np.float32).reshape(-1, WIDTH), fit["size"].to_numpy(), shards * LEAVES))
+    tree = tokens.sparkSession.sparkContext.broadcast(lean(Tree, np.frombuffer(b"".join(map(bytes, fit["v"])), dtype=np.float32).reshape(-1, WIDTH), fit["size"].to_numpy(), shards * LEAVES))
 
     def walk(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, portions, prefix_hash, range_hash, remainder, text_bytes, word_bounds
+from .common import buffers, lean, portions, prefix_hash, range_hash, remainder, text_bytes, word_bounds
 
 #: Fitted on about so many labelled rows, chosen by a hash of their ids.
 SAMPLE = 16000
@@ -135,36 +135,27 @@ def toxic_passages(model: Model, data: np.ndarray, offsets: np.ndarray, alpha: f
     return [(row, s, e, x) for row, s, e, value, n in passages(model, data, offsets) if (x := model.scale * n * np.exp(-model.decay * value)) < alpha]
 
 
-def fit_odds(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> Model:
-    """Log-odds of each word and stem from counts in toxic and clean text, each level the prior of the next."""
+def fit_odds(words, toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> Model:
+    """Log-odds of each word (a list or an Arrow column of bytes) and stem from counts in toxic and clean text, each level the prior of the next.
+
+    Words and stems are hashes in arrays: as objects they would take several times the memory of the driver."""
     total = np.array([toxic.sum(), clean.sum()], dtype=np.float64)
     share = total / max(1.0, total.sum())
-    level: dict[bytes, np.ndarray] = {}
-    keys, odds = [], []
+    data, at = buffers(words if isinstance(words, (pa.Array, pa.ChunkedArray)) else pa.array(words, pa.binary()))
+    h, start, end = prefix_hash(data), at[:-1], at[1:]
     counts = np.stack([toxic, clean], axis=1).astype(np.float64)
+    keys, odds, above, level = [], [], np.zeros(len(start), dtype=np.int64), share[None, :]
     for n in (*STEMS, None):
-        own: dict[bytes, np.ndarray] = {}
-        for w, c in zip(words, counts, strict=True):
-            s = w[:n]
-            own[s] = own[s] + c if s in own else c
-        parent = level
-        level = {}
-        for s, c in own.items():
-            base = parent.get(s[: n - 1] if n else s[: STEMS[-1]], share)
-            level[s] = (c + prior * base) / (c.sum() + prior)
-        entries = list(level)
-        data = np.frombuffer(b"".join(entries), dtype=np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in entries])]).astype(np.int64)
-        h = range_hash(prefix_hash(data), at[:-1], at[1:])
-        order = np.argsort(h)
-        p = np.array([level[s] for s in entries]).reshape(-1, 2)
-        n = np.array([own[s].sum() for s in entries]) + prior
+        key, first, place = np.unique(range_hash(h, start, end if n is None else np.minimum(start + n, end)), return_index=True, return_inverse=True)
+        c = np.stack([np.bincount(place, weights=counts[:, k], minlength=len(key)) for k in range(2)], axis=1)
+        level = p = (c + prior * level[above[first]]) / (c.sum(axis=1, keepdims=True) + prior)
+        above, n = place, c.sum(axis=1) + prior
         # against the overall share, so that an unknown token says nothing; what few documents say counts less its error
         delta = np.log((p[:, 0] + 1e-9) / (p[:, 1] + 1e-9)) - np.log((share[0] + 1e-9) / (share[1] + 1e-9))
         error = np.sqrt(1 / np.maximum(0.5, p[:, 0] * n) + 1 / np.maximum(0.5, p[:, 1] * n))
         gain = np.minimum(delta, 8) - CAUTION * error - MARGIN
-        keys.append(h[order])
-        odds.append(np.where(gain > 0, gain, np.minimum(-0.1, gain))[order].clip(-3))
+        keys.append(key)
+        odds.append(np.where(gain > 0, gain, np.minimum(-0.1, gain)).clip(-3))
     return Model(keys, odds, -1.0)
 
 
@@ -208,8 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     # the counts of a bounded sample are bounded; rare words only count for their stems
     name = F.when(F.col("toxic") + F.col("clean") >= LEAST, F.col("word")).otherwise(F.substring("word", 1, STEMS[-1]))
     merged = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean")))
-    words = merged.groupBy(name.alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    model = fit_odds([bytes(w) for w in words["word"]], words["toxic"].to_numpy(), words["clean"].to_numpy())
+    words = merged.groupBy(name.alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    model = lean(fit_odds, words["word"], words["toxic"].to_numpy(), words["clean"].to_numpy())
+    del words
 
     def best(batches):
         for batch in batches:
@@ -222,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     held = rows.where("half").select("text", "toxic").mapInArrow(best, "values array<double>, n long, toxic boolean").toPandas()
     clean = held[~held["toxic"].astype(bool)]
-    calibrate(model, [list(v) for v in clean["values"]], clean["n"].to_numpy(dtype=np.float64))
+    lean(calibrate, model, [list(v) for v in clean["values"]], clean["n"].to_numpy(dtype=np.float64))
     model.prior = float(held["toxic"].mean()) if len(held) else 0.0
     return model
 
