@@ -1,6 +1,7 @@
 """Packing by content: neighbours meet however many shards there are."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -73,3 +74,28 @@ def test_words_equal_whole_texts():
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     got = packing.Words(path).encode([t.encode() for t in texts])
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [x.ids for x in want]
+
+
+def test_words_are_held_in_arrays():
+    """Ids equal the tokenizer's whatever is remembered, kept or forgotten, and a word takes tens of bytes, not hundreds."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = random.Random(3)
+    made = ["".join(rnd.choices("abcdefgÄéß1'#", k=rnd.randint(1, 12))) for _ in range(30_000)]
+    texts = [" ".join(rnd.choices(made, k=300)) for _ in range(300)] + ["", " \t", "It's <|endoftext|> x", "A.b,C'd  é f", "don't"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    words = packing.Words(path)
+    tracemalloc.start()
+    assert words.encode([t.encode() for t in texts]) == want
+    words.forget()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 150 * words.held.n  # as objects of a dictionary about 200
+    words.held.keep(1000)
+    assert words.held.n == 1000
+    assert words.encode([t.encode() for t in texts]) == want
+    held = packing.MEMORY
+    try:
+        packing.MEMORY = 500
+        assert words.encode([t.encode() for t in texts]) == want
+    finally:
+        packing.MEMORY = held

@@ -22,14 +22,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, lean, portions, stored, text_bytes
+from .common import IS_SPACE, buffers, discard, lean, portions, prefix_hash, range_hash, stored, text_bytes, word_hashes
 
 WINDOW = 4096
 END = 2
@@ -43,16 +42,80 @@ SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Directions of the projection, documents that fit it, leaves of the tree per shard, and documents per leaf that fit the tree.
 WIDTH, ROWS, LEAVES, FIT = 24, 4096, 4, 8
-#: A task forgets its words but the first KEPT when it would hold more than MEMORY, and when it ends.
-MEMORY, KEPT = 400_000, 100_000
-
+#: Terms in this share of a shard's documents, or more, are rows of a matrix.
+COMMON = 8
+#: A task forgets its words but the first KEPT when it would hold more than MEMORY, and when it ends. A word takes about 50 bytes.
+MEMORY, KEPT = 1_000_000, 500_000
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of the rows, cut between an ASCII letter or digit and a sign beside it: the tokenizer cuts there too, so fewer words differ."""
+    if not len(data):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    held, kind = ~IS_SPACE[data], KIND[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    edge[1:-1] |= kind[1:] + kind[:-1] == 3
+    start, end = held.copy(), held.copy()
+    start[1:] &= ~held[:-1] | edge[1:-1]
+    end[:-1] &= ~held[1:] | edge[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+class Table:
+    """Numbers of words by two 64-bit hashes, by open addressing; a word's ids lie in one array at its number."""
+
+    def __init__(self):
+        self.grow(1 << 16)
+        self.ids, self.at, self.n = np.zeros(1 << 18, dtype="<u4"), np.zeros(1, dtype=np.int64), 0
+        self.names = np.zeros((0, 2), dtype=np.uint64)
+
+    def grow(self, size: int) -> None:
+        self.mask = np.uint64(size - 1)
+        self.slot = np.full(size, -1, dtype=np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out = np.full(len(a), -1, dtype=np.int64)
+        live, place = np.arange(len(a)), a & self.mask
+        while len(live):
+            k = self.slot[place]
+            used = k >= 0
+            live, k, place = live[used], k[used], place[used]
+            hit = (self.names[k, 0] == a[live]) & (self.names[k, 1] == b[live])
+            out[live[hit]] = k[hit]
+            live, place = live[~hit], (place[~hit] + np.uint64(1)) & self.mask
+        return out
 
-def parted(text: bytes) -> bytes:
-    """The text with a space between each ASCII letter or digit and a sign beside it: the tokenizer cuts there too, so fewer words differ."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    kind = KIND[data]
-    at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
-    return np.insert(data, at, 32).tobytes() if len(at) else text
+    def place(self, numbers: np.ndarray) -> None:
+        at = self.names[numbers, 0] & self.mask
+        while len(numbers):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = numbers[free]
+            left = self.slot[at] != numbers
+            numbers, at = numbers[left], (at[left] + np.uint64(1)) & self.mask
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: list[bytes]) -> None:
+        """New words, each once."""
+        own = np.frombuffer(b"".join(ids), dtype="<u4")
+        end = self.at[-1] + np.cumsum([len(x) // 4 for x in ids])
+        if end[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.at[-1]], np.zeros(2 * int(end[-1]) - int(self.at[-1]), dtype="<u4")])
+        self.ids[self.at[-1] : end[-1]] = own
+        self.at, self.names = np.concatenate([self.at, end]), np.concatenate([self.names, np.stack([a, b], axis=1)])
+        first, self.n = self.n, self.n + len(a)
+        if 2 * self.n > len(self.slot):
+            self.grow(1 << int(4 * self.n - 1).bit_length())
+            first = 0
+        self.place(np.arange(first, self.n, dtype=np.int32))
+
+    def keep(self, n: int) -> None:
+        """Only the first n words."""
+        self.n = min(n, self.n)
+        self.at, self.names = self.at[: self.n + 1].copy(), self.names[: self.n].copy()
+        self.ids = self.ids[: self.at[-1]].copy()
+        self.grow(1 << max(16, int(4 * self.n).bit_length()))
+        self.place(np.arange(self.n, dtype=np.int32))
 
 
 class Words:
@@ -69,7 +132,7 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(1 + max(vocabulary.values()), dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.held: dict[bytes, bytes] = {}
+        self.held = Table()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; one that may hold an added token is encoded whole."""
@@ -81,23 +144,53 @@ class Words:
 
     def _by_words(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Lower-casing A-Z and cutting at ASCII white space change nothing for the tokenizer, which does both."""
-        cut = [parted(t).lower().split() for t in texts]
-        known = set().union(*cut)
-        if len(self.held) + len(known) > MEMORY:
-            self.forget()
+        out = []
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        for i, j in portions(offsets, 1 << 19):
+            out += self._portion(b"".join(texts[i:j]).lower(), offsets[i : j + 1] - offsets[i])
+        return out
+
+    def _portion(self, whole: bytes, offsets: np.ndarray) -> list[bytes]:
+        data = np.frombuffer(whole, dtype=np.uint8)
+        start, end = cut(data, offsets)
+        a = word_hashes(data, start, end)
+        h = prefix_hash(data)
+        b = range_hash(h, start, end)  # two hashes of different kinds: 128 bits tell words apart
         held = self.held
+        number = held.find(a, b)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            _, first = np.unique(a[miss], return_index=True)
+            new = miss[np.sort(first)]
+            if held.n + len(new) > MEMORY:
+                self.forget()
+                number = held.find(a, b)
+                miss = np.flatnonzero(number < 0)
+                new = miss[np.sort(np.unique(a[miss], return_index=True)[1])]
+            held.add(a[new], b[new], self._encoded([whole[s:e] for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+            number[miss] = held.find(a[miss], b[miss])
+        begin = held.at[number]
+        size = held.at[number + 1] - begin
+        after = np.cumsum(size)
+        ids = held.ids[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)].tobytes()
+        ends = (4 * np.concatenate([[0], after])[np.searchsorted(start, offsets)]).tolist()
+        return [ids[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        found: dict[bytes, bytes] = {}
         letters, others = [], []
-        for w in known.difference(held):
+        for w in words:
             (letters if w.decode().isalpha() else others).append(w)
         for at in range(0, len(letters), 100):
-            held.update(self._letters(letters[at : at + 100]))
+            found.update(self._letters(letters[at : at + 100]))
         for at in range(0, len(others), 100):
-            held.update(self._each(others[at : at + 100]))
-        return [b"".join(map(held.__getitem__, x)) for x in cut]
+            found.update(self._each(others[at : at + 100]))
+        return [found[w] for w in words]
 
     def forget(self) -> None:
         """Keep the words met first, which are mostly the frequent ones."""
-        self.held = dict(islice(self.held.items(), KEPT))
+        self.held.keep(KEPT)
 
     def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of words of letters, joined by spaces: one token with a word's end each, or else they go the other way."""
@@ -257,15 +350,24 @@ class Index:
         self.doc, self.weight, self.first = doc[order].astype(np.int32), weight[order].astype(np.float32), np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(corpus.idf)))])
         self.query, self.query_at = term.astype(np.int32), np.searchsorted(doc, np.arange(len(docs) + 1))
         self.n = len(docs)
+        # terms of many documents as rows of a matrix, at most COMMON times the postings: adding rows is faster than following postings
+        df = np.diff(self.first)
+        often = np.flatnonzero(df * COMMON >= max(1, self.n))
+        self.row, self.dense = np.full(len(df), -1, dtype=np.int32), np.zeros((len(often), self.n), dtype=np.float32)
+        self.row[often] = np.arange(len(often))
+        own = self.row[term]
+        self.dense[own[own >= 0], doc[own >= 0]] = weight[own >= 0]
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """All unused documents that share a term with the seed, the best first, the smaller number first of equals."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
         if not len(terms):
             return
+        row = self.row[terms]
+        score, terms = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64), terms[row < 0]
         begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=1)
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score += np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
         top = np.flatnonzero(score > 0)
         top = top[~used[top] & (top != seed)]
         score, take = -score[top], 32
