@@ -183,3 +183,46 @@ def test_mixture_counts_equal_rows(spark, monkeypatch):
     s2 = sum((v - m) ** 2 for v in values) / 450
     assert got["n_real"] == 450 and abs(got["real_log_likelihood"] + 0.5 * (np.log(2 * np.pi * s2) + 1)) < 1e-9
     assert kept[0].count() == 3
+
+
+def jobs(spark, name, run):
+    """Spark jobs that run() takes, and its result."""
+    spark.sparkContext.setJobGroup(name, name)
+    got = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), got
+
+
+def test_mixture_reads_rows_few_times(spark):
+    """Rows of no clear mixture, on which expectation-maximisation is slow: all numbers of components share few readings, and the fit is no worse than many plain rounds."""
+    rng = np.random.default_rng(7)
+    x = rng.uniform(size=(4000, 2))
+    df = points(spark, np.stack([x[:, 0], x[:, 0] * x[:, 1]], axis=1))
+    n, got = jobs(spark, "mixture", lambda: models.mixture_likelihood(df, df, ["a", "b"], range(1, 4)).first())
+    assert n < 80
+    z = np.array([tuple(r) for r in df.collect()]).T
+    width = z.std(axis=1)
+    z = (z - z.mean(axis=1)[:, None]) / width[:, None]
+    mixture = models.started(z, np.ones(4000), 3, 1, 1)
+    for _ in range(100):
+        mixture = models.maximised(mixture, models.expected(z, np.ones(4000), mixture))
+    assert got["components"] == 3 and got["real_log_likelihood"] > models.log_density(z.T, *mixture).mean() - np.log(width).sum() - 1e-3
+
+
+def test_round_of_a_mixture_is_the_textbook_one():
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(size=(2, 50)) * [[1], [3]], rng.integers(1, 4, 50).astype(float)
+    mixture = np.array([0.3, 0.7]), np.array([[0.0, 1.0], [1.0, -1.0]]), np.array([[[1.0, 0.2], [0.2, 2.0]], [[2.0, 0.0], [0.0, 1.0]]])
+    sums = sum(models.expected(x[:, p], w[p], mixture) for p in (slice(0, 20), slice(20, 50)))
+    each = np.exp(np.array([models.log_density(x.T, np.ones(1), mixture[1][[k]], mixture[2][[k]]) for k in range(2)])) * mixture[0][:, None]
+    r = each / each.sum(axis=0) * w
+    weights, means, covariances = models.maximised(mixture, sums)
+    assert math.isclose(sums[0], w @ np.log(each.sum(axis=0))) and np.allclose(weights, r.sum(axis=1) / w.sum())
+    for k in range(2):
+        m = x @ r[k] / r[k].sum()
+        assert np.allclose(means[k], m) and np.allclose(covariances[k], ((x - m[:, None]) * r[k]) @ (x - m[:, None]).T / r[k].sum())
+
+
+def test_mixture_of_fewer_different_rows_than_components(spark):
+    got = models.mixture_likelihood(points(spark, [(1, 2)] * 9 + [(3, 4)]), points(spark, [(1, 2)]), ["a", "b"], range(1, 4)).first()
+    assert (got["n_real"], got["n_synth"]) == (10, 1) and math.isfinite(got["real_log_likelihood"]) and math.isfinite(got["synth_log_likelihood"])

@@ -5,23 +5,27 @@ Models are fitted by Spark on all rows of their side; rows with a missing value
 from __future__ import annotations
 
 import math
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import FeatureHasher, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialised
+from ..plans.storage import discard, materialised
+from . import fits
 
 #: Random Fourier features, and the hashed width of columns before them.
 FEATURES, WIDTH = 256, 64
 MAX_CLASSES = 100
+#: Mixtures tried on a sample before the best is fitted on all rows.
+STARTS = 16
 #: Rows of a partition whose features a fit holds; 256 features take 2 KB a row, 64 binned ones some 300 bytes.
 WIDE_ROWS, NARROW_ROWS = 1 << 16, 1 << 18
 
@@ -42,12 +46,17 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(df.rdd.getNumPartitions(), -(-df.count() // rows)))
 
 
+def axes(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared widths and directions of a covariance. Flat directions count as 1e-9 wide."""
+    value, vector = np.linalg.eigh(covariance)
+    return np.maximum(value, 1e-9), vector
+
+
 def log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
     """Of each row of x under a Gaussian mixture. Flat directions of a covariance count as 1e-9 wide."""
     parts = []
     for w, m, c in zip(weights, means, covariances, strict=True):
-        value, vector = np.linalg.eigh(c)
-        value = np.maximum(value, 1e-9)
+        value, vector = axes(c)
         z = (x - m) @ vector / np.sqrt(value)
         parts.append(math.log(max(w, 1e-300)) - 0.5 * ((z * z).sum(axis=1) + np.log(value).sum() + x.shape[1] * math.log(2 * math.pi)))
     parts = np.array(parts)
@@ -55,47 +64,130 @@ def log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covarianc
     return top + np.log(np.exp(parts - top).sum(axis=0))
 
 
+def expected(x: np.ndarray, w: np.ndarray, mixture: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What a round of expectation-maximisation sums over columns x of weight w: their log density, and for each component the weight, vector and products of its share, turned and scaled by its covariance."""
+    weights, means, covariances = mixture
+    d, parts, turned = len(x), np.empty((len(weights), x.shape[1])), []
+    for k, (a, m, c) in enumerate(zip(weights, means, covariances, strict=True)):
+        value, vector = axes(c)
+        z = (vector / np.sqrt(value)).T @ (x - m[:, None])
+        turned.append(z)
+        parts[k] = math.log(max(a, 1e-300)) - 0.5 * (np.einsum("ij,ij->j", z, z) + np.log(value).sum() + d * math.log(2 * math.pi))
+    top = parts.max(axis=0)
+    share = np.exp(parts - top)
+    whole = share.sum(axis=0)
+    share *= w / whole
+    return np.concatenate([[w @ (np.log(whole) + top)], *(np.concatenate([[r.sum()], z @ r, ((z * r) @ z.T).ravel()]) for z, r in zip(turned, share, strict=True))])
+
+
+def maximised(mixture: tuple[np.ndarray, np.ndarray, np.ndarray], sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixture that a round's sums lead to. A component without rows stays where it is."""
+    weights, means, covariances = (np.array(a) for a in mixture)
+    d = means.shape[1]
+    found = sums[1:].reshape(len(weights), 1 + d + d * d)
+    for k, own in enumerate(found):
+        weights[k] = own[0] / found[:, 0].sum()
+        if own[0] > 1e-9:
+            value, vector = axes(covariances[k])
+            back, s = vector * np.sqrt(value), own[1 : 1 + d] / own[0]
+            means[k] = means[k] + back @ s
+            covariances[k] = back @ (own[1 + d :].reshape(d, d) / own[0] - np.outer(s, s)) @ back.T
+    return weights, means, covariances
+
+
+def ahead(a: tuple, b: tuple, c: tuple) -> tuple:
+    """Where three successive mixtures lead to (squared extrapolation); the last, if that is no mixture."""
+    flat = [np.concatenate([np.log(np.maximum(m[0], 1e-300)), m[1].ravel(), m[2].ravel()]) for m in (a, b, c)]
+    k, d = a[1].shape
+    r, v = flat[1] - flat[0], flat[2] - 2 * flat[1] + flat[0]
+    far = max(1.0, np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300))
+    t = flat[0] + 2 * far * r + far * far * v
+    if not np.isfinite(t).all() or t[:k].max() > 700:
+        return c
+    weights, covariances = np.exp(t[:k]), t[k + k * d :].reshape(k, d, d)
+    return (weights / weights.sum(), t[k : k + k * d].reshape(k, d), covariances) if np.linalg.eigvalsh(covariances).min() > 1e-9 else c
+
+
+def mixing(mixture: tuple, n: float, rounds: int, tolerance: float) -> Generator[tuple, np.ndarray, tuple]:
+    """Rounds of expectation-maximisation over n rows, every second one extrapolated, until a pair adds no more than `tolerance` to the mean log density; returns that and the mixture that has it."""
+    kept, trail, plain, before = (-math.inf, mixture), [mixture], None, -math.inf
+    for _ in range(rounds + 1):
+        sums = yield trail[-1]
+        likelihood = sums[0] / n
+        if plain is not None and not likelihood >= kept[0]:
+            trail, plain = [plain], None  # leapt too far
+            continue
+        kept = likelihood, trail[-1]
+        if len(trail) == 1:
+            if likelihood - before <= tolerance:
+                break
+            before = likelihood
+        trail.append(maximised(trail[-1], sums))
+        plain = None
+        if len(trail) == 3:
+            plain, trail = trail[2], [ahead(*trail)]
+    return kept
+
+
+def started(x: np.ndarray, w: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A mixture of k components fitted on a sample: the best of STARTS, carried on. A start parts the rows by the nearest of k drawn ones."""
+    rng, n = np.random.default_rng(seed), w.sum()
+    fit = lambda mixture, rounds: fits.together({0: mixing(mixture, n, rounds, 1e-8)}, lambda points: {0: expected(x, w, points[0])})[0]
+    found = []
+    for _ in range(STARTS if k > 1 else 1):
+        centers = x[:, rng.choice(x.shape[1], k, p=w / n)]
+        near = ((x[:, None] - centers[:, :, None]) ** 2).sum(axis=0).argmin(axis=0)
+        parts = [(np.append(centers[:, i : i + 1], x[:, near == i], axis=1), np.append(1.0, w[near == i])) for i in range(k)]
+        found.append(fit((np.array([v.sum() for _, v in parts]) / (n + k), np.array([np.average(p, axis=1, weights=v) for p, v in parts]), np.array([np.atleast_2d(np.cov(p, aweights=v, ddof=0)) + 1e-3 * np.eye(len(x)) for p, v in parts])), 30))
+    return fit(max(found, key=lambda f: f[0])[1], 2 * rounds)[1]
+
+
 def mixture_likelihood(real: DataFrame, synth: DataFrame, columns: list[str], components: range = range(1, 6), seed: int = 42, rounds: int = 100) -> DataFrame:
     """(components, bic, n_real, n_synth, real_log_likelihood, synth_log_likelihood): mean log density of each side's rows under a mixture fitted on real rows.
 
-    Equal rows are fitted as one that weighs as much. Full covariances; the number of components is the one of least BIC. With no complete real row all but the counts is null."""
+    Full covariances; the number of components is the one of least BIC. All numbers of components are fitted side by side, each round over all real rows, from the best of a few starts on a sample, until a pair of rounds adds no more than 1e-5 to the mean log density.
+    Where rows repeat, equal ones are fitted as one that weighs as much. With no complete real row all but the counts is null."""
     spark, d = real.sparkSession, len(columns)
     kind = "components int, bic double, n_real long, n_synth long, real_log_likelihood double, synth_log_likelihood double"
     middle, width = scales(real, columns)
-    ready = lambda df: df.select(*(number(c).alias(f"c{i}") for i, c in enumerate(columns))).dropna().select(F.array(*((F.col(f"c{i}") - float(middle[i])) / float(width[i]) for i in range(d))).alias("x"))
-    r, s = materialised(ready(real).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w"))), ready(synth).withColumn("w", F.lit(1.0))
-    n, m = int(r.agg(F.sum("w")).first()[0] or 0), s.count()
+    names = [f"c{i}" for i in range(d)]
+    plain = lambda df: df.select(*(number(c).alias(a) for a, c in zip(names, columns, strict=True))).dropna()
+    scaled = lambda df, *more: df.select(*(((F.col(a) - float(middle[i])) / float(width[i])).alias(a) for i, a in enumerate(names)), *more)
+    r, s = plain(real), plain(synth)
+    n, different = r.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*names))).first()
     if not n:
-        return spark.createDataFrame([(None, None, n, m, None, None)], kind)
-    def density(mixture: tuple, df: DataFrame) -> float | None:
-        def run(x: pd.Series) -> pd.Series:
-            return pd.Series(log_density(np.stack(x.to_numpy()), *mixture)) if len(x) else pd.Series([], dtype=float)
-
-        return df.agg(F.try_divide(F.sum(F.pandas_udf(run, "double")("x") * F.col("w")), F.sum("w"))).first()[0]
-
-    rows = r.select(array_to_vector("x").alias("features"), "w")
-    best = None
-    for k in components:
-        if k > n:
-            break
-        if k == 1:
-            pairs = [(i, j) for i in range(d) for j in range(i, d)]
-            v = lambda i: F.col("x")[i]
-            found = r.agg(*(F.sum(F.col("w") * v(i)).alias(f"m{i}") for i in range(d)), *(F.sum(F.col("w") * v(i) * v(j)).alias(f"c{i}_{j}") for i, j in pairs)).first()
-            center = np.array([found[f"m{i}"] for i in range(d)]) / n  # near 0, as columns are centred
-            spread = np.array([[found[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / n - np.outer(center, center)
-            mixture = np.ones(1), center[None], spread[None]
-        else:
-            model = GaussianMixture(k=k, seed=seed, maxIter=rounds, tol=1e-4, weightCol="w").fit(rows)
-            mixture = np.array(model.weights), np.array([g.mean.toArray() for g in model.gaussians]), np.array([g.cov.toArray() for g in model.gaussians])
-        likelihood = density(mixture, r)
-        bic = (k - 1 + k * d + k * d * (d + 1) // 2) * math.log(n) - 2 * n * likelihood
-        if best is None or bic < best[0]:
-            best = bic, k, likelihood, mixture
-    bic, k, likelihood, mixture = best
+        return spark.createDataFrame([(None, None, n, s.count(), None, None)], kind)
+    rows, weight = n, F.lit(1.0).alias("w")
+    if 2 * different <= n:
+        r, weight = materialised(r.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("w"))), F.col("w")
+        rows = r.count()
+    table = fits.blocks(scaled(r, weight))
+
+    def ask(points: dict) -> dict:
+        def run(x: np.ndarray) -> np.ndarray:
+            return np.concatenate([expected(x[:d], x[d], p) for p in points.values()])
+
+        sizes = [1 + len(p[0]) * (1 + d + d * d) for p in points.values()]
+        return dict(zip(points, np.split(fits.summed(table, d + 1, run), np.cumsum(sizes)[:-1]), strict=True))
+
+    first = fits.sample(table, d + 1, rows)
+    found = fits.together({k: mixing(started(first[:d], first[d], k, seed, rounds), n, rounds, 1e-5) for k in components if k <= n}, ask)
+    discard(table)
+    bics = {k: (k - 1 + k * d + k * d * (d + 1) // 2) * math.log(n) - 2 * n * likelihood for k, (likelihood, _) in found.items()}
+    k = min(bics, key=bics.get)
+    likelihood, mixture = found[k]
+
+    def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, m = 0.0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, fits.ROWS):
+                x = fits.matrix(batch.slice(at, fits.ROWS), "<f8")
+                total, m = total + float(log_density(x.T, *mixture).sum()), m + x.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([m])], names=["total", "m"])
+
+    total, m = scaled(s).mapInArrow(density, "total double, m long").agg(F.sum("total"), F.coalesce(F.sum("m"), F.lit(0))).first()
     shift = float(np.log(width).sum())  # back from scaled columns
-    other = density(mixture, s)
-    return spark.createDataFrame([(k, float(bic + 2 * n * shift), n, m, likelihood - shift, None if other is None else other - shift)], kind)
+    return spark.createDataFrame([(k, float(bics[k] + 2 * n * shift), n, m, float(likelihood - shift), float(total / m - shift) if m else None)], kind)
 
 
 def fourier(x: Column, size: int, gamma: float, features: int = FEATURES, seed: int = 42) -> Column:
