@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twincheck.operators import models, privacy, sequences, similarity, statistics
+from twincheck.operators import fits, models, privacy, sequences, similarity, statistics
 
 
 def points(spark, rows, names="a b"):
@@ -226,3 +226,51 @@ def test_round_of_a_mixture_is_the_textbook_one():
 def test_mixture_of_fewer_different_rows_than_components(spark):
     got = models.mixture_likelihood(points(spark, [(1, 2)] * 9 + [(3, 4)]), points(spark, [(1, 2)]), ["a", "b"], range(1, 4)).first()
     assert (got["n_real"], got["n_synth"]) == (10, 1) and math.isfinite(got["real_log_likelihood"]) and math.isfinite(got["synth_log_likelihood"])
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_slopes_of_the_classifiers(classes):
+    """Slopes against differences, and parts of the rows against all at once."""
+    rng = np.random.default_rng(classes)
+    x, truth, w = rng.normal(size=(4, 30)), rng.integers(0, classes, 30), rng.integers(1, 4, 30).astype(float)
+    for model in (models.Softmax(4, classes, 0.1), models.Perceptron(4, classes, 5)):
+        at = model.start(rng) + rng.normal(scale=0.1, size=model.size)
+        value = lambda p, m=model: m.objective(p, m.sums(p, x, truth, w), w.sum())
+        assert np.allclose(model.sums(at, x, truth, w), sum(model.sums(at, x[:, p], truth[p], w[p]) for p in (slice(0, 9), slice(9, 30))))
+        slope = value(at)[1]
+        for i in range(model.size):
+            step = np.zeros(model.size)
+            step[i] = 1e-5
+            assert abs((value(at + step)[0] - value(at - step)[0]) / 2e-5 - slope[i]) < 1e-7
+
+
+def test_descent_finds_the_least():
+    def bowl(p, sums):
+        return float(sums[0]), sums[1:]
+
+    scale = np.array([1.0, 30.0, 400.0])
+    ask = lambda points: {k: np.append(scale @ (p - 2) ** 2 + ((p - 2) ** 4).sum(), 2 * scale * (p - 2) + 4 * (p - 2) ** 3) for k, p in points.items()}
+    got = fits.together({k: fits.descent(np.full(3, float(k)), bowl, 100, 1e-12) for k in (-5, 0, 2)}, ask)
+    assert all(np.allclose(p, 2, atol=1e-4) for p in got.values())
+
+
+def test_classifiers_try_every_row_once(spark):
+    """Words and labels that synthetic rows lack are counted too."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 2))
+    df = spark.createDataFrame([(float(a), float(b), "uvw"[i % 3], "hi" if a > 0 else "lo" if b > 0 else "mid") for i, (a, b) in enumerate(x)], "a double, b double, c string, y string")
+    real = df.unionByName(spark.createDataFrame([(1.0, 1.0, "new", "other")], df.schema))
+    got = models.transfer(real, df, ["a", "b"], ["c"], "y").collect()
+    assert len(got) == 16 and {r["n"] for r in got if r["label"] == "other"} == {1} and {r["f1"] for r in got if r["label"] == "other"} == {0.0}
+    assert min(r["f1"] for r in got if r["label"] != "other" and r["model"] in ("boosted_trees", "decision_tree", "perceptron")) > 0.9
+    for m in {r["model"] for r in got}:  # every real row has one prediction
+        assert round(sum(r["n"] * r["recall"] / r["precision"] for r in got if r["model"] == m and r["precision"])) == 6001
+
+
+def test_cells_are_bounded(spark, monkeypatch):
+    """20,000 different numbers make no more than BINS cells a word and label."""
+    kept, plain = [], models.materialised
+    monkeypatch.setattr(models, "materialised", lambda df: kept.append(plain(df)) or kept[-1])
+    df = spark.range(20000).selectExpr("cast(id as double) a", "if(id % 2 = 0, 'x', 'y') y")
+    models.transfer(df, df, ["a"], [], "y").collect()
+    assert kept and all(d.count() <= 2 * models.BINS for d in kept) and all(d.agg(F.sum("w")).first()[0] == 20000 for d in kept)

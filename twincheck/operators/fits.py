@@ -5,6 +5,7 @@ Fits start where a bounded sample (FIRST rows of all blocks) leads them, and end
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame
 
 from ..plans.storage import materialised
 
-#: Rows of a block, and of the sample that fits start from.
-ROWS, FIRST = 10_000, 1 << 15
-#: Bytes of a row group: what a task's reader holds.
-GROUP = 16 << 20
+#: Rows of a block, blocks that are computed with at once, and rows of the sample that fits start from.
+ROWS, JOINED, FIRST = 1000, 4, 1 << 15
+#: Bytes of a row group, which a task's reader holds, and blocks of a file: small files are dealt evenly.
+STORED = {"parquet.block.size": 2 << 20, "maxRecordsPerFile": 320}
 
 
 def matrix(batch: pa.RecordBatch, dtype: str) -> np.ndarray:
@@ -32,17 +33,22 @@ def blocks(df: DataFrame, dtype: str = "<f8") -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array([matrix(batch.slice(at, ROWS), dtype).tobytes()], pa.binary())], names=["x"])
 
-    return materialised(df.toDF(*map(str, range(len(df.columns)))).mapInArrow(run, "x binary"), **{"parquet.block.size": GROUP})
+    return materialised(df.toDF(*map(str, range(len(df.columns)))).mapInArrow(run, "x binary"), **STORED)
 
 
 def opened(batches: Iterator[pa.RecordBatch], width: int, dtype: str) -> Iterator[np.ndarray]:
     for batch in batches:
-        for x in batch.column(0):
-            yield np.frombuffer(x.as_buffer(), dtype).reshape(width, -1)
+        for at in range(0, batch.num_rows, JOINED):
+            yield np.concatenate([np.frombuffer(x.as_buffer(), dtype).reshape(width, -1) for x in batch.column(0)[at : at + JOINED]], axis=1)
+
+
+def weights(x: np.ndarray, at: int) -> np.ndarray:
+    """The weights in a block's row `at`; 1 if it has none."""
+    return x[at] if len(x) > at else np.ones(x.shape[1], x.dtype)
 
 
 def summed(table: DataFrame, width: int, run: Callable[[np.ndarray], np.ndarray], dtype: str = "<f8") -> np.ndarray:
-    """The sum of run(block) over all blocks: a vector a task reaches the driver. 0 without blocks."""
+    """The sum of run(block) over all blocks, JOINED at a time: a vector a task reaches the driver."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum(run(x) for x in opened(batches, width, dtype))
@@ -53,7 +59,7 @@ def summed(table: DataFrame, width: int, run: Callable[[np.ndarray], np.ndarray]
 
 
 def sample(table: DataFrame, width: int, n: int, dtype: str = "<f8", first: int | None = None) -> np.ndarray:
-    """About `first` of the n rows in blocks, evenly spaced in each; all if there are no more."""
+    """About `first` of the n rows in blocks, evenly spaced; all if there are no more."""
     step = -(-n // (first or FIRST))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,3 +81,40 @@ def together(fits: dict[object, Generator], ask: Callable[[dict], dict]) -> dict
                 done[k] = end.value
                 del points[k]
     return done
+
+
+def descent(point: np.ndarray, objective: Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]], rounds: int, tolerance: float, memory: int = 10) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    """L-BFGS: steps downhill from a point, at most `rounds` and until ten of them gain no more than `tolerance` of the first value. objective(point, sums): value and gradient there."""
+    value, slope = objective(point, (yield point))
+    pairs, last, least = deque(maxlen=memory), deque([value], maxlen=10), tolerance * abs(value)
+    for _ in range(rounds):
+        way, used = -slope, []
+        for s, y in reversed(pairs):
+            a = (s @ way) / (s @ y)
+            way = way - a * y
+            used.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(used), strict=True):
+            way = way + (a - (y @ way) / (s @ y)) * s
+        fall = slope @ way
+        if not fall < 0:
+            break
+        size = 1.0 if pairs else min(1.0, 1 / np.sqrt(slope @ slope))
+        for _ in range(10):
+            to = point + size * way
+            found, there = objective(to, (yield to))
+            if found <= value + 1e-4 * size * fall:
+                break
+            size *= min(0.5, max(0.1, -0.5 * size * fall / (found - value - size * fall))) if np.isfinite(found) else 0.1
+        else:
+            break
+        s, y = to - point, there - slope
+        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+            pairs.append((s, y))
+        point, value, slope = to, found, there
+        if max(last) - value <= least:
+            break
+        last.append(value)
+    return point

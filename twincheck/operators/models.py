@@ -5,15 +5,15 @@ Models are fitted by Spark on all rows of their side; rows with a missing value
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import FeatureHasher, StandardScaler
+from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from . import fits
 #: Random Fourier features, and the hashed width of columns before them.
 FEATURES, WIDTH = 256, 64
 MAX_CLASSES = 100
+#: Bins of a column in trees.
+BINS = 32
 #: Mixtures tried on a sample before the best is fitted on all rows.
 STARTS = 16
 #: Rows of a partition whose features a fit holds; 256 features take 2 KB a row, 64 binned ones some 300 bytes.
@@ -40,6 +42,15 @@ def scales(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), np.array([row[f"s{i}"] or 1.0 for i in range(len(columns))])
 
 
+def merged(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """df, its rows, and those before: equal rows become one with a weight w that says how many, if that saves half of them."""
+    n, different = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*df.columns))).first()
+    if not n or 2 * different > n:
+        return df, n, n
+    counted = materialised(df.groupBy(*df.columns).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    return counted, counted.count(), n
+
+
 def dealt(df: DataFrame, rows: int) -> DataFrame:
     """df, stored, in partitions of about `rows` rows: what a fit keeps of a partition is bounded, however large the files are."""
     df = materialised(df)
@@ -154,24 +165,20 @@ def mixture_likelihood(real: DataFrame, synth: DataFrame, columns: list[str], co
     plain = lambda df: df.select(*(number(c).alias(a) for a, c in zip(names, columns, strict=True))).dropna()
     scaled = lambda df, *more: df.select(*(((F.col(a) - float(middle[i])) / float(width[i])).alias(a) for i, a in enumerate(names)), *more)
     r, s = plain(real), plain(synth)
-    n, different = r.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*names))).first()
+    r, rows, n = merged(r)
     if not n:
         return spark.createDataFrame([(None, None, n, s.count(), None, None)], kind)
-    rows, weight = n, F.lit(1.0).alias("w")
-    if 2 * different <= n:
-        r, weight = materialised(r.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("w"))), F.col("w")
-        rows = r.count()
-    table = fits.blocks(scaled(r, weight))
+    table, high = fits.blocks(scaled(r, *r.columns[d:])), len(r.columns)
 
     def ask(points: dict) -> dict:
         def run(x: np.ndarray) -> np.ndarray:
-            return np.concatenate([expected(x[:d], x[d], p) for p in points.values()])
+            return np.concatenate([expected(x[:d], fits.weights(x, d), p) for p in points.values()])
 
         sizes = [1 + len(p[0]) * (1 + d + d * d) for p in points.values()]
-        return dict(zip(points, np.split(fits.summed(table, d + 1, run), np.cumsum(sizes)[:-1]), strict=True))
+        return dict(zip(points, np.split(fits.summed(table, high, run), np.cumsum(sizes)[:-1]), strict=True))
 
-    first = fits.sample(table, d + 1, rows)
-    found = fits.together({k: mixing(started(first[:d], first[d], k, seed, rounds), n, rounds, 1e-5) for k in components if k <= n}, ask)
+    first = fits.sample(table, high, rows)
+    found = fits.together({k: mixing(started(first[:d], fits.weights(first, d), k, seed, rounds), n, rounds, 1e-5) for k in components if k <= n}, ask)
     discard(table)
     bics = {k: (k - 1 + k * d + k * d * (d + 1) // 2) * math.log(n) - 2 * n * likelihood for k, (likelihood, _) in found.items()}
     k = min(bics, key=bics.get)
@@ -180,8 +187,8 @@ def mixture_likelihood(real: DataFrame, synth: DataFrame, columns: list[str], co
     def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, m = 0.0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, fits.ROWS):
-                x = fits.matrix(batch.slice(at, fits.ROWS), "<f8")
+            for at in range(0, batch.num_rows, 4096):
+                x = fits.matrix(batch.slice(at, 4096), "<f8")
                 total, m = total + float(log_density(x.T, *mixture).sum()), m + x.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([m])], names=["total", "m"])
 
@@ -223,12 +230,112 @@ def svc_detection(real: DataFrame, synth: DataFrame, numeric: list[str], categor
     return real.sparkSession.createDataFrame([(auc, 1 - (2 * max(0.5, auc) - 1))], "auc double, score double")
 
 
+def spread(x: np.ndarray, numbers: int, slots: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Features of a block: its numbers, and for each of the slots how many of its words have it, over the slot's deviation."""
+    hot = np.zeros((len(slots), x.shape[1]), x.dtype)
+    for code in x[numbers:]:
+        hot += code == slots[:, None]
+    return np.concatenate([x[:numbers], hot / width[:, None].astype(x.dtype)])
+
+
+class Softmax:
+    """Classes by linear scores, of which two classes need one: multinomial logistic regression with a penalty on weights."""
+
+    def __init__(self, inputs: int, classes: int, penalty: float):
+        self.shape, self.classes, self.penalty = (classes if classes > 2 else 1, inputs), classes, penalty
+        self.size = self.shape[0] * (inputs + 1)
+
+    def start(self, rng: np.random.Generator) -> np.ndarray:
+        return np.zeros(self.size)
+
+    def scores(self, point: np.ndarray, x: np.ndarray) -> np.ndarray:
+        found = point[: -self.shape[0]].reshape(self.shape).astype(x.dtype) @ x + point[-self.shape[0] :, None].astype(x.dtype)
+        return found if len(found) > 1 else np.concatenate([np.zeros_like(found), found])
+
+    def sums(self, point: np.ndarray, x: np.ndarray, truth: np.ndarray, w: np.ndarray) -> np.ndarray:
+        loss, off = missed(self.scores(point, x), truth, w)
+        off = off[-self.shape[0] :]
+        return np.concatenate([[loss], (off @ x.T).ravel(), off.sum(axis=1)])
+
+    def objective(self, point: np.ndarray, sums: np.ndarray, n: float) -> tuple[float, np.ndarray]:
+        held = np.concatenate([point[: -self.shape[0]], np.zeros(self.shape[0])])
+        return sums[0] / n + self.penalty / 2 * (held @ held), sums[1:] / n + self.penalty * held
+
+
+class Perceptron:
+    """Classes by one layer of hidden sigmoid units."""
+
+    def __init__(self, inputs: int, classes: int, hidden: int):
+        self.shapes = [(hidden, inputs), (hidden, 1), (classes, hidden), (classes, 1)]
+        self.size = sum(a * b for a, b in self.shapes)
+
+    def start(self, rng: np.random.Generator) -> np.ndarray:
+        return np.concatenate([rng.normal(scale=math.sqrt(2 / (a + b)) if b > 1 else 0.1, size=a * b) for a, b in self.shapes])
+
+    def layers(self, point: np.ndarray, dtype: np.dtype) -> list[np.ndarray]:
+        return [v.reshape(shape).astype(dtype) for v, shape in zip(np.split(point, np.cumsum([a * b for a, b in self.shapes])[:-1]), self.shapes, strict=True)]
+
+    @staticmethod
+    def hidden(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+        h = a @ x
+        h += b
+        np.negative(np.clip(h, -80, 80, out=h), out=h)
+        np.exp(h, out=h)
+        h += 1
+        return np.reciprocal(h, out=h)
+
+    def scores(self, point: np.ndarray, x: np.ndarray) -> np.ndarray:
+        a, b, c, d = self.layers(point, x.dtype)
+        return c @ self.hidden(a, b, x) + d
+
+    def sums(self, point: np.ndarray, x: np.ndarray, truth: np.ndarray, w: np.ndarray) -> np.ndarray:
+        a, b, c, d = self.layers(point, x.dtype)
+        h = self.hidden(a, b, x)
+        loss, off = missed(c @ h + d, truth, w)
+        back = c.T @ off
+        back *= h
+        back *= 1 - h
+        return np.concatenate([[loss], (back @ x.T).ravel(), back.sum(axis=1), (off @ h.T).ravel(), off.sum(axis=1)])
+
+    def objective(self, point: np.ndarray, sums: np.ndarray, n: float) -> tuple[float, np.ndarray]:
+        return sums[0] / n, sums[1:] / n
+
+
+def missed(scores: np.ndarray, truth: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted cross entropy of the scores, and its slope in them."""
+    scores = scores - scores.max(axis=0)
+    odds = np.exp(scores)
+    whole, at = odds.sum(axis=0), np.arange(len(truth))
+    loss = float((w * (np.log(whole) - scores[truth, at])).sum(dtype="f8"))
+    odds /= whole
+    odds[truth, at] -= 1
+    return loss, odds * w
+
+
+def cuts(values: np.ndarray, bins: int) -> list[float]:
+    """Up to bins - 1 values at which a sample's values are cut into bins of about equal numbers."""
+    different = np.unique(values)
+    found = different if len(different) <= bins else np.unique(np.quantile(values, np.arange(1, bins) / bins, method="inverted_cdf"))
+    return [float(v) for v in found if v < different[-1]]
+
+
+def bin_of(c: Column, at: list[float], first: int = 0) -> Column:
+    """How many of the sorted cuts lie below c, by halving."""
+    if not at:
+        return F.lit(float(first))
+    mid = len(at) // 2
+    return F.when(c <= at[mid], bin_of(c, at[:mid], first)).otherwise(bin_of(c, at[mid + 1 :], first + mid + 1))
+
+
 def transfer(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str], target: str, seed: int = 42) -> DataFrame:
     """(model, label, n, precision, recall, f1): classifiers learn `target` from synthetic rows and are tried on all real ones, a row per model and real class.
 
+    Words are hashed to WIDTH slots. Trees see numbers by bins, at most BINS a column, cut by a sample, so rows of equal bins and words are fitted and tried as one that weighs as much.
+    Regression and perceptron take the numbers as they are and share their readings of the rows.
     Labels that synthetic rows lack are never predicted. More than MAX_CLASSES labels are an error."""
     spark = real.sparkSession
-    side = lambda df: df.select(*(number(c).alias(f"n{i}") for i, c in enumerate(numeric)), *(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(categorical)), F.col(f"`{target}`").cast("string").alias("label")).dropna()
+    numbers, words = [f"n{i}" for i in range(len(numeric))], [f"c{i}" for i in range(len(categorical))]
+    side = lambda df: df.select(*(number(c).alias(a) for a, c in zip(numbers, numeric, strict=True)), *(F.col(f"`{c}`").cast("string").alias(a) for a, c in zip(words, categorical, strict=True)), F.col(f"`{target}`").cast("string").alias("label")).dropna()
     r, s = side(real), side(synth)
     labels = sorted(x["label"] for x in s.select("label").distinct().limit(MAX_CLASSES + 1).collect())
     if len(labels) > MAX_CLASSES:
@@ -236,26 +343,75 @@ def transfer(real: DataFrame, synth: DataFrame, numeric: list[str], categorical:
     out = "model string, label string, n long, precision double, recall double, f1 double"
     if len(labels) < 2:
         return spark.createDataFrame([], out)
-    number_of = F.coalesce(*(F.when(F.col("label") == v, F.lit(float(i))) for i, v in enumerate(labels)), F.lit(-1.0))
-    r, s = r.withColumn("truth", number_of), dealt(s.withColumn("truth", number_of), NARROW_ROWS)
-    names = [c for c in r.columns if c not in ("label", "truth")]
-    hasher = FeatureHasher(inputCols=names, outputCol="raw", numFeatures=WIDTH)
-    prepare = Pipeline(stages=[hasher, StandardScaler(inputCol="raw", outputCol="features")]).fit(s)
-    train, test = prepare.transform(s).select("features", "truth"), prepare.transform(r).select("features", "label", "truth")
-    boosted = GBTClassifier(labelCol="truth", maxIter=10, maxDepth=4, seed=seed)
-    models = {
-        "boosted_trees": boosted if len(labels) == 2 else OneVsRest(classifier=boosted, labelCol="truth"),
-        "decision_tree": DecisionTreeClassifier(labelCol="truth", maxDepth=8, seed=seed),
-        "logistic_regression": LogisticRegression(labelCol="truth", maxIter=50, regParam=1e-3),
-        "perceptron": MultilayerPerceptronClassifier(labelCol="truth", layers=[WIDTH, 16, len(labels)], maxIter=60, seed=seed),
+    middle, width = scales(s, numbers) if numbers else (np.zeros(0), np.ones(0))
+    scaled = [((F.col(a) - float(middle[i])) / float(width[i])).cast("float").alias(a) for i, a in enumerate(numbers)]
+    slot = [F.pmod(F.xxhash64(F.lit(i), a), F.lit(WIDTH)).cast("float").alias(a) for i, a in enumerate(words)]
+    truth = F.coalesce(*(F.when(F.col("label") == v, F.lit(float(i))) for i, v in enumerate(labels)), F.lit(-1.0)).cast("float").alias("truth")
+    p, q = len(numbers), len(numbers) + len(words)
+    s, r = s.select(*scaled, *slot, truth), r.select(*scaled, *slot, truth, "label")
+
+    train, rows, n = merged(s)
+    table, high = fits.blocks(train, "<f4"), len(train.columns)
+    first = fits.sample(table, high, rows, "<f4")
+
+    def slots_in(x: np.ndarray) -> np.ndarray:
+        hot = spread(x[:q], p, np.arange(WIDTH), np.ones(WIDTH))[p:].astype("f8")
+        return np.concatenate([hot @ fits.weights(x, q + 1), (hot * hot) @ fits.weights(x, q + 1)])
+
+    mean, square = fits.summed(table, high, slots_in, "<f4").reshape(2, WIDTH) / n
+    deviation = np.sqrt(np.maximum(square - mean * mean, 0))
+    slots = np.flatnonzero(deviation > 0)
+    deviation = deviation[slots]
+
+    linear = {"logistic_regression": (Softmax(p + len(slots), len(labels), 1e-3), 50), "perceptron": (Perceptron(p + len(slots), len(labels), 16), 60)}
+
+    def sums(points: dict, x: np.ndarray) -> np.ndarray:
+        seen, at, w = spread(x[:q], p, slots, deviation), x[q].astype(int), fits.weights(x, q + 1)
+        return np.concatenate([linear[k][0].sums(point, seen, at, w) for k, point in points.items()])
+
+    def fitted(starts: dict, weight: float, total) -> dict:
+        parted = lambda points, v: dict(zip(points, np.split(v, np.cumsum([1 + linear[k][0].size for k in points])[:-1]), strict=True))
+        return fits.together({k: fits.descent(starts[k], lambda at, v, m=m: m.objective(at, v, weight), rounds, 1e-6) for k, (m, rounds) in linear.items()}, lambda points: parted(points, total(points)))
+
+    rng = np.random.default_rng(seed)
+    near = fitted({k: m.start(rng) for k, (m, _) in linear.items()}, float(fits.weights(first, q + 1).sum(dtype="f8")), lambda points: sum(sums(points, first[:, at : at + 4096]) for at in range(0, first.shape[1], 4096)))
+    points = fitted(near, n, lambda points: fits.summed(table, high, lambda x: sums(points, x), "<f4"))
+    discard(table)
+    names = list(points)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of (model, truth, prediction)."""
+        found = np.zeros((len(names), len(labels) + 1, len(labels)), int)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = fits.matrix(batch.slice(at, 4096), "<f4")
+                seen = spread(x[:q], p, slots, deviation)
+                for i, k in enumerate(names):
+                    np.add.at(found[i], (x[q].astype(int), linear[k][0].scores(points[k], seen).argmax(axis=0)), 1)
+        i, t, said = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.where(t == len(labels), -1, t)), pa.array(said), pa.array(found[i, t, said])], names=["model", "truth", "said", "n"])
+
+    found = [(names[x["model"]], x["truth"], x["said"], x["n"]) for x in r.drop("label").mapInArrow(tried, "model long, truth long, said long, n long").groupBy("model", "truth", "said").agg(F.sum("n").alias("n")).collect()]
+
+    bins = [bin_of(F.col(a), cuts(first[i], BINS)).alias(a) for i, a in enumerate(numbers)]
+    features = array_to_vector(F.array(*(F.col(a) for a in numbers), *(sum((F.col(a) == F.lit(float(v))).cast("double") for a in words) for v in slots)).cast("array<double>")).alias("features")
+    cells = lambda df, *more: materialised(df.select(*bins, *words, "truth", *more).groupBy(*numbers, *words, "truth", *more).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    learnt, asked = cells(s), cells(r, "label")
+    many = learnt.count()
+    learnt = learnt.select(features, F.col("truth").cast("double").alias("truth"), "w").repartition(max(-(-many // NARROW_ROWS), min(8, -(-many // 8192))))
+    boosted = GBTClassifier(labelCol="truth", weightCol="w", maxIter=10, maxDepth=4, maxBins=BINS, seed=seed)
+    trees = {
+        "boosted_trees": boosted if len(labels) == 2 else OneVsRest(classifier=boosted, labelCol="truth", weightCol="w", parallelism=4),
+        "decision_tree": DecisionTreeClassifier(labelCol="truth", weightCol="w", maxDepth=8, maxBins=BINS, seed=seed),
     }
-    name = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
-    found = None
-    for model, classifier in models.items():
-        pairs = classifier.fit(train).transform(test).groupBy("label", name.alias("said")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = pairs.withColumn("model", F.lit(model))
-        found = pairs if found is None else found.unionByName(pairs)
-    seen = found.groupBy("model", "label").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("said") == F.col("label"), F.col("n"))), F.lit(0)).alias("hits"))
-    said = found.groupBy("model", F.col("said").alias("label")).agg(F.sum("n").alias("said"))
-    both = seen.join(said, ["model", "label"], "left").withColumn("said", F.coalesce("said", F.lit(0)))
+    for model, classifier in trees.items():
+        said = classifier.fit(learnt).transform(asked.select(features, "truth", "w")).groupBy(F.col("truth").cast("int").alias("truth"), F.col("prediction").cast("int").alias("said"))
+        found += [(model, x["truth"], x["said"], int(x["n"])) for x in said.agg(F.sum("w").alias("n")).collect()]
+    hits, said = Counter(), Counter()
+    for model, t, s_, n_ in found:
+        hits[model, t] += n_ * (t == s_)
+        said[model, s_] += n_
+    counted = spark.createDataFrame([(model, v, hits[model, i], said[model, i]) for model in (*trees, *names) for i, v in enumerate(labels)], "model string, label string, hits long, said long")
+    every = spark.createDataFrame([(model,) for model in (*trees, *names)], "model string")
+    both = asked.groupBy("label").agg(F.sum("w").cast("long").alias("n")).crossJoin(F.broadcast(every)).join(F.broadcast(counted), ["model", "label"], "left").fillna(0, ["hits", "said"])
     return both.select("model", "label", "n", F.coalesce(F.try_divide("hits", "said"), F.lit(0.0)).alias("precision"), F.try_divide("hits", "n").alias("recall"), F.try_divide(2 * F.col("hits"), F.col("n") + F.col("said")).alias("f1"))
