@@ -274,3 +274,24 @@ def test_cells_are_bounded(spark, monkeypatch):
     df = spark.range(20000).selectExpr("cast(id as double) a", "if(id % 2 = 0, 'x', 'y') y")
     models.transfer(df, df, ["a"], [], "y").collect()
     assert kept and all(d.count() <= 2 * models.BINS for d in kept) and all(d.agg(F.sum("w")).first()[0] == 20000 for d in kept)
+
+
+def test_area_counts_pairs():
+    rng = np.random.default_rng(10)
+    above, below = rng.integers(0, 3, 9).astype(float), rng.integers(0, 3, 9).astype(float)
+    one, other = np.repeat(range(9), above.astype(int)), np.repeat(range(9), below.astype(int))
+    assert math.isclose(models.area(above, below), np.mean((one[:, None] > other) + 0.5 * (one[:, None] == other)))
+    assert models.area(above, below * 0) is None
+
+
+def test_detection_fits_folds_in_shared_rounds(spark):
+    """Different rows with a word that tells sides apart in part: few jobs, and the area that the word's frequencies give at best."""
+    rng = np.random.default_rng(11)
+    make = lambda n, odds: spark.createDataFrame([(float(v), "p" if u < odds else "q") for v, u in zip(rng.normal(size=n), rng.random(n), strict=True)], "a double, c string")
+    real, synth = make(3000, 0.7), make(3000, 0.3)
+    n, got = jobs(spark, "detection", lambda: models.svc_detection(real, synth, ["a"], ["c"], features=64).first())
+    assert n < 60 and abs(got["auc"] - 0.7) < 0.03
+    assert models.svc_detection(real, synth.limit(0), ["a"], ["c"], features=8).first()["auc"] is None
+    assert models.svc_detection(real.limit(0), synth.limit(0), ["a"], ["c"], features=8).first()["auc"] is None
+    only = lambda df: df.selectExpr("c", "cast(cast(10 * a as int) as string) d")
+    assert abs(models.svc_detection(only(real), only(synth), [], ["c", "d"], features=256).first()["auc"] - 0.7) < 0.06

@@ -111,7 +111,7 @@ def descent(point: np.ndarray, objective: Callable[[np.ndarray, np.ndarray], tup
         else:
             break
         s, y = to - point, there - slope
-        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+        if s @ y > max(1e-12 * np.sqrt((s @ s) * (y @ y)), 1e-100):
             pairs.append((s, y))
         point, value, slope = to, found, there
         if max(last) - value <= least:
