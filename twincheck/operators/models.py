@@ -485,10 +485,8 @@ def transfer(real: DataFrame, synth: DataFrame, numeric: list[str], categorical:
 
     bins = [bin_of(F.col(a), cuts(first[i], BINS)).alias(a) for i, a in enumerate(numbers)]
     features = array_to_vector(F.array(*(F.col(a) for a in numbers), *(sum((F.col(a) == F.lit(float(v))).cast("double") for a in words) for v in slots)).cast("array<double>")).alias("features")
-    cells = lambda df, *more: materialised(df.select(*bins, *words, "truth", *more).groupBy(*numbers, *words, "truth", *more).agg(F.count(F.lit(1)).cast("double").alias("w")))
-    learnt, asked = cells(s), cells(r, "label")
-    many = learnt.count()
-    learnt = learnt.select(features, F.col("truth").cast("double").alias("truth"), "w").repartition(max(-(-many // NARROW_ROWS), min(8, -(-many // 8192))))
+    cells = lambda df, *more: df.select(*bins, *words, "truth", *more).groupBy(*numbers, *words, "truth", *more).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    learnt, asked = dealt(cells(s), NARROW_ROWS).select(features, F.col("truth").cast("double").alias("truth"), "w"), materialised(cells(r, "label"))
     boosted = GBTClassifier(labelCol="truth", weightCol="w", maxIter=10, maxDepth=4, maxBins=BINS, seed=seed)
     trees = {
         "boosted_trees": boosted if len(labels) == 2 else OneVsRest(classifier=boosted, labelCol="truth", weightCol="w", parallelism=4),
